@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import strip_accents
 
@@ -108,7 +109,7 @@ def best_name_ratio(a: str, b: str) -> float:
     return best if best == 1.0 else max(best, _partial(a, b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fuzzy_name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(
         [best_name_ratio(x, y) if x and y else 0.0 for x, y in zip(a, b)], dtype="float64"

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The characters that Python's str.strip() removes.
 WHITESPACE = (
@@ -56,7 +57,7 @@ def report_key(visit_id: Column, text: Column) -> Column:
     return F.concat(visit_id.cast("bigint").cast("string"), text_hash(text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Canonical composition; Spark has no built-in for it."""
     return text.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")

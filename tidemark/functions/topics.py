@@ -10,6 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import ascii_fold, line_at, strip, strip_accents
 
@@ -189,7 +190,7 @@ def guarded_hits(
     weighted = [(term_pattern(t), 2) for t in strong] + [(term_pattern(t), 1) for t in base]
     guards = [term_pattern(t) for t in guard]
 
-    @F.pandas_udf("int")
+    @F.pandas_udf(T.IntegerType())
     def score(text: pd.Series) -> pd.Series:
         hits_re = [(re.compile(p), w) for p, w in weighted]
         guard_re = [re.compile(p) for p in guards]
