@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,8 +19,10 @@ VALUE = r"[0-6](?:[ABC])?|[IVX]{1,3}(?:[ABC])?"
 CLASS_WORD = r"(?:classe|categoria|classifica[cç][aã]o)"
 
 TOKEN = r"(?is)bi[\s-]?rads"
+# A clause starts right after a delimiter: the look-behind changes no match and keeps the
+# search linear in the length of the text.
 DIRECT = (
-    r"(?iuU)[^.:\n]*(?:categoria\s*)?bi[\s-]?rads(?:®)?[^0-9ivxabc\n]*[:;\-\s]*"
+    r"(?iuU)(?<![^.:\n])[^.:\n]*(?:categoria\s*)?bi[\s-]?rads(?:®)?[^0-9ivxabc\n]*[:;\-\s]*"
     rf"({VALUE})"
     r"(?!\s*[ºª])(?!\s*(?:ed(?:\.|i[cç][aã]o)|edition)\b)[^.\n]*"
 )
@@ -26,9 +30,10 @@ EDITION = r"(?iuU)\b(ed(?:\.|i[cç][aã]o)|edition)\b"
 NEARBY = rf"(?iuU){CLASS_WORD}\s*[:\-]?\s*({VALUE})[^.\n]*"
 FLEX_TOKEN = r"b[i1l]\s*(?:[-–—]?\s*)?ra[h]?d[sz](?:®)?"
 FLEX = (
-    rf"(?iuU)([^\n.]*?(?:{CLASS_WORD}\s*[:\-]?\s*)?(?:mama\s+(direita|esquerda)\s*)?"
+    rf"(?iuU)(?<![^\n.])([^\n.]*?(?:{CLASS_WORD}\s*[:\-]?\s*)?(?:mama\s+(direita|esquerda)\s*)?"
     rf"{FLEX_TOKEN}[^0-9ivxabc\n]*[:;\-–—\s]*)({VALUE})[^\n.]*"
 )
+FLEX_ANY = rf"(?iu){FLEX_TOKEN}"
 SIDE = r"(?iuU)\bmama\s+(direita|esquerda)\b"
 SIDES = {"direita": "right", "esquerda": "left"}
 ZERO_DIGITS = r"(?<![\d/\-:\.])(0[0-9])(?![\d/\-:\.])"
@@ -69,16 +74,23 @@ def _finding(value: Column, clause: Column) -> Column:
     return F.struct(normalize_value(value).alias("value"), clause.alias("clause"))
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times inside one expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def extract_direct(text: Column) -> Column:
     """First clause "token ... value", without edition mentions and ordinals."""
-    clauses = F.regexp_extract_all(text, F.lit(DIRECT), 0)
-    values = F.regexp_extract_all(text, F.lit(DIRECT), 1)
-    pairs = F.arrays_zip(clauses.alias("clause"), values.alias("value"))
+    pairs = F.arrays_zip(
+        F.regexp_extract_all(text, F.lit(DIRECT), 0).alias("clause"),
+        F.regexp_extract_all(text, F.lit(DIRECT), 1).alias("value"),
+    )
     hits = F.filter(pairs, lambda p: ~p["clause"].rlike(EDITION))
-    first = F.get(hits, F.lit(0))
-    return F.when(
-        text.rlike(TOKEN) & first.isNotNull(), _finding(first["value"], strip(first["clause"]))
+    found = _bind(
+        F.get(hits, F.lit(0)),
+        lambda p: F.when(p.isNotNull(), _finding(p["value"], strip(p["clause"]))),
     )
+    return F.when(text.rlike(TOKEN), found)
 
 
 def extract_nearby(text: Column) -> Column:
@@ -112,29 +124,37 @@ def extract_flex(text: Column) -> Column:
     Returns value, clause, side and rank.  The looser fallback without leading words is a
     special case of this pattern, so it needs no second pass.
     """
-    matches = F.regexp_extract_all(text, F.lit(FLEX), 0)
-    leads = F.regexp_extract_all(text, F.lit(FLEX), 1)
-    stated = F.regexp_extract_all(text, F.lit(FLEX), 2)
-    values = F.transform(F.regexp_extract_all(text, F.lit(FLEX), 3), normalize_value)
-    ranked = F.transform(values, lambda v, i: F.struct(value_rank(v).alias("rank"), (-i).alias("neg"), v.alias("value")))
-    best = F.array_max(ranked)
-    at = (-best["neg"]).cast("int")
-    gaps = F.slice(F.split(text, FLEX, -1), F.lit(1), at + 1)
-    start = F.length(F.array_join(gaps, "")) + F.length(F.array_join(F.slice(matches, F.lit(1), at), ""))
-    value_at = start + F.length(F.get(leads, at)) + 1
-    stop = start + F.length(F.get(matches, at))
-    low = F.greatest(start - SIDE_WINDOW, F.lit(0))
-    around = F.substring(text, low + 1, stop + SIDE_WINDOW - low)
-    side_word = F.lower(
-        F.when(F.get(stated, at) != "", F.get(stated, at)).otherwise(F.regexp_extract(around, SIDE, 1))
-    )
-    found = F.struct(
-        best["value"].alias("value"),
-        line_at(text, value_at).alias("clause"),
-        _lookup(side_word, SIDES).alias("side"),
-        best["rank"].alias("rank"),
+    parts = F.struct(
+        F.regexp_extract_all(text, F.lit(FLEX), 0).alias("match"),
+        F.regexp_extract_all(text, F.lit(FLEX), 1).alias("lead"),
+        F.regexp_extract_all(text, F.lit(FLEX), 2).alias("side"),
+        F.transform(F.regexp_extract_all(text, F.lit(FLEX), 3), normalize_value).alias("value"),
+        F.split(text, FLEX, -1).alias("gap"),
     )
-    return F.when(F.size(matches) > 0, found)
+
+    def pick(m: Column) -> Column:
+        ranked = F.transform(
+            m["value"], lambda v, i: F.struct(value_rank(v).alias("rank"), (-i).alias("neg"), v.alias("value"))
+        )
+        return F.when(F.size(m["match"]) > 0, _bind(F.array_max(ranked), lambda best: place(m, best)))
+
+    def place(m: Column, best: Column) -> Column:
+        at = (-best["neg"]).cast("int")
+        gaps = F.length(F.array_join(F.slice(m["gap"], F.lit(1), at + 1), ""))
+        start = gaps + F.length(F.array_join(F.slice(m["match"], F.lit(1), at), ""))
+        stop = start + F.length(F.get(m["match"], at))
+        low = F.greatest(start - SIDE_WINDOW, F.lit(0))
+        around = F.substring(text, low + 1, stop + SIDE_WINDOW - low)
+        stated = F.get(m["side"], at)
+        side = F.lower(F.when(stated != "", stated).otherwise(F.regexp_extract(around, SIDE, 1)))
+        return F.struct(
+            best["value"].alias("value"),
+            line_at(text, start + F.length(F.get(m["lead"], at)) + 1).alias("clause"),
+            _lookup(side, SIDES).alias("side"),
+            best["rank"].alias("rank"),
+        )
+
+    return F.when(text.rlike(FLEX_ANY), _bind(parts, pick))
 
 
 def extract_value(text: Column) -> Column:

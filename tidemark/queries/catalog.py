@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import cohort_queries, relational_queries  # noqa: F401
+from . import cohort_queries, feature_queries, relational_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
