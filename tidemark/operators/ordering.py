@@ -143,3 +143,12 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float], *, by: Sequen
             for n in shares
         ],
     )
+
+
+def top_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], tiebreak: str, n: int, *, name: str = "rank") -> DataFrame:
+    """First n rows per group: first inside 64 parts of each group, then among the parts' winners."""
+    part = F.pmod(F.xxhash64(tiebreak), F.lit(64))
+    inner = Window.partitionBy(*by, "_part").orderBy(*order)
+    winners = df.withColumn("_part", part).withColumn(name, F.row_number().over(inner)).where(F.col(name) <= n)
+    outer = Window.partitionBy(*by).orderBy(*order)
+    return winners.withColumn(name, F.row_number().over(outer)).where(F.col(name) <= n).drop("_part")

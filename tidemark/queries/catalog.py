@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-from . import cohort_queries, feature_queries, relational_queries, text_queries  # noqa: F401
+from . import (  # noqa: F401
+    cohort_queries, evaluation_queries, feature_queries, model_queries, relational_queries, text_queries,
+)
 from .registry import ORACLES, QUERIES  # noqa: F401
