@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import line_at, strip
+from .text import bind, line_at, strip
 
 # ---------------------------------------------------------------------------
 # Report patterns and code tables.
@@ -74,11 +72,6 @@ def _finding(value: Column, clause: Column) -> Column:
     return F.struct(normalize_value(value).alias("value"), clause.alias("clause"))
 
 
-def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times inside one expression."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def extract_direct(text: Column) -> Column:
     """First clause "token ... value", without edition mentions and ordinals."""
     pairs = F.arrays_zip(
@@ -86,7 +79,7 @@ def extract_direct(text: Column) -> Column:
         F.regexp_extract_all(text, F.lit(DIRECT), 1).alias("value"),
     )
     hits = F.filter(pairs, lambda p: ~p["clause"].rlike(EDITION))
-    found = _bind(
+    found = bind(
         F.get(hits, F.lit(0)),
         lambda p: F.when(p.isNotNull(), _finding(p["value"], strip(p["clause"]))),
     )
@@ -136,7 +129,7 @@ def extract_flex(text: Column) -> Column:
         ranked = F.transform(
             m["value"], lambda v, i: F.struct(value_rank(v).alias("rank"), (-i).alias("neg"), v.alias("value"))
         )
-        return F.when(F.size(m["match"]) > 0, _bind(F.array_max(ranked), lambda best: place(m, best)))
+        return F.when(F.size(m["match"]) > 0, bind(F.array_max(ranked), lambda best: place(m, best)))
 
     def place(m: Column, best: Column) -> Column:
         at = (-best["neg"]).cast("int")
@@ -154,7 +147,7 @@ def extract_flex(text: Column) -> Column:
             best["rank"].alias("rank"),
         )
 
-    return F.when(text.rlike(FLEX_ANY), _bind(parts, pick))
+    return F.when(text.rlike(FLEX_ANY), bind(parts, pick))
 
 
 def extract_value(text: Column) -> Column:

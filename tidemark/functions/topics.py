@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import ascii_fold, line_at, strip, strip_accents
+from .text import ascii_fold, bind, line_at, strip, strip_accents
 
 # ---------------------------------------------------------------------------
 # Term and pattern lists (accents are removed before matching).
@@ -129,43 +129,53 @@ GUARD_TOKENS = 8
 # ---------------------------------------------------------------------------
 
 
+def _lower(pattern: str) -> str:
+    """Lower-case the letters of a pattern, not its escapes, for use on lower-case text."""
+    return re.sub(r"(?<!\\)[A-Z]", lambda m: m.group().lower(), pattern)
+
+
 def _total(text: Column, patterns: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit("(?i)" + p)) for p in patterns])
+    """Matches summed over the patterns; one joint search spares texts without any match."""
+    lowered = [_lower(p) for p in patterns]
+    counts = reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(p)) for p in lowered])
+    return F.when(text.rlike("|".join(lowered)), counts).otherwise(0)
 
 
 def _first_at(text: Column, patterns: Sequence[str]) -> Column:
     return F.coalesce(
-        *[F.nullif(F.regexp_instr(text, F.lit("(?i)" + p)), F.lit(0)) for p in patterns]
+        *[F.nullif(F.regexp_instr(text, F.lit(_lower(p))), F.lit(0)) for p in patterns]
     )
 
 
 def topic_score(text: Column) -> Column:
     """struct(on_topic, score): weighted pattern counts over accent-free text."""
-    plain = strip_accents(F.lower(text))
-    anchor = _total(plain, ANCHORS) * ANCHOR_WEIGHT
-    negative = _total(plain, STRONG_NEGATIVE) * STRONG_NEG_WEIGHT + _total(plain, MILD_NEGATIVE) * MILD_NEG_WEIGHT
-    parts = F.struct(anchor.alias("anchor"), (_total(plain, MILD_POSITIVE) * MILD_WEIGHT).alias("mild"), negative.alias("neg"))
-    # A one-element transform binds the counts once instead of repeating them per use.
-    scored = F.transform(
-        F.array(parts),
-        lambda p: F.struct(
-            (
-                ((p["anchor"] > 0) & (p["anchor"] + p["mild"] + p["neg"] >= 1))
-                | ((p["anchor"] > 0) & (p["neg"] >= -2))
-                | ((p["anchor"] == 0) & (p["anchor"] + p["mild"] + p["neg"] >= 3))
-            ).alias("on_topic"),
-            (p["anchor"] + p["mild"] + p["neg"]).alias("score"),
-        ),
-    )
+
+    def parts(plain: Column) -> Column:
+        negative = _total(plain, STRONG_NEGATIVE) * STRONG_NEG_WEIGHT + _total(plain, MILD_NEGATIVE) * MILD_NEG_WEIGHT
+        return F.struct(
+            (_total(plain, ANCHORS) * ANCHOR_WEIGHT).alias("anchor"),
+            (_total(plain, MILD_POSITIVE) * MILD_WEIGHT).alias("mild"),
+            negative.alias("neg"),
+        )
+
+    def decide(p: Column) -> Column:
+        score = p["anchor"] + p["mild"] + p["neg"]
+        anchored = p["anchor"] > 0
+        on_topic = (anchored & ((score >= 1) | (p["neg"] >= -2))) | (~anchored & (score >= 3))
+        return F.struct(on_topic.alias("on_topic"), score.alias("score"))
+
     blank = F.struct(F.lit(False).alias("on_topic"), F.lit(0).alias("score"))
-    return F.when(F.coalesce(strip(text), F.lit("")) == "", blank).otherwise(F.get(scored, F.lit(0)))
+    scored = bind(bind(strip_accents(F.lower(text)), parts), decide)
+    return F.when(F.coalesce(strip(text), F.lit("")) == "", blank).otherwise(scored)
 
 
 def topic_evidence(text: Column, on_topic: Column) -> Column:
     """The line of the best hit: an anchor or mild one if on topic, else a negative one."""
-    plain = strip_accents(F.lower(text))
-    at = F.when(on_topic, _first_at(plain, [*ANCHORS, *MILD_POSITIVE])).otherwise(
-        _first_at(plain, [*STRONG_NEGATIVE, *MILD_NEGATIVE])
+    at = bind(
+        strip_accents(F.lower(text)),
+        lambda plain: F.when(on_topic, _first_at(plain, [*ANCHORS, *MILD_POSITIVE])).otherwise(
+            _first_at(plain, [*STRONG_NEGATIVE, *MILD_NEGATIVE])
+        ),
     )
     return line_at(text, at, to_period=False)
 
@@ -192,15 +202,16 @@ def guarded_hits(
 
     @F.pandas_udf(T.IntegerType())
     def score(text: pd.Series) -> pd.Series:
+        any_hit = re.compile("|".join(p for p, _ in weighted))
         hits_re = [(re.compile(p), w) for p, w in weighted]
         guard_re = [re.compile(p) for p in guards]
 
         def one(doc: str | None) -> int | None:
             if doc is None:
                 return None
-            hits = [(m.start(), w) for rx, w in hits_re for m in rx.finditer(doc)]
-            if not hits:
+            if not any_hit.search(doc):
                 return 0
+            hits = [(m.start(), w) for rx, w in hits_re for m in rx.finditer(doc)]
             starts = [m.start() for m in re.finditer(r"\w+|\S", doc)]
             zones = [
                 (bisect_left(starts, m.end()) - 1 - window, bisect_left(starts, m.start()) + window)
@@ -224,9 +235,8 @@ procedure_points = guarded_hits(PROCEDURE_STRONG, PROCEDURE_BASE, RECOMMENDATION
 
 def screening_points(text: Column) -> Column:
     """Weighted screening-term hits over folded text, inside the JVM."""
-    strong = reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(term_pattern(t))) for t in SCREENING_STRONG])
-    base = reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(term_pattern(t))) for t in SCREENING_BASE])
-    return strong * 2 + base
+    strong = _total(text, [term_pattern(t) for t in SCREENING_STRONG])
+    return strong * 2 + _total(text, [term_pattern(t) for t in SCREENING_BASE])
 
 
 def two_class_label(first: Column, second: Column, margin: int = 1, minimum: int = 2) -> Column:

@@ -167,7 +167,10 @@ def vector_concat(spark, d):
     )
 
 
-@query("apply_score_model")
+@query("apply_score_model", with_sql(PERSONS, PEOPLE) + """, x AS (SELECT exam_id, CASE upper(coalesce(sex, 'F')) WHEN 'M' THEN 1.0 ELSE 0.0 END::DOUBLE AS a, age_at_first AS b, bmi AS y FROM people),
+  m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS bby FROM x),
+  c AS (SELECT *, (ay * vb - bby * ab) / (va * vb - ab * ab) AS ca, (bby * va - ay * ab) / (va * vb - ab * ab) AS cb FROM m)
+  SELECT exam_id, round(my + ca * (a - ma) + cb * (b - mb), 6) AS bmi_predicted FROM x, c""")
 def apply_score_model(spark, d):
     df = _people(spark, d).withColumn("sex_code", F.coalesce(sex_code(F.col("sex")), F.lit(0)).cast("double"))
     fitted = fit_linear(df, ["sex_code", "age_at_first"], "bmi")

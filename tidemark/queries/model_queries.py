@@ -16,7 +16,7 @@ from ..operators.ordering import top_n
 from ..session import stage_path
 from ..sources.writers import write_stage
 from .cohort_queries import BASE, EVENTS, _labelled
-from .grounding import CONF, EXAMS, SCORES, confirmations, day, exams, reports, scores, table, with_sql
+from .grounding import CONF, EXAMS, REPORTS, SCORES, confirmations, day, exams, reports, scores, table, with_sql
 from .registry import query
 
 # A short stop list; users pass their own (Spark ships lists per language).
@@ -188,7 +188,13 @@ def top_terms_per_class(spark, d):
     return high.unionByName(low)
 
 
-@query("embed_documents")
+@query("embed_documents", with_sql(REPORTS) + f""", w AS (SELECT report_id, list_filter(string_split_regex(text, '[\\s\\x0b]+'), lambda x: x <> '') AS w FROM reports),
+  c AS (SELECT report_id, w[i * 180 + 1 : least(i * 180 + 200, len(w))] AS c FROM (SELECT report_id, w, unnest(range(0, 1 + CAST(greatest(ceil((len(w) - 200) / 180.0), 0) AS BIGINT))) AS i FROM w WHERE len(w) > 0)),
+  t AS (SELECT report_id, len(list_filter(regexp_extract_all(lower(array_to_string(c, ' ')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({STOPS}))) AS n FROM c),
+  p AS (SELECT report_id, count(*) AS k, avg(n) AS mass FROM t GROUP BY 1)
+  SELECT report_id, CASE WHEN k IS NULL THEN 0 ELSE 32 END::BIGINT AS dim, coalesce(k, 0) AS n_chunks, 'hash-32' AS model,
+  substr(sha256(regexp_replace(trim(nfc_normalize(coalesce(text, '')), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\\s+', ' ', 'g')), 1, 32) AS hash, round(coalesce(mass, 0.0), 4) AS mass
+  FROM reports LEFT JOIN p USING (report_id)""")
 def embed_documents(spark, d):
     docs = reports(spark, d).select("report_id", "text")
     chunks = docs.select("report_id", F.posexplode(word_chunks(F.coalesce("text", F.lit("")), 200, 20)).alias("chunk_no", "chunk"))

@@ -134,7 +134,14 @@ def topic_score_classify(spark, d):
     return scored.select("report_id", "t.on_topic", "t.score")
 
 
-@query("topic_evidence")
+def _first_position(patterns):
+    spot = lambda p: f"CASE WHEN regexp_matches(p, '(?i){p}') THEN length(regexp_extract(p, '(?is)^(.*?)(?:{p})', 1)) + 1 END"
+    return "coalesce(" + ", ".join(spot(p) for p in patterns) + ")"
+
+
+@query("topic_evidence", with_sql(REPORTS, TOPIC_SQL) + f""", pos AS (SELECT report_id, text, CASE WHEN on_topic THEN {_first_position([*T.ANCHORS, *T.MILD_POSITIVE])}
+  ELSE {_first_position([*T.STRONG_NEGATIVE, *T.MILD_NEGATIVE])} END AS i FROM plain JOIN topic USING (report_id))
+  SELECT report_id, CASE WHEN i IS NOT NULL THEN trim(regexp_extract(text[1:i - 1], '[^\\n]*$') || split_part(text[i:], chr(10), 1), {WS}) END AS evidence FROM pos""")
 def topic_evidence(spark, d):
     scored = _with_text(spark, d).withColumn("on_topic", T.topic_score(F.col("text"))["on_topic"])
     return scored.select("report_id", T.topic_evidence(F.col("text"), F.col("on_topic")).alias("evidence"))
