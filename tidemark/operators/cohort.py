@@ -27,6 +27,22 @@ def age_in_years(born: Column, at: Column) -> Column:
     return F.floor(F.datediff(at, born) / F.lit(365.2425)).cast("int")
 
 
+def confirmation_days(confirmations: DataFrame, entity: str, ts: str, result: str) -> DataFrame:
+    """Confirmations as (entity, ts, result, weight), collapsed by a map-side combine.
+
+    Both results stay in one aggregate, so every later use shares the same shuffle.
+    """
+    days = confirmations.groupBy(entity, ts).agg(
+        F.count_if(F.col(result) == 0).cast("int").alias("_n0"), F.count_if(F.col(result) == 1).cast("int").alias("_n1")
+    )
+    both = F.array(*[F.struct(F.lit(r).alias(result), F.col(f"_n{r}").alias("weight")) for r in (0, 1)])
+    return days.select(entity, ts, F.inline(both)).where(F.col("weight") > 0)
+
+
+def _weighted(confirmations: DataFrame) -> DataFrame:
+    return confirmations if "weight" in confirmations.columns else confirmations.withColumn("weight", F.lit(1))
+
+
 def valid_code5(
     exams: DataFrame, confirmations: DataFrame, entity: str, ts: str, code: str, result: str, *,
     version: int = 1, grace_days: int = 7, months: int = 6,
@@ -42,13 +58,13 @@ def valid_code5(
         return fives
     if version == 1:
         benign = (
-            exams.where(F.col(code).isin(1, 2, 3)).select(entity, ts)
-            .unionByName(confirmations.where(F.col(result) == 0).select(entity, ts))
+            exams.where(F.col(code).isin(1, 2, 3)).select(entity, ts, F.lit(1).alias("weight"))
+            .unionByName(_weighted(confirmations).where(F.col(result) == 0).select(entity, ts, "weight"))
         )
         counts = count_in_intervals(
             fives, entity, ts,
             {"n_benign": (lambda d: plus_days(d, grace_days), lambda d: plus_months(d, months), "one")},
-            benign, ts, {"one": F.lit(1)}, lower_closed=True,
+            benign, ts, {"one": F.col("weight")}, lower_closed=True,
         )
         return fives.join(counts.where(F.col("n_benign") == 0).select(entity, ts), [entity, ts], "left_semi")
     proof = (
@@ -63,13 +79,16 @@ def earliest_event_date(
     exams: DataFrame, confirmations: DataFrame, entity: str, ts: str, code: str, result: str, **validation
 ) -> DataFrame:
     """Per entity the earliest accepted code 5, code 6, positive confirmation, and their minimum."""
-    five = valid_code5(exams, confirmations, entity, ts, code, result, **validation).groupBy(entity).agg(
-        F.min(ts).alias("first_code5")
+    sources = {
+        "first_code5": valid_code5(exams, confirmations, entity, ts, code, result, **validation),
+        "first_code6": exams.where(F.col(code) == 6),
+        "first_confirmation": confirmations.where(F.col(result) == 1),
+    }
+    marked = [df.select(entity, ts, F.lit(name).alias("_kind")) for name, df in sources.items()]
+    out = reduce(DataFrame.unionByName, marked).groupBy(entity).agg(
+        *[F.min(F.when(F.col("_kind") == name, F.col(ts))).alias(name) for name in sources]
     )
-    six = exams.where(F.col(code) == 6).groupBy(entity).agg(F.min(ts).alias("first_code6"))
-    pos = confirmations.where(F.col(result) == 1).groupBy(entity).agg(F.min(ts).alias("first_confirmation"))
-    out = five.join(six, entity, "full").join(pos, entity, "full")
-    return out.withColumn("event_date", F.least("first_code5", "first_code6", "first_confirmation"))
+    return out.withColumn("event_date", F.least(*sources))
 
 
 def interval_event_label(index: Column, event: Column, low_months: int, high_months: int, cohort_end: Column) -> Column:
@@ -122,8 +141,8 @@ def followup_counts(
             F.col(code).isin(*first_codes).cast("int").alias("first_year"),
             F.col(code).isin(*later_codes).cast("int").alias("later_year"),
         ).unionByName(
-            confirmations.where(F.col(result) == 0).select(
-                entity, ts, F.lit(1).alias("first_year"), F.lit(1).alias("later_year")
+            _weighted(confirmations).where(F.col(result) == 0).select(
+                entity, ts, F.col("weight").alias("first_year"), F.col("weight").alias("later_year")
             )
         )
     )

@@ -66,14 +66,15 @@ def explode_index_exams(
     the entity; the lists themselves are the first ``n_prior`` entries of the pages of
     the truncated history and all entries of the complete one.
     """
-    kept = truncate_at_first_high(exams, entity, ts, key, code, threshold=threshold)
-    first = exams.groupBy(entity).agg(
-        F.count(F.lit(1)).alias("n_complete"), F.min(ts).alias("first_exam_date")
+    mark = F.struct(F.col(ts), F.col(key))
+    facts = exams.groupBy(entity).agg(
+        F.min(F.when(F.col(code) >= threshold, mark)).alias("_cut"),
+        F.count(F.lit(1)).alias("n_complete"), F.min(ts).alias("first_exam_date"),
     )
-    index = prior_history(
+    kept = exams.join(facts, entity).where(F.col("_cut").isNull() | (mark < F.col("_cut"))).drop("_cut")
+    return prior_history(
         kept, kept, entity, ts, ts, {"first_prior_date": ("min", F.col(ts)), "max_prior_code": ("max", F.col(code))}
     )
-    return index.join(first, entity)
 
 
 def point_in_time_features(

@@ -81,6 +81,8 @@ def as_of(
 ) -> DataFrame:
     """Attach to each point the measures over the entity's events dated <= the point."""
     keys = as_list(entity)
+    if points is events and point_ts == event_ts:
+        return points.join(running_by_instant(events, keys, event_ts, measures), [*keys, point_ts], "left")
     joint = "date" if _is_date(points, point_ts) and _is_date(events, event_ts) else "timestamp_ntz"
     ev = events.select(
         *keys, F.col(event_ts).cast(joint).alias("_at"), *[col.alias(n) for n, (_, col) in measures.items()]

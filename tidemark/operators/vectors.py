@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -110,6 +111,73 @@ def _weights(how: str, gap: np.ndarray, span: np.ndarray, lam: float) -> np.ndar
     raise ValueError(f"unknown weighting {how!r}")
 
 
+def _tile_sums(keys: Sequence[str], entity: str, how: str, lam: float):
+    """mapInArrow function: weighted sums per index day for tiles that arrive sorted.
+
+    A tile is a run of equal keys: its past days first, then its index days, each at most
+    512 rows.  Only an unfinished tile is kept between batches.
+    """
+
+    def sums(table: pa.Table) -> pa.RecordBatch:
+        col = {n: table[n].combine_chunks() for n in table.column_names}
+        kind, d = col["kind"].to_numpy(), col["d"].to_numpy().astype(float)
+        lo = col["lo"].fill_null(-(10**7)).to_numpy().astype(float)
+        span, n = col["span"].fill_null(0).to_numpy().astype(float), col["n"].to_numpy().astype(float)
+        dim = int(pc.max(pc.list_value_length(col["v"])).as_py() or 0)
+        flat = col["v"].flatten().to_numpy().reshape(-1, dim) if dim else np.zeros((0, 0))
+        vector_row = np.cumsum(kind == 0) - 1
+        edges = [0, *(_changes(table, keys) + 1).tolist(), table.num_rows]
+        at, w, days, out = [], [], [], []
+        for start, stop in zip(edges[:-1], edges[1:]):
+            split = start + int(np.searchsorted(kind[start:stop], 1))
+            if split in (start, stop):
+                continue
+            gap = d[split:stop, None] - d[None, start:split]
+            mask = (gap >= 0) & (d[None, start:split] >= lo[split:stop, None])
+            weight = np.where(mask, _weights(how, np.maximum(gap, 0.0), span[split:stop], lam), 0.0)
+            count = weight * n[None, start:split]
+            hit = np.flatnonzero(mask.any(axis=1))
+            at.append(split + hit)
+            w.append(count.sum(axis=1)[hit])
+            days.append((count * gap).sum(axis=1)[hit])
+            out.append((weight @ flat[vector_row[start] : vector_row[start] + split - start])[hit])
+        rows = np.concatenate(at) if at else np.zeros(0, dtype=np.int64)
+        values = np.concatenate(out).ravel() if out else np.zeros(0)
+        offsets = np.arange(len(rows) + 1, dtype=np.int32) * dim
+        return pa.RecordBatch.from_arrays(
+            [
+                col[entity].take(pa.array(rows)), pa.array(d[rows].astype(np.int32)),
+                pa.array(np.concatenate(w) if w else np.zeros(0)), pa.array(np.concatenate(days) if days else np.zeros(0)),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+            ],
+            names=[entity, "d", "w", "days", "v"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if carry is None else pa.concat_tables([carry, table])
+            ends = _changes(table, keys)
+            cut = int(ends[-1]) + 1 if len(ends) else 0
+            if cut:
+                yield sums(table.slice(0, cut))
+            carry = table.slice(cut)
+        if carry is not None and carry.num_rows:
+            yield sums(carry)
+
+    return run
+
+
+def _changes(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """Row numbers whose next row has another key."""
+    differs = np.zeros(max(table.num_rows - 1, 0), dtype=bool)
+    for k in keys:
+        values = table[k].to_numpy()
+        differs |= values[1:] != values[:-1]
+    return np.flatnonzero(differs)
+
+
 def history_vectors(
     index: DataFrame, vectors: DataFrame, entity: str, ts: str, vector: str, *,
     how: str = "mean", lam: float = 0.001, months: int | None = None,
@@ -143,7 +211,7 @@ def history_vectors(
     ).select(entity, "index_block", "block")
 
     keys = [entity, "index_block", "block"]
-    zero = F.lit(None).cast("array<double>")
+    none = F.array().cast("array<double>")
     past = daily.join(tiles, [entity, "block"]).select(
         *keys, F.lit(0).alias("kind"), F.unix_date("day").alias("d"), F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("span"), "n", "v"
     )
@@ -152,30 +220,16 @@ def history_vectors(
     else:
         points = points.withColumn("span", F.lit(None).cast("int"))
     asks = points.join(tiles, [entity, "index_block"]).select(
-        *keys, F.lit(1).alias("kind"), F.unix_date("day").alias("d"), F.unix_date("low").alias("lo"), "span", F.lit(0).cast("bigint").alias("n"), zero.alias("v")
+        *keys, F.lit(1).alias("kind"), F.unix_date("day").alias("d"), F.unix_date("low").alias("lo"), "span", F.lit(0).cast("bigint").alias("n"), none.alias("v")
     )
     schema = T.StructType([
         T.StructField(entity, index.schema[entity].dataType), T.StructField("d", T.IntegerType()),
         T.StructField("w", T.DoubleType()), T.StructField("days", T.DoubleType()), T.StructField("v", T.ArrayType(T.DoubleType())),
     ])
-
-    def tile(rows: pd.DataFrame) -> pd.DataFrame:
-        old, ask = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
-        if old.empty or ask.empty:
-            return pd.DataFrame({entity: [], "d": [], "w": [], "days": [], "v": []})
-        gap = ask["d"].to_numpy(float)[:, None] - old["d"].to_numpy(float)[None, :]
-        floor = ask["lo"].fillna(-(10**7)).to_numpy(float)
-        mask = (gap >= 0) & (old["d"].to_numpy(float)[None, :] >= floor[:, None])
-        weight = np.where(mask, _weights(how, np.maximum(gap, 0.0), ask["span"].fillna(0).to_numpy(float), lam), 0.0)
-        count = weight * old["n"].to_numpy(float)[None, :]
-        hit = mask.any(axis=1)
-        total = weight @ np.vstack(old["v"].to_numpy())
-        return pd.DataFrame({
-            entity: ask[entity].to_numpy()[hit], "d": ask["d"].to_numpy()[hit].astype("int32"), "w": count.sum(axis=1)[hit],
-            "days": (count * gap).sum(axis=1)[hit], "v": list(total[hit]),
-        })
-
-    parts = past.unionByName(asks).groupBy(*keys).applyInPandas(tile, schema)
+    rows = past.unionByName(asks)
+    parts = rows.repartition(*keys).sortWithinPartitions(*keys, "kind", "d").mapInArrow(
+        _tile_sums(keys, entity, how, lam), schema
+    )
     summed = parts.groupBy(entity, "d").agg(
         Summarizer.sum(array_to_vector(F.col("v"))).alias("v"), F.sum("w").alias("w"), F.sum("days").alias("days")
     )

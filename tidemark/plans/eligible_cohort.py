@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cohort as C
-from ..operators.history import explode_index_exams
+from ..operators.history import explode_index_exams, truncate_at_first_high
 from ..operators.relational import unique_ids_only
 
 
@@ -30,12 +30,14 @@ def labelled_index_exams(exams: DataFrame, confirmations: DataFrame, rules: Coho
 
     ``exams``: entity_id, exam_id, ts, code.  ``confirmations``: entity_id, ts, result.
     """
+    confirmations = C.confirmation_days(confirmations, "entity_id", "ts", "result")
     index = explode_index_exams(exams, "entity_id", "ts", "exam_id", "code", threshold=rules.threshold)
     events = C.earliest_event_date(
         exams, confirmations, "entity_id", "ts", "code", "result",
         version=rules.code5_version, grace_days=rules.code5_grace_days, months=rules.code5_months,
     )
-    seen = C.followup_counts(index, exams, confirmations, "entity_id", "ts", "code", "result")
+    kept = truncate_at_first_high(exams, "entity_id", "ts", "exam_id", "code", threshold=rules.threshold)
+    seen = C.followup_counts(kept, exams, confirmations, "entity_id", "ts", "code", "result")
     joined = index.join(seen, ["entity_id", "ts"], "left").join(events, "entity_id", "left")
     dated = joined.withColumn("days_to_event", C.days_to_event(F.col("ts"), F.col("event_date")))
     return C.add_year_columns(dated, "ts", "event_date", rules.cohort_end)
