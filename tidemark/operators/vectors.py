@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from .timeline import running_by_instant
 
-BLOCK_DAYS = 512
+BLOCK_DAYS = 4096
+INDEX_ROWS = 512
 
 
 # ------------------------------------------------------------------ TF-IDF
@@ -111,11 +112,52 @@ def _weights(how: str, gap: np.ndarray, span: np.ndarray, lam: float) -> np.ndar
     raise ValueError(f"unknown weighting {how!r}")
 
 
+def _sum_runs(keys: Sequence[str], extras: Sequence[str], vector: str):
+    """mapInArrow function: element-wise sums over runs of equal keys in sorted input.
+
+    One summed row is kept between batches, so a run may be of any length.
+    """
+
+    def reduce_runs(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        starts = np.concatenate([[0], _changes(table, keys) + 1])
+        values = table[vector].combine_chunks()
+        matrix = values.flatten().to_numpy().reshape(table.num_rows, -1)
+        total = np.add.reduceat(matrix, starts, axis=0)
+        offsets = np.arange(len(starts) + 1, dtype=np.int32) * total.shape[1]
+        columns = {k: table[k].take(pa.array(starts)) for k in keys}
+        columns |= {e: pa.array(np.add.reduceat(table[e].to_numpy(), starts)) for e in extras}
+        columns[vector] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(total.ravel()))
+        return pa.Table.from_arrays([columns[n] for n in table.column_names], names=table.column_names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            table = pa.Table.from_batches([batch])
+            if carry is not None:
+                table = pa.concat_tables([carry.cast(table.schema), table])
+            summed = reduce_runs(table)
+            yield from summed.slice(0, summed.num_rows - 1).combine_chunks().to_batches()
+            carry = summed.slice(summed.num_rows - 1)
+        if carry is not None:
+            yield from carry.combine_chunks().to_batches()
+
+    return run
+
+
+def sum_vectors(rows: DataFrame, keys: Sequence[str], extras: Sequence[str], vector: str) -> DataFrame:
+    """Element-wise sum of equally long arrays, and of ``extras``, per key."""
+    picked = rows.select(*keys, *extras, vector)
+    return picked.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_sum_runs(keys, extras, vector), picked.schema)
+
+
 def _tile_sums(keys: Sequence[str], entity: str, how: str, lam: float):
     """mapInArrow function: weighted sums per index day for tiles that arrive sorted.
 
-    A tile is a run of equal keys: its past days first, then its index days, each at most
-    512 rows.  Only an unfinished tile is kept between batches.
+    A tile is a run of equal keys: its past days first, then its index days, at most one
+    row per calendar day of the block.  Only an unfinished tile is kept between batches.
     """
 
     def sums(table: pa.Table) -> pa.RecordBatch:
@@ -132,15 +174,18 @@ def _tile_sums(keys: Sequence[str], entity: str, how: str, lam: float):
             split = start + int(np.searchsorted(kind[start:stop], 1))
             if split in (start, stop):
                 continue
-            gap = d[split:stop, None] - d[None, start:split]
-            mask = (gap >= 0) & (d[None, start:split] >= lo[split:stop, None])
-            weight = np.where(mask, _weights(how, np.maximum(gap, 0.0), span[split:stop], lam), 0.0)
-            count = weight * n[None, start:split]
-            hit = np.flatnonzero(mask.any(axis=1))
-            at.append(split + hit)
-            w.append(count.sum(axis=1)[hit])
-            days.append((count * gap).sum(axis=1)[hit])
-            out.append((weight @ flat[vector_row[start] : vector_row[start] + split - start])[hit])
+            past = flat[vector_row[start] : vector_row[start] + split - start]
+            for ask in range(split, stop, INDEX_ROWS):
+                end = min(ask + INDEX_ROWS, stop)
+                gap = d[ask:end, None] - d[None, start:split]
+                mask = (gap >= 0) & (d[None, start:split] >= lo[ask:end, None])
+                weight = np.where(mask, _weights(how, np.maximum(gap, 0.0), span[ask:end], lam), 0.0)
+                count = weight * n[None, start:split]
+                hit = np.flatnonzero(mask.any(axis=1))
+                at.append(ask + hit)
+                w.append(count.sum(axis=1)[hit])
+                days.append((count * gap).sum(axis=1)[hit])
+                out.append((weight @ past)[hit])
         rows = np.concatenate(at) if at else np.zeros(0, dtype=np.int64)
         values = np.concatenate(out).ravel() if out else np.zeros(0)
         offsets = np.arange(len(rows) + 1, dtype=np.int32) * dim
@@ -186,62 +231,52 @@ def history_vectors(
 
     ``vectors``: (entity, date, array).  ``how`` is mean, exponential, inverse or linear; a
     plain mean gets the mean days before the index appended.  ``months`` limits the look-back
-    (0 = the index date only).  Vectors are pre-summed per (entity, day), and index days meet
-    past days in blocks of at most 512 x 512 inside one matrix product, so neither a long
-    history nor a busy day grows a task.
+    (0 = the index date only).  Vectors are first summed per (entity, day), which spreads a
+    busy entity over its days.  Index days then meet past days in calendar blocks of about
+    eleven years, inside matrix products: a block holds at most one row per day, so no task
+    grows with the length of a history, and no (index, past) pair becomes a row.
     """
     day = F.col(ts).cast("date")
-    daily = vectors.where(F.col(vector).isNotNull()).select(
-        entity, day.alias("day"), array_to_vector(F.col(vector).cast("array<double>")).alias("v")
-    ).groupBy(entity, "day").agg(Summarizer.sum(F.col("v")).alias("v"), F.count(F.lit(1)).alias("n"))
-    daily = daily.select(entity, "day", "n", vector_to_array("v").alias("v"))
-
-    per_entity = Window.partitionBy(entity).orderBy("day")
-    daily = daily.withColumn("block", F.floor((F.row_number().over(per_entity) - 1) / BLOCK_DAYS).cast("int"))
-    points = index.select(entity, day.alias("day")).distinct()
-    # Earliest past day in reach of each index day, and the blocks that hold days in reach.
-    low = F.lit(None).cast("date") if months is None else (F.col("day") if months == 0 else F.add_months("day", -months))
-    points = points.withColumn("low", low).withColumn(
-        "index_block", F.floor((F.row_number().over(per_entity) - 1) / BLOCK_DAYS).cast("int")
-    )
-    blocks = daily.groupBy(entity, "block").agg(F.min("day").alias("first"), F.max("day").alias("last"))
-    reach = points.groupBy(entity, "index_block").agg(F.min("low").alias("low"), F.max("day").alias("high"))
-    tiles = reach.join(blocks, entity).where(
-        (F.col("first") <= F.col("high")) & (F.col("low").isNull() | (F.col("last") >= F.col("low")))
-    ).select(entity, "index_block", "block")
-
-    keys = [entity, "index_block", "block"]
-    none = F.array().cast("array<double>")
-    past = daily.join(tiles, [entity, "block"]).select(
-        *keys, F.lit(0).alias("kind"), F.unix_date("day").alias("d"), F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("span"), "n", "v"
+    raw = vectors.where(F.col(vector).isNotNull()).select(
+        entity, day.alias("day"), F.lit(1).cast("bigint").alias("n"), F.col(vector).cast("array<double>").alias("v")
     )
+    daily = sum_vectors(raw, [entity, "day"], ["n"], "v")
+    block = F.floor(F.unix_date("day") / BLOCK_DAYS).cast("int")
+    low = F.lit(None).cast("date") if months is None else (F.col("day") if months == 0 else F.add_months("day", -months))
+    points = index.select(entity, day.alias("day")).distinct().withColumn("low", low)
+    spans = raw.groupBy(entity, block.alias("block")).agg(F.min("day").alias("first"), F.max("day").alias("last"))
     if how == "linear":
-        points = _with_span(points, daily, entity)
+        points = _with_span(points, raw, entity)
     else:
         points = points.withColumn("span", F.lit(None).cast("int"))
-    asks = points.join(tiles, [entity, "index_block"]).select(
-        *keys, F.lit(1).alias("kind"), F.unix_date("day").alias("d"), F.unix_date("low").alias("lo"), "span", F.lit(0).cast("bigint").alias("n"), none.alias("v")
+    asks = points.join(spans, entity).where(
+        (F.col("first") <= F.col("day")) & (F.col("low").isNull() | (F.col("last") >= F.col("low")))
+    )
+    keys = [entity, "block"]
+    nothing, no_int = F.array().cast("array<double>"), F.lit(None).cast("int")
+    rows = daily.select(
+        entity, block.alias("block"), F.lit(0).alias("kind"), F.unix_date("day").alias("d"), no_int.alias("lo"), no_int.alias("span"), "n", "v"
+    ).unionByName(
+        asks.select(
+            *keys, F.lit(1).alias("kind"), F.unix_date("day").alias("d"), F.unix_date("low").alias("lo"), "span",
+            F.lit(0).cast("bigint").alias("n"), nothing.alias("v"),
+        )
     )
     schema = T.StructType([
         T.StructField(entity, index.schema[entity].dataType), T.StructField("d", T.IntegerType()),
         T.StructField("w", T.DoubleType()), T.StructField("days", T.DoubleType()), T.StructField("v", T.ArrayType(T.DoubleType())),
     ])
-    rows = past.unionByName(asks)
-    parts = rows.repartition(*keys).sortWithinPartitions(*keys, "kind", "d").mapInArrow(
-        _tile_sums(keys, entity, how, lam), schema
-    )
-    summed = parts.groupBy(entity, "d").agg(
-        Summarizer.sum(array_to_vector(F.col("v"))).alias("v"), F.sum("w").alias("w"), F.sum("days").alias("days")
-    )
-    mean = F.transform(vector_to_array("v"), lambda x: F.when(F.col("w") > 0, x / F.col("w")).otherwise(0.0))
+    parts = rows.repartition(*keys).sortWithinPartitions(*keys, "kind", "d").mapInArrow(_tile_sums(keys, entity, how, lam), schema)
+    summed = sum_vectors(parts, [entity, "d"], ["w", "days"], "v")
+    mean = F.transform("v", lambda x: F.when(F.col("w") > 0, x / F.col("w")).otherwise(0.0))
     if how == "mean":
         mean = F.concat(mean, F.array(F.col("days") / F.col("w")))
     return summed.select(entity, F.date_from_unix_date("d").alias(ts), mean.alias(vector))
 
 
-def _with_span(points: DataFrame, daily: DataFrame, entity: str) -> DataFrame:
+def _with_span(points: DataFrame, past: DataFrame, entity: str) -> DataFrame:
     """Days from each index day back to the first past day in reach (for linear decay)."""
-    marks = daily.select(entity, F.col("day")).withColumn("past", F.col("day")).unionByName(
+    marks = past.select(entity, "day").distinct().withColumn("past", F.col("day")).unionByName(
         points.select(entity, F.coalesce("low", F.lit("0001-01-01").cast("date")).alias("day")).withColumn("past", F.lit(None).cast("date"))
     )
     ahead = Window.partitionBy(entity).orderBy("day").rangeBetween(Window.currentRow, Window.unboundedFollowing)
