@@ -72,7 +72,8 @@ def valid_code5(
         .unionByName(confirmations.where(F.col(result) == 1).select(entity, ts))
         .groupBy(entity).agg(F.max(ts).alias("_last"))
     )
-    return fives.join(proof, entity).where(F.col(ts) <= F.col("_last")).drop("_last")
+    days = fives.select(entity, ts).distinct().join(proof, entity).where(F.col(ts) <= F.col("_last"))
+    return fives.join(days.select(entity, ts), [entity, ts], "left_semi")
 
 
 def earliest_event_date(

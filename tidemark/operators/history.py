@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .timeline import as_of, history_position
+from .timeline import as_of, history_position, running_by_instant
 
 PAGE_ROWS = 1024
 
@@ -39,11 +39,15 @@ def truncate_at_first_high(
     rows: DataFrame, entity: str, ts: str, key: str, code: str, *, threshold: int = 4
 ) -> DataFrame:
     """Keep what precedes the first code >= threshold in the order (ts, key)."""
+    return _before_cut(rows, entity, ts, key, code, threshold, {})
+
+
+def _before_cut(rows: DataFrame, entity: str, ts: str, key: str, code: str, threshold: int, totals: dict) -> DataFrame:
+    # The cut known up to an instant is enough to decide on the rows of that instant, so the
+    # rows are joined on (entity, ts) and never gathered per entity.
     mark = F.struct(F.col(ts), F.col(key))
-    cut = rows.where(F.col(code) >= threshold).groupBy(entity).agg(F.min(mark).alias("_cut"))
-    return (
-        rows.join(cut, entity, "left").where(F.col("_cut").isNull() | (mark < F.col("_cut"))).drop("_cut")
-    )
+    cut = running_by_instant(rows, entity, ts, {"_cut": ("min", F.when(F.col(code) >= threshold, mark))}, totals)
+    return rows.join(cut, [entity, ts]).where(F.col("_cut").isNull() | (mark < F.col("_cut"))).drop("_cut")
 
 
 def prior_history(
@@ -66,12 +70,8 @@ def explode_index_exams(
     the entity; the lists themselves are the first ``n_prior`` entries of the pages of
     the truncated history and all entries of the complete one.
     """
-    mark = F.struct(F.col(ts), F.col(key))
-    facts = exams.groupBy(entity).agg(
-        F.min(F.when(F.col(code) >= threshold, mark)).alias("_cut"),
-        F.count(F.lit(1)).alias("n_complete"), F.min(ts).alias("first_exam_date"),
-    )
-    kept = exams.join(facts, entity).where(F.col("_cut").isNull() | (mark < F.col("_cut"))).drop("_cut")
+    totals = {"n_complete": ("sum", F.lit(1)), "first_exam_date": ("min", F.col(ts))}
+    kept = _before_cut(exams, entity, ts, key, code, threshold, totals)
     return prior_history(
         kept, kept, entity, ts, ts, {"first_prior_date": ("min", F.col(ts)), "max_prior_code": ("max", F.col(code))}
     )
@@ -85,15 +85,12 @@ def point_in_time_features(
     ``n_answers`` is null for an entity without any questionnaire, 0 if all are later.
     """
     seen = answers.select(entity).distinct().withColumn("_any", F.lit(True))
-    out = as_of(
-        index, answers, entity, index_ts, ts,
+    days = as_of(
+        index.select(entity, index_ts).distinct(), answers, entity, index_ts, ts,
         {"n_answers": ("sum", F.lit(1)), **{f: ("max", F.col(f)) for f in features}},
-    )
-    return (
-        out.join(seen, entity, "left")
-        .withColumn("n_answers", F.when(F.col("_any"), F.coalesce("n_answers", F.lit(0)).cast("bigint")))
-        .drop("_any")
-    )
+    ).join(seen, entity, "left")
+    counted = F.when(F.col("_any"), F.coalesce("n_answers", F.lit(0)).cast("bigint"))
+    return index.join(days.withColumn("n_answers", counted).drop("_any"), [entity, index_ts])
 
 
 def history_flag_any(

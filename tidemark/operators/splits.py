@@ -31,7 +31,8 @@ def stratified_kfold(split: DataFrame, entity: str, event: str, *, folds: int =
 
 def exam_roles(rows: DataFrame, split: DataFrame, folds: DataFrame, entity: str, exam: str, *, n_folds: int = 5) -> DataFrame:
     """(exam, fold, role): test exams have fold -1; others are validation once, train otherwise."""
-    base = rows.select(exam, entity).join(split.select(entity, "split"), entity).join(folds.select(entity, "fold"), entity, "left")
+    per_entity = split.select(entity, "split").join(folds.select(entity, "fold"), entity, "left")
+    base = rows.select(exam, entity).join(per_entity, entity)
     role = F.when(F.col("split") == "test", F.array(F.struct(F.lit(-1).alias("fold"), F.lit("test").alias("role")))).otherwise(
         F.transform(
             F.sequence(F.lit(0), F.lit(n_folds - 1)),

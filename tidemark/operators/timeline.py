@@ -37,28 +37,33 @@ def _merge(kind: str, left: Column, right: Column) -> Column:
 
 
 def running_by_instant(
-    rows: DataFrame, entity: str | Sequence[str], ts: str, measures: dict[str, Measure]
+    rows: DataFrame, entity: str | Sequence[str], ts: str, measures: dict[str, Measure],
+    totals: dict[str, Measure] | None = None,
 ) -> DataFrame:
-    """One row per (entity, instant): each measure over all rows up to and at it."""
-    keys = as_list(entity)
+    """One row per (entity, instant): each measure over all rows up to and at it.
+
+    ``totals`` are measures over all rows of the entity.
+    """
+    keys, totals = as_list(entity), totals or {}
+    both = {**measures, **totals}
     kinds = {name: kind for name, (kind, _) in measures.items()}
-    moments = rows.groupBy(*keys, ts).agg(
-        *[_AGG[kind](col).alias(name) for name, (kind, col) in measures.items()]
-    )
+    whole = Window.partitionBy(*keys)
+    total_cols = [_AGG[kind](name).over(whole).alias(name) for name, (kind, _) in totals.items()]
+    moments = rows.groupBy(*keys, ts).agg(*[_AGG[kind](col).alias(name) for name, (kind, col) in both.items()])
     if _is_date(rows, ts):
         upto = Window.partitionBy(*keys).orderBy(ts).rowsBetween(
             Window.unboundedPreceding, Window.currentRow
         )
         return moments.select(
-            *keys, ts, *[_AGG[k](n).over(upto).alias(n) for n, k in kinds.items()]
+            *keys, ts, *[_AGG[k](n).over(upto).alias(n) for n, k in kinds.items()], *total_cols
         )
 
     moments = moments.withColumn("_day", F.to_date(ts))
     before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         moments.groupBy(*keys, "_day")
-        .agg(*[_AGG[k](n).alias(n) for n, k in kinds.items()])
-        .select(*keys, "_day", *[_AGG[k](n).over(before).alias(f"_carry_{n}") for n, k in kinds.items()])
+        .agg(*[_AGG[k](n).alias(n) for n, (k, _) in both.items()])
+        .select(*keys, "_day", *[_AGG[k](n).over(before).alias(f"_carry_{n}") for n, k in kinds.items()], *total_cols)
     )
     inside = Window.partitionBy(*keys, "_day").orderBy(ts).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -67,7 +72,7 @@ def running_by_instant(
         *keys, ts, "_day", *[_AGG[k](n).over(inside).alias(n) for n, k in kinds.items()]
     )
     return local.join(carried, [*keys, "_day"]).select(
-        *keys, ts, *[_merge(k, F.col(n), F.col(f"_carry_{n}")).alias(n) for n, k in kinds.items()]
+        *keys, ts, *[_merge(k, F.col(n), F.col(f"_carry_{n}")).alias(n) for n, k in kinds.items()], *totals
     )
 
 
@@ -149,9 +154,12 @@ def count_in_intervals(
     )
 
 
-def history_position(rows: DataFrame, entity: str, ts: str, key: str, name: str = "position") -> DataFrame:
-    """1-based position of each row in its entity's order (ts, key)."""
-    run = running_by_instant(rows, entity, ts, {"_upto": ("sum", F.lit(1))})
+def history_position(
+    rows: DataFrame, entity: str, ts: str, key: str, name: str = "position", total: str | None = None
+) -> DataFrame:
+    """1-based position of each row in its entity's order (ts, key), optionally with the entity's row count."""
+    totals = {total: ("sum", F.lit(1))} if total else {}
+    run = running_by_instant(rows, entity, ts, {"_upto": ("sum", F.lit(1))}, totals)
     same = Window.partitionBy(entity, ts).orderBy(F.desc(key))
     return (
         rows.join(run, [entity, ts])

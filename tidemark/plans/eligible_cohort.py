@@ -38,7 +38,8 @@ def labelled_index_exams(exams: DataFrame, confirmations: DataFrame, rules: Coho
     )
     kept = truncate_at_first_high(exams, "entity_id", "ts", "exam_id", "code", threshold=rules.threshold)
     seen = C.followup_counts(kept, exams, confirmations, "entity_id", "ts", "code", "result")
-    joined = index.join(seen, ["entity_id", "ts"], "left").join(events, "entity_id", "left")
+    # Event dates are attached per index day, so index rows are only joined on (entity, day).
+    joined = index.join(seen.join(events, "entity_id", "left"), ["entity_id", "ts"], "left")
     dated = joined.withColumn("days_to_event", C.days_to_event(F.col("ts"), F.col("event_date")))
     return C.add_year_columns(dated, "ts", "event_date", rules.cohort_end)
 

@@ -272,9 +272,8 @@ def dates_where_flag_set(spark, d):
   FROM slots s LEFT JOIN pos p ON p.entity_id = s.entity_id AND p.back = s.slot GROUP BY 1""")
 def latest_k_pad_mask(spark, d):
     k = 5
-    placed = H.history_position(exams(spark, d), "entity_id", "ts", "exam_id")
-    size = placed.groupBy("entity_id").agg(F.max("position").alias("n"))
-    last = placed.join(size, "entity_id").where(F.col("position") > F.col("n") - k)
+    placed = H.history_position(exams(spark, d), "entity_id", "ts", "exam_id", total="n")
+    last = placed.where(F.col("position") > F.col("n") - k)
     lists = last.groupBy("entity_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("position", "code"))), lambda e: e["code"]).alias("codes")
     )

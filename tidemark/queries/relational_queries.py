@@ -509,7 +509,8 @@ def collect_distinct_keys(spark, d):
     index = kept.where(F.col("code") >= 2)
     # Prior lists are prefixes, so their union is the prefix up to the entity's last index exam.
     last = index.groupBy("entity_id").agg(F.max("ts").alias("last"))
-    prior = kept.join(last, "entity_id").where(F.col("ts") <= F.col("last")).select("exam_id")
+    days = kept.select("entity_id", "ts").distinct().join(last, "entity_id").where(F.col("ts") <= F.col("last"))
+    prior = R.keep_ids(kept, days, ["entity_id", "ts"]).select("exam_id")
     return index.select("exam_id").union(prior).distinct()
 
 
