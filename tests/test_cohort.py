@@ -45,8 +45,7 @@ def test_interval_labels_on_boundaries(spark):
         ("boundary", D(2001, 5, 1), D(2002, 5, 1)), ("none", D(2001, 5, 1), None),
         ("late", D(2010, 12, 1), D(2010, 12, 2)), ("leap", D(2004, 2, 29), D(2005, 2, 28)),
     ], "name string, ts date, event date")
-    end = F.lit(END).cast("date")
-    cols = [C.interval_event_label(F.col("ts"), F.col("event"), 12 * (y - 1), 12 * y, end).alias(f"y{y}") for y in (1, 2)]
+    cols = [C.interval_event_label("ts", "event", 12 * (y - 1), 12 * y, END).alias(f"y{y}") for y in (1, 2)]
     got = {r.name: (r.y1, r.y2) for r in df.select("name", *cols).collect()}
     assert got == {"boundary": (1, 1), "none": (0, 0), "late": (0, 0), "leap": (1, 1)}
 
@@ -78,7 +77,7 @@ def test_survival_and_days(spark):
     end = F.lit(END).cast("date")
     m = C.survival_months(F.col("ts"), F.col("event"), 60, end)
     got = df.select(
-        C.days_to_event(F.col("ts"), F.col("event")).alias("d"), C.survival_days(F.col("ts"), F.col("event"), 12, end).alias("s"),
+        C.days_to_event(F.col("ts"), F.col("event")).alias("d"), C.survival_days("ts", "event", 12, END).alias("s"),
         m["months"].alias("m"), m["event"].alias("e"),
     ).collect()
     assert [r.d for r in got] == [-1, 59, None]
@@ -88,7 +87,7 @@ def test_survival_and_days(spark):
 
 def test_eligibility_columns(spark):
     df = spark.createDataFrame([(0, 0, 1, 0, 1, 0), (0, 0, 0, 1, 0, 0), (1, 0, 0, 0, 0, 1)], "e1 int, e2 int, e3 int, f1 int, f2 int, f3 int")
-    cols = C.eligibility_columns([F.col(f"e{i}") for i in (1, 2, 3)], [F.col(f"f{i}") for i in (1, 2, 3)])
+    cols = C.eligibility_columns(["e1", "e2", "e3"], ["f1", "f2", "f3"])
     assert [tuple(r) for r in df.select(*[c.alias(f"a{i}") for i, c in enumerate(cols)]).collect()] == [(1, 1, 1), (1, 0, 0), (1, 0, 0)]
 
 

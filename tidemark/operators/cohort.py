@@ -92,21 +92,23 @@ def earliest_event_date(
     return out.withColumn("event_date", F.least(*sources))
 
 
-def interval_event_label(index: Column, event: Column, low_months: int, high_months: int, cohort_end: Column) -> Column:
+def interval_event_label(index: str, event: str, low_months: int, high_months: int, cohort_end: str) -> Column:
     """1 if the event lies in [index + low, min(index + high, end)] and the lower bound is before the end.
 
-    Both ends count; bounds are taken at midnight.
+    Both ends count; bounds are taken at midnight.  ``index`` and ``event`` are column names.
     """
-    base = index.cast("date")
-    low, high = F.add_months(base, low_months), F.add_months(base, high_months)
-    hit = (low < cohort_end) & (event >= low) & (event <= F.least(high, cohort_end))
-    return F.coalesce(hit, F.lit(False)).cast("int")
+    low = f"add_months(CAST({index} AS DATE), {low_months})"
+    high = f"add_months(CAST({index} AS DATE), {high_months})"
+    end = f"DATE'{cohort_end}'"
+    hit = f"{low} < {end} AND {event} >= {low} AND {event} <= least({high}, {end})"
+    return F.expr(f"CAST(coalesce({hit}, false) AS INT)")
 
 
-def survival_days(index: Column, event: Column, high_months: int, cohort_end: Column) -> Column:
-    """Days to the event, or to the capped upper bound if there is none."""
-    end = F.coalesce(event.cast("timestamp_ntz"), F.least(F.add_months(index.cast("date"), high_months), cohort_end).cast("timestamp_ntz"))
-    return F.timestamp_diff("MICROSECOND", index.cast("timestamp_ntz"), end) / F.lit(86_400_000_000.0)
+def survival_days(index: str, event: str, high_months: int, cohort_end: str) -> Column:
+    """Days to the event, or to the capped upper bound if there is none (column names)."""
+    cap = f"least(add_months(CAST({index} AS DATE), {high_months}), DATE'{cohort_end}')"
+    end = f"coalesce(CAST({event} AS TIMESTAMP_NTZ), CAST({cap} AS TIMESTAMP_NTZ))"
+    return F.expr(f"timestampdiff(MICROSECOND, CAST({index} AS TIMESTAMP_NTZ), {end}) / 86400000000D")
 
 
 def survival_months(index: Column, event: Column, limit: int, cohort_end: Column) -> Column:
@@ -159,44 +161,44 @@ def followup_counts(
     )
 
 
-def any_of(cols: list[Column]) -> Column:
-    return F.greatest(*cols) if len(cols) > 1 else cols[0]
+def any_of(flags: list[str]) -> str:
+    """SQL for the maximum of 0/1 columns, 0 for none."""
+    return f"greatest(0, {', '.join(flags)})" if flags else "0"
 
 
-def event_free_before(events: list[Column], year: int) -> Column:
+def event_free_before(events: list[str], year: int) -> Column:
     """1 if no earlier interval has an event."""
-    prior = events[: year - 1]
-    return F.lit(1) if not prior else (F.lit(1) - any_of(prior))
+    return F.expr(f"1 - {any_of(events[: year - 1])}")
 
 
-def seen_at_or_after(flags: list[Column], year: int) -> Column:
+def seen_at_or_after(flags: list[str], year: int) -> Column:
     """1 if the interval or any later one has the flag."""
-    return any_of(flags[year - 1 :])
+    return F.expr(any_of(flags[year - 1 :]))
 
 
-def eligibility_columns(events: list[Column], followups: list[Column]) -> list[Column]:
+def eligibility_columns(events: list[str], followups: list[str]) -> list[Column]:
     """Per year: event-free before it, and an event or follow-up in it or later."""
     return [
-        (event_free_before(events, y) * any_of([seen_at_or_after(events, y), seen_at_or_after(followups, y)]))
+        F.expr(f"(1 - {any_of(events[: y - 1])}) * {any_of(events[y - 1 :] + followups[y - 1 :])}")
         for y in range(1, len(events) + 1)
     ]
 
 
 def eligibility_singleyear(df: DataFrame, events: list[str], followups: list[str], year: int) -> DataFrame:
     """Within-k-years form: adds ``eligibility`` and ``event_indicator``."""
-    happened = any_of([F.col(c) for c in events[:year]])
-    observed = any_of([F.col(c) for c in followups[year - 1 :]])
-    return df.withColumns({"eligibility": any_of([observed, happened]), "event_indicator": happened})
+    return df.withColumns({
+        "eligibility": F.expr(any_of(events[:year] + followups[year - 1 :])),
+        "event_indicator": F.expr(any_of(events[:year])),
+    })
 
 
 def add_year_columns(df: DataFrame, index_ts: str, event: str, cohort_end: str, years=YEARS) -> DataFrame:
     """Event indicator, follow-up flag and survival days for every year."""
-    end = F.lit(cohort_end).cast("date")
     cols: dict[str, Column] = {}
     for y in years:
-        cols[f"event_{y}yr"] = interval_event_label(F.col(index_ts), F.col(event), 12 * (y - 1), 12 * y, end)
-        cols[f"followup_{y}yr"] = (F.coalesce(F.col(f"n_followup_{y}yr"), F.lit(0)) > 0).cast("int")
-        cols[f"survival_{y}yr"] = survival_days(F.col(index_ts), F.col(event), 12 * y, end)
+        cols[f"event_{y}yr"] = interval_event_label(index_ts, event, 12 * (y - 1), 12 * y, cohort_end)
+        cols[f"followup_{y}yr"] = F.expr(f"CAST(coalesce(n_followup_{y}yr, 0) > 0 AS INT)")
+        cols[f"survival_{y}yr"] = survival_days(index_ts, event, 12 * y, cohort_end)
     return df.withColumns(cols).drop(*[f"n_followup_{y}yr" for y in years])
 
 
@@ -206,9 +208,9 @@ def grace_period_keep(event_first_year: Column, survival_first_year: Column, gra
 
 
 def add_eligibility(df: DataFrame, years=YEARS) -> DataFrame:
-    elig = eligibility_columns([F.col(f"event_{y}yr") for y in years], [F.col(f"followup_{y}yr") for y in years])
+    elig = eligibility_columns([f"event_{y}yr" for y in years], [f"followup_{y}yr" for y in years])
     return df.withColumns({f"eligible_{y}yr": c for y, c in zip(years, elig)})
 
 
 def any_eligible(years=YEARS) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(f"eligible_{y}yr") == 1 for y in years])
+    return F.expr(" OR ".join(f"eligible_{y}yr = 1" for y in years))

@@ -89,17 +89,10 @@ def cohort_attrition(labelled: DataFrame, rules: CohortRules) -> DataFrame:
 
 def yearly_counts(cohort: DataFrame) -> DataFrame:
     """Per year: rows, events, followed-up and eligible rows."""
-    per_year = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(y).alias("year"), F.col(f"event_{y}yr").alias("event"),
-                    F.col(f"followup_{y}yr").alias("followup"), F.col(f"eligible_{y}yr").alias("eligible"),
-                )
-                for y in C.YEARS
-            ]
-        )
-    )
+    rows = [
+        f"named_struct('year', {y}, 'event', event_{y}yr, 'followup', followup_{y}yr, 'eligible', eligible_{y}yr)" for y in C.YEARS
+    ]
+    per_year = F.expr(f"explode(array({', '.join(rows)}))")
     return (
         cohort.select(per_year.alias("y")).groupBy("y.year").agg(
             F.count(F.lit(1)).alias("n_exams"),

@@ -88,9 +88,8 @@ def _cohort(spark, d):
 
 def per_year(df, *names):
     """Ten yearly columns per name to one row per year."""
-    return F.explode(
-        F.array(*[F.struct(F.lit(y).alias("year"), *[F.col(f"{n}_{y}yr").alias(n) for n in names]) for y in C.YEARS])
-    )
+    rows = [f"named_struct('year', {y}, " + ", ".join(f"'{n}', {n}_{y}yr" for n in names) + ")" for y in C.YEARS]
+    return F.expr(f"explode(array({', '.join(rows)}))")
 
 
 # ------------------------------------------------------------------ flagship
@@ -353,8 +352,7 @@ Y = "(SELECT unnest(range(1, 11))::INTEGER AS y)"
   AND event_date >= CAST(ts + to_months(12 * (y - 1)) AS DATE) AND event_date <= least(CAST(ts + to_months(12 * y) AS DATE), DATE '{COHORT_END}')
   THEN 1 ELSE 0 END AS event FROM idx LEFT JOIN ev USING (entity_id), {Y}""")
 def interval_event_label(spark, d):
-    end = F.lit(COHORT_END).cast("date")
-    lab = lambda y: C.interval_event_label(F.col("ts"), F.col("event_date"), 12 * (y - 1), 12 * y, end)
+    lab = lambda y: C.interval_event_label("ts", "event_date", 12 * (y - 1), 12 * y, COHORT_END)
     years = F.explode(F.array(*[F.struct(F.lit(y).alias("year"), lab(y).alias("event")) for y in C.YEARS]))
     return _dated(spark, d).select("exam_id", years.alias("y")).select("exam_id", "y.year", "y.event")
 
@@ -362,8 +360,7 @@ def interval_event_label(spark, d):
 @query("survival_days", DATED + f"""SELECT exam_id, y AS year, CAST(coalesce(event_date, least(CAST(ts + to_months(12 * y) AS DATE), DATE '{COHORT_END}')) - ts AS DOUBLE) AS survival
   FROM idx LEFT JOIN ev USING (entity_id), {Y}""")
 def survival_days(spark, d):
-    end = F.lit(COHORT_END).cast("date")
-    years = F.explode(F.array(*[F.struct(F.lit(y).alias("year"), C.survival_days(F.col("ts"), F.col("event_date"), 12 * y, end).alias("survival")) for y in C.YEARS]))
+    years = F.explode(F.array(*[F.struct(F.lit(y).alias("year"), C.survival_days("ts", "event_date", 12 * y, COHORT_END).alias("survival")) for y in C.YEARS]))
     return _dated(spark, d).select("exam_id", years.alias("y")).select("exam_id", "y.year", "y.survival")
 
 
@@ -395,14 +392,14 @@ def drop_all_duplicated_ids(spark, d):
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 THEN 1 ELSE 0 END AS free FROM lab""")
 def event_free_before(spark, d):
     df = _labelled(spark, d)
-    ev = [F.col(f"event_{y}yr") for y in C.YEARS]
+    ev = [f"event_{y}yr" for y in C.YEARS]
     years = F.explode(F.array(*[F.struct(F.lit(y).alias("year"), C.event_free_before(ev, y).alias("free")) for y in C.YEARS]))
     return df.select("exam_id", years.alias("y")).select("exam_id", "y.year", "y.free")
 
 
 def _later(flag, name):
     def run(spark, d):
-        cols = [F.col(f"{flag}_{y}yr") for y in C.YEARS]
+        cols = [f"{flag}_{y}yr" for y in C.YEARS]
         years = F.explode(F.array(*[F.struct(F.lit(y).alias("year"), C.seen_at_or_after(cols, y).alias(name)) for y in C.YEARS]))
         return _labelled(spark, d).select("exam_id", years.alias("y")).select("exam_id", "y.year", f"y.{name}")
 
