@@ -115,7 +115,8 @@ def curve_ci(values: DataFrame, value: str, *, by: Sequence[str] = ()) -> DataFr
     limits = quantiles(values, value, {"lower": 0.025, "upper": 0.975}, by=by)
     if by:
         return stats.join(limits, list(by))
-    return stats.select("mean", "std", limits.select("lower").scalar().alias("lower"), limits.select("upper").scalar().alias("upper"))
+    ends = limits.select(F.struct("lower", "upper")).scalar()
+    return stats.select("mean", "std", ends["lower"].alias("lower"), ends["upper"].alias("upper"))
 
 
 def _ratio(a: Column, b: Column) -> Column:

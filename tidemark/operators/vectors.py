@@ -64,14 +64,6 @@ def apply_tfidf(counts: DataFrame, vocabulary: DataFrame, doc_id: str, *, sublin
     return raw.join(norm, doc_id).select(doc_id, "term", (F.col("w") / F.col("_norm")).alias("weight"))
 
 
-def dense_vectors(weights: DataFrame, vocabulary: DataFrame, doc_id: str, size: int) -> DataFrame:
-    """Dense float arrays in term order (vocabularies of bounded size)."""
-    position = vocabulary.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("pos"))
-    cells = weights.join(position, "term").groupBy(doc_id).agg(F.map_from_entries(F.collect_list(F.struct("pos", "weight"))).alias("m"))
-    slots = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    return cells.select(doc_id, slots.alias("vector"))
-
-
 def hashed_vectors(docs: DataFrame, doc_id: str, text: str, stop_words: Sequence[str], dim: int = 64) -> DataFrame:
     """Dense vectors of hashed term frequencies, computed per row without a vocabulary."""
     slot = F.transform(terms(F.col(text), stop_words), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))

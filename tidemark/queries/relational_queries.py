@@ -323,8 +323,8 @@ def null_out_of_range(spark, d):
 def percentile_trim(spark, d):
     items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     bounds = quantiles(items, "l_extendedprice", {"lo": 0.02, "hi": 0.98})
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    return items.select("l_orderkey", "l_linenumber", "l_partkey", R.inside_open(F.col("l_extendedprice"), lo, hi).alias("price"))
+    ends = bounds.select(F.struct("lo", "hi")).scalar()
+    return items.select("l_orderkey", "l_linenumber", "l_partkey", R.inside_open(F.col("l_extendedprice"), ends["lo"], ends["hi"]).alias("price"))
 
 
 PRIOR_N = """
@@ -368,8 +368,8 @@ def merge_sources(spark, d):
     return M.merge_sources(histories, pay, people, conf, ans).drop("birth").withColumn("first_exam_date", day("first_exam_date"))
 
 
-@query("confirmation_pipeline")
-def confirmation_pipeline(spark, d):
+@query("confirmation_stages")
+def confirmation_stages(spark, d):
     links = table(spark, d, "customer").select(F.col("c_custkey").alias("entity_id"), (F.col("c_custkey") + 1).alias("person_id"))
     staged = writers.write_stage(
         confirmation_reports(reports(spark, d), links, visit="visit_id", entity="entity_id", text="text"), stage_path(spark, "confirmations")
@@ -382,8 +382,8 @@ def confirmation_pipeline(spark, d):
     )
 
 
-@query("master_pipeline")
-def master_pipeline(spark, d):
+@query("master_stages")
+def master_stages(spark, d):
     out = M.masters(persons(spark, d), patients(spark, d), users(spark, d))
     stages = {name: writers.write_stage(df, stage_path(spark, name)) for name, df in out.items()}
     pairs = stages["valid_pairs"].groupBy("person_id").agg(F.count(F.lit(1)).alias("n_patients"))
