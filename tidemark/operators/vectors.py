@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .timeline import running_by_instant
 
 BLOCK_DAYS = 4096
 INDEX_ROWS = 512

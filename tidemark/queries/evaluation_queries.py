@@ -10,7 +10,6 @@ from ..operators.ordering import score_rank
 from ..session import stage_path
 from ..sources.writers import write_stage
 from .grounding import SCORES, scores, table, with_sql
-from .model_queries import _risk_rows
 from .registry import query
 
 BY = ["fold", "split"]

@@ -16,7 +16,7 @@ from ..operators.ordering import top_n
 from ..session import stage_path
 from ..sources.writers import write_stage
 from .cohort_queries import BASE, EVENTS, _labelled
-from .grounding import CONF, EXAMS, REPORTS, SCORES, confirmations, day, exams, reports, scores, table, with_sql
+from .grounding import CONF, EXAMS, REPORTS, confirmations, day, exams, reports, scores, table, with_sql
 from .registry import query
 
 # A short stop list; users pass their own (Spark ships lists per language).

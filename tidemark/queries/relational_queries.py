@@ -7,14 +7,13 @@ from functools import reduce
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import severity as S
 from ..functions import text as X
 from ..functions import topics
-from ..functions.names import birthdate_similarity, name_initials, name_similarity, normalize_name, pair_score
+from ..functions.names import birthdate_similarity, name_initials, normalize_name, pair_score
 from ..operators import relational as R
 from ..operators.history import truncate_at_first_high
-from ..operators.linkage import EXAM_THRESHOLD, consistent_pairs, score_pairs
-from ..operators.ordering import hash_rank, quantiles, score_rank
+from ..operators.linkage import EXAM_THRESHOLD, score_pairs
+from ..operators.ordering import quantiles, score_rank
 from ..plans import masters as M
 from ..plans.report_coding import confirmation_reports, report_outcomes
 from ..session import stage_path
