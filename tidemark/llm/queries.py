@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .common import documents
 from .exact_dedup import exact_groups
 from .mixing import plan_mix
+from .near_dedup import near_duplicates
+from .neighbours import nearest_neighbours
+from .packing import pack_documents
 from .registry import query
 from .sharding import shard_documents
 
@@ -55,3 +58,22 @@ def op3_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
 def op5_shards(spark: SparkSession, d: str) -> DataFrame:
     """Eight shards of near equal bytes; equal texts stay together."""
     return shard_documents(documents(spark, d), 8)
+
+
+@query("op1_near_dedup")
+def op1_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Near-duplicate classes on three-word shingles at a similarity of 0.85."""
+    return near_duplicates(documents(spark, d), words=3, percent=85)
+
+
+@query("op9_packing")
+def op9_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Token pieces of all documents in sequences of at most 4096 tokens."""
+    return pack_documents(documents(spark, d))
+
+
+@query("op10_neighbours")
+def op10_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Five nearest vectors by cosine of every vector whose id is divisible by 50."""
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet")
+    return nearest_neighbours(vectors, F.col("vec_id") % 50 == 0, 5)
