@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import staged, text_or_empty
 
-#: Leading bits of the text hash that name a run of groups. 2**16 run sizes are one row.
-CELL_BITS = 16
+#: Leading bits of the text hash that name a run of groups; all run sizes are one row.
+CELL_BITS = 14
 #: Rows that are numbered in one window at most, on average.
 BLOCK_ROWS = 20_000
 
@@ -34,10 +34,12 @@ def _needed(sizes: Column, capacity: Column) -> Column:
 def smallest_capacity(sizes: Column, shards: int) -> Column:
     """Smallest capacity at which the greedy walk needs no more than ``shards`` shards.
 
-    Binary search between the largest size and the sum; 63 halvings cover every long.
+    Binary search from the larger of the mean load and the largest size, to their sum, where
+    a greedy walk always fits; 63 halvings cover every long, and those after the end are skipped.
     """
     total = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, s: a + s)
-    bounds = F.struct(F.coalesce(F.array_max(sizes), F.lit(0)).cast("long").alias("lo"), total.alias("hi"))
+    mean, largest = F.ceil(total / shards).cast("long"), F.coalesce(F.array_max(sizes), F.lit(0)).cast("long")
+    bounds = F.struct(F.greatest(mean, largest).alias("lo"), (mean + largest).alias("hi"))
 
     def halve(b: Column, _: Column) -> Column:
         mid = (b["lo"] + F.floor((b["hi"] - b["lo"]) / 2)).cast("long")
@@ -51,19 +53,17 @@ def smallest_capacity(sizes: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(63)), bounds, halve, lambda b: b["hi"])
 
 
-def _assign(sizes: Column, capacity: Column) -> Column:
-    """The shard of every run, in order, by the greedy walk."""
-    start = F.struct(F.lit(0).alias("shard"), F.lit(0).cast("long").alias("load"), F.array().cast("array<int>").alias("cuts"))
-    # only the positions where a new shard begins are kept: as many as there are shards
-    walk = F.aggregate(
-        F.sequence(F.lit(1), F.size(sizes)), start,
-        lambda a, i: F.when(a["load"] + F.element_at(sizes, i) <= capacity, F.struct(
-            a["shard"].alias("shard"), (a["load"] + F.element_at(sizes, i)).alias("load"), a["cuts"].alias("cuts")))
-        .otherwise(F.struct(
-            (a["shard"] + 1).alias("shard"), F.element_at(sizes, i).alias("load"), F.array_append(a["cuts"], i - 1).alias("cuts"))),
+def cut_positions(sizes: Column, capacity: Column) -> Column:
+    """Positions (from 0) at which the greedy walk begins another shard."""
+    start = F.struct(
+        F.lit(0).alias("at"), F.lit(0).cast("long").alias("load"), F.array().cast("array<int>").alias("cuts"),
+    )
+    return F.aggregate(
+        sizes, start,
+        lambda a, s: F.when(a["load"] + s <= capacity, F.struct((a["at"] + 1).alias("at"), (a["load"] + s).alias("load"), a["cuts"].alias("cuts")))
+        .otherwise(F.struct((a["at"] + 1).alias("at"), s.alias("load"), F.array_append(a["cuts"], a["at"]).alias("cuts"))),
         lambda a: a["cuts"],
     )
-    return walk
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -74,7 +74,6 @@ def shard_documents(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", te
     empty one. Repeated rows each get a slot of their own; an empty table gives no rows. Other
     columns of ``docs`` are not read, whatever their names.
     """
-    cells = 1 << CELL_BITS
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         (F.octet_length(text_or_empty(text)) + 1).cast("long").alias("size"),
@@ -82,15 +81,12 @@ def shard_documents(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", te
         F.xxhash64(text_or_empty(text)).alias("h"),
     )
     rows = staged(rows.withColumn("cell", F.shiftrightunsigned("h", 64 - CELL_BITS).cast("int")), "shard-sizes")
-    runs = rows.groupBy("cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    ordered = runs.agg(F.sort_array(F.collect_list(F.struct("cell", "bytes", "n"))).alias("r"))  # at most 2**16 entries
-    found = (
-        ordered.select(F.col("r.cell").alias("cell"), F.col("r.bytes").alias("sizes"), F.col("r.n").alias("n"))
-        .withColumn("capacity", smallest_capacity(F.col("sizes"), shards))
-        .withColumn("cut", _assign(F.col("sizes"), F.col("capacity")))
-        .select(F.transform("cut", lambda i: F.element_at("cell", i + 1)).alias("first_cells"))
-        .first()
-    )
+    runs = staged(rows.groupBy("cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-cells")
+    ordered = F.sort_array(F.collect_list(F.struct("cell", "bytes")))  # at most 2**CELL_BITS entries
+    one = staged(runs.agg(ordered.alias("r")).select(F.col("r.cell").alias("cell"), F.col("r.bytes").alias("sizes")), "shard-runs")
+    # staged, so that the capacity is a value and not an expression inside the next walk
+    one = staged(one.withColumn("capacity", smallest_capacity(F.col("sizes"), shards)), "shard-capacity")
+    found = one.select(F.transform(cut_positions(F.col("sizes"), F.col("capacity")), lambda i: F.get("cell", i)).alias("first_cells")).first()
     cuts = list(found["first_cells"] or [])  # fewer than `shards` numbers
     shard = sum((F.when(F.col("cell") >= c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
 
