@@ -24,6 +24,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # no space set aside in advance: a store for each of many partitions would take it
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
