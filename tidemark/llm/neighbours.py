@@ -22,11 +22,11 @@ from .common import staged
 
 #: Vectors that the splits are fitted on, at most. More vectors need a larger sample.
 FIT_ROWS = 20_000
-TREES = 8
+TREES = 16
 #: Sample vectors in a leaf.
 LEAF = 24
 #: Leaves that a query names in all trees together.
-PROBES = 120
+PROBES = 400
 #: Members of a leaf that are compared in one task at most, on average.
 BLOCK = 4096
 
@@ -93,48 +93,70 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec_id, vector -> with a 128-bit key of the vector's numbers."""
+    """vec_id, vector, asks -> with a 128-bit key of the vector's numbers."""
     for batch in batches:
-        rows = _matrix(batch.column(1)).astype(np.float64)
-        keys = [xxhash.xxh3_128_hexdigest((r + 0.0).tobytes()) for r in rows]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), batch.column(1)], ["vec_id", "key", "vector"])
+        rows = _matrix(batch.column(1)).astype(np.float64) + 0.0  # one kind of zero
+        keys = pa.array([xxhash.xxh3_128_hexdigest(r.tobytes()) for r in rows], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), keys, batch.column(2), batch.column(1)], ["vec_id", "key", "asks", "vector"])
+
+
+#: Neighbouring leaves of a tree that are compared in one group, as a power of two.
+SIBLINGS = 4
 
 
 def _router(forest: Forest):
+    """id, vector -> a row for the leaf of every tree."""
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leaves = forest.leaves(_matrix(batch.column(1)))
-            at = np.repeat(np.arange(len(leaves)), forest.trees)
-            yield pa.RecordBatch.from_arrays([pa.array(leaves.ravel()), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], ["leaf", "key", "vector"])
+            yield _spread(batch, leaves.ravel(), np.repeat(np.arange(len(leaves)), forest.trees))
 
     return route
 
 
 def _prober(forest: Forest, probes: int):
+    """id, vector -> a row for every leaf that the query names."""
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             named = [forest.probe(a, probes) for a in forest.project(_matrix(batch.column(1)))]
-            at = pa.array(np.repeat(np.arange(len(named)), [len(x) for x in named]))
-            leaf = pa.array([x for one in named for x in one], pa.int64())
-            yield pa.RecordBatch.from_arrays([leaf, batch.column(0).take(at), batch.column(1).take(at)], ["leaf", "key", "vector"])
+            leaves = np.array([x for one in named for x in one], np.int64)
+            yield _spread(batch, leaves, np.repeat(np.arange(len(named)), [len(x) for x in named]))
 
     return probe
 
 
+def _spread(batch: pa.RecordBatch, leaves: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    at = pa.array(rows, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), batch.column(0).take(at), batch.column(1).take(at)], ["leaf", "id", "vector"])
+
+
 def _ranker(keep: int):
-    """Queries and members of one leaf block -> the nearest members of every query."""
+    """Queries and members of a few sibling leaves -> the nearest members of every query."""
 
     def rank(queries: pa.Table, members: pa.Table) -> pa.Table:
-        if not len(queries) or not len(members):
-            return pa.table({"query_key": pa.array([], pa.string()), "key": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
-        q, m = (_matrix(x["vector"]).astype(np.float64) for x in (queries, members))
-        qn, mn = np.sqrt((q * q).sum(axis=1)), np.sqrt((m * m).sum(axis=1))
-        rough = (q / qn[:, None]) @ (m / mn[:, None]).T
-        n = min(keep + 2, len(m))
-        best = np.argpartition(-rough, n - 1, axis=1)[:, :n]
-        qi, mi = np.repeat(np.arange(len(q)), n), best.ravel()
-        score = (q[qi] * m[mi]).sum(axis=1) / (qn[qi] * mn[mi])  # summed alike wherever the pair is met
-        return pa.table({"query_key": queries["key"].take(pa.array(qi)), "key": members["key"].take(pa.array(mi)), "score": score})
+        (ql, qid, q), (ml, mid, m) = (
+            (x["leaf"].to_numpy(), x["id"].to_numpy(), _matrix(x["vector"]).astype(np.float64)) for x in (queries, members)
+        )
+        asks, found, scores = [], [], []
+        for leaf in np.intersect1d(ql, ml):
+            a, b = np.flatnonzero(ql == leaf), np.flatnonzero(ml == leaf)
+            qn, mn = np.sqrt((q[a] * q[a]).sum(axis=1)), np.sqrt((m[b] * m[b]).sum(axis=1))
+            rough = (q[a] / qn[:, None]) @ (m[b] / mn[:, None]).T
+            n = min(keep + 2, len(b))
+            best = np.argpartition(-rough, n - 1, axis=1)[:, :n]
+            i, j = np.repeat(np.arange(len(a)), n), best.ravel()
+            # summed alike wherever the pair is met, so that its score is the same everywhere
+            scores.append((q[a[i]] * m[b[j]]).sum(axis=1) / (qn[i] * mn[j]))
+            asks.append(qid[a[i]])
+            found.append(mid[b[j]])
+        ask, near, score = (np.concatenate(x) if x else np.empty(0) for x in (asks, found, scores))
+        order = np.lexsort((near, -score, ask))
+        ask, near, score = ask[order], near[order], score[order]
+        first = np.searchsorted(ask, ask, "left") if len(ask) else np.empty(0, np.int64)
+        top = np.arange(len(ask)) - first < keep
+        return pa.table({"asked": ask[top].astype(np.int64), "id": near[top].astype(np.int64), "score": score[top].astype(np.float64)})
 
     return rank
 
@@ -155,45 +177,43 @@ def nearest_neighbours(
     most. Ties go to the smaller id; rows that share an id are the same row to each other.
     An empty table gives no rows.
     """
-    number = F.transform(F.col(vector), lambda x: x.cast("double"))
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), number.alias("vector"), is_query.alias("asks"))
+    real = vectors.schema[vector].dataType.elementType.typeName()
+    kind = real if real == "float" else "double"
+    number = F.transform(F.col(vector), lambda x: x.cast(kind))
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), number.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("vec_id").isNotNull() & _usable(F.col("vector")))
     common = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     dim = common["dim"] if common else 1
     rows = rows.where(F.size("vector") == dim)
-    keyed = rows.select("vec_id", "vector").mapInArrow(_keyed, "vec_id long, key string, vector array<double>")
+    keyed = rows.mapInArrow(_keyed, f"vec_id long, key string, asks boolean, vector array<{kind}>")
     first = Window.partitionBy("key").orderBy("vec_id")
-    few = keyed.withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1)  # limited before the shuffle, too
-    distinct = staged(
-        few.groupBy("key").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"), F.first("vector").alias("vector")), "vectors",
-    )
-    queries = staged(
-        rows.where(F.coalesce("asks", F.lit(False))).select("vec_id", "vector").mapInArrow(_keyed, "vec_id long, key string, vector array<double>")
-        .select(F.col("vec_id").alias("query_id"), F.col("key").alias("query_key"), "vector"),
-        "vector-queries",
-    )
+    few = keyed.drop("asks").withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1)  # limited before the shuffle, too
+    distinct = few.groupBy("key").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"), F.first("vector").alias("vector"))
+    distinct = staged(distinct.withColumn("id", F.element_at("ids", 1)), "vectors")  # a vector goes by its smallest id
+    asking = keyed.where("asks").select(F.col("vec_id").alias("query_id"), F.col("key").alias("k")).distinct()
+    queries = staged(asking.join(distinct, asking["k"] == distinct["key"]).select("query_id", F.col("id").alias("asked")), "vector-queries")
     sample = distinct.orderBy(F.xxhash64("key"), "key").limit(fit_rows).select("vector").toArrow()
     forest = Forest(_matrix(sample["vector"]) if len(sample) else np.zeros((0, dim)), trees, leaf)
 
-    schema = "leaf long, key string, vector array<double>"
-    members = distinct.select("key", "vector").mapInArrow(_router(forest), schema)
-    asked = queries.groupBy(F.col("query_key").alias("key")).agg(F.first("vector").alias("vector")).mapInArrow(_prober(forest, probes), schema)
-    blocks = distinct.select("key", "vector").mapInArrow(_router(forest), schema).groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    blocks = staged(blocks, "leaf-blocks")
-    members = members.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int")).drop("nb")
-    asked = asked.join(blocks, "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb")
+    schema = f"leaf long, id long, vector array<{kind}>"
+    members = distinct.select("id", "vector").mapInArrow(_router(forest), schema)
+    wanted = distinct.join(queries.select(F.col("asked").alias("id")).distinct(), "id", "left_semi").select("id", "vector")
+    asked = wanted.mapInArrow(_prober(forest, probes), schema)
+    sizes = members.groupBy("leaf").agg(F.count("*").alias("n"))
+    sizes = staged(sizes.select("leaf", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "leaf-blocks")
+    part = F.shiftright("leaf", SIBLINGS).alias("part")
+    members = members.join(sizes, "leaf").select(part, F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "leaf", "id", "vector")
+    asked = asked.join(sizes, "leaf").select(part, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "leaf", "id", "vector")
     near = (
-        asked.groupBy("leaf", "block").cogroup(members.groupBy("leaf", "block"))
-        .applyInArrow(_ranker(k + 1), "query_key string, key string, score double").distinct()
-    )
-    best = Window.partitionBy("query_key").orderBy(F.desc("score"), F.element_at("ids", 1))
-    top = (
-        near.join(distinct.select("key", "ids"), "key").withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1)
-        .select("query_key", "score", F.explode("ids").alias("vec_id"))
+        asked.groupBy("part", "block").cogroup(members.groupBy("part", "block"))
+        .applyInArrow(_ranker(k + 1), "asked long, id long, score double").distinct()
     )
+    best = Window.partitionBy("asked").orderBy(F.desc("score"), "id")
+    top = near.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1).drop("at")
+    top = staged(top.join(distinct.select("id", "ids"), "id").select("asked", "score", F.explode("ids").alias("vec_id")), "nearest")
     by_rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        queries.select("query_id", "query_key").distinct().join(staged(top, "nearest"), "query_key").where("query_id <> vec_id")
+        queries.join(top, "asked").where("query_id <> vec_id")
         .withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
