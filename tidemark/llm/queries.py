@@ -13,6 +13,7 @@ from .neighbours import nearest_neighbours
 from .packing import pack_documents
 from .registry import query
 from .sharding import shard_documents
+from .toxicity import fit_toxicity, in_fold, score_toxicity
 
 MIX_SQL = r"""
 WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS perm,
@@ -77,3 +78,14 @@ def op10_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """Five nearest vectors by cosine of every vector whose id is divisible by 50."""
     vectors = spark.read.parquet(f"{d}/embeddings.parquet")
     return nearest_neighbours(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    """Toxicity of every document; one third by hash is held out from learning."""
+    docs = documents(spark, d).select("doc_id", "text")
+    labels = spark.read.parquet(f"{d}/labels.parquet").where(~in_fold("doc_id", 3, 1))
+    scored = score_toxicity(docs, fit_toxicity(docs, labels))
+    return scored.select(
+        "doc_id", in_fold("doc_id", 3, 1).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.7).cast("int").alias("predicted"),
+    )
