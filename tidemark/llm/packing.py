@@ -30,7 +30,7 @@ END_ID = 2
 #: Partitions that share their left-over pieces at each level.
 FAN_IN = 32
 #: Words whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, cls int, worker int, row long"
 
@@ -76,23 +76,40 @@ class _Ids(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.zeros(size, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
 
     def encode(self, words: list[str]) -> list[bytes]:
-        fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(e.ids, "<u4").tobytes() for e in fast(words, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of letter runs and marks, many in one call: each of them ends with an end-of-word token."""
+        out: list[bytes] = []
+        for at in range(0, len(parts), 1000):
+            some = parts[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            to = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(to) == len(some):
+                packed = ids.tobytes()
+                out += [packed[i:j] for i, j in zip([0, *to[:-1]], to, strict=True)]
+            else:
+                out += self.encode(some)
+        return out
 
     def learn(self, words: set[bytes]) -> None:
-        """Add the ids of new words, all in one call; a word and its end mark are learned apart."""
-        if len(self) + len(words) > REMEMBERED:
-            self.clear()
-        cores: dict[bytes, tuple[bytes, bytes]] = {}
+        """Add the ids of new words; a word of plain letters and its end mark are learned apart."""
+        cores: dict[bytes, tuple[str, str]] = {}
         for w in words:
-            core = w.rstrip(b".,;:!?|*$%&)")
-            if core.isalpha():  # ASCII letters only: the pattern splits the end mark off
-                cores[w] = (core.lower(), w[len(core) :])
+            text = w.decode("utf-8", "replace")
+            core = text.rstrip(".,;:!?|*$%&)")
+            # letters of the Latin blocks that lower-case alike everywhere; the pattern splits the mark off
+            if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
+                cores[w] = (core.lower(), text[len(core) :])
         parts = sorted({p for pair in cores.values() for p in pair if p})
-        ids = dict(zip(parts, self.encode([p.decode() for p in parts]), strict=True))
-        ids[b""] = b""
+        ids = dict(zip(parts, self.encode_parts(parts), strict=True))
+        ids[""] = b""
         whole = sorted(w for w in words if w not in cores)
         self.update(zip(whole, self.encode([w.decode("utf-8", "replace") for w in whole]), strict=True))
         self.update({w: ids[a] + ids[b] for w, (a, b) in cores.items()})
@@ -106,18 +123,11 @@ def token_bytes(texts: list[str | None], tokenizer: str) -> list[bytes]:
     if tokenizer not in _REMEMBER:
         _REMEMBER[tokenizer] = _Ids(tokenizer)
     known = _REMEMBER[tokenizer]
-    out = []
-    for text in texts:
-        words = (text or "").encode("utf-8", "replace").split()
-        new = set(words).difference(known)
-        if new:
-            known.learn(new)
-        try:
-            out.append(b"".join(map(known.__getitem__, words)))
-        except KeyError:  # the memory was emptied before this text's other words
-            known.learn(set(words))
-            out.append(b"".join(map(known.__getitem__, words)))
-    return out
+    split = [(text or "").encode("utf-8", "replace").split() for text in texts]
+    if len(known) > REMEMBERED:
+        known.clear()
+    known.learn({w for words in split for w in words if w not in known})
+    return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def _piecer(tokenizer: str | None, capacity: int):
@@ -127,12 +137,14 @@ def _piecer(tokenizer: str | None, capacity: int):
         path, worker, row = tokenizer or default_tokenizer(), TaskContext.get().partitionId(), 0
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), token_bytes(batch.column(1).to_pylist(), path), strict=True):
-                ids += end
-                n = len(ids) // 4
-                for start, length, k in cut(n, capacity):
-                    rows.append((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, k, worker, row))
-                    row += 1
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for doc, ids in zip(part.column(0).to_pylist(), token_bytes(part.column(1).to_pylist(), path), strict=True):
+                    ids += end
+                    n = len(ids) // 4
+                    for start, length, k in cut(n, capacity):
+                        rows.append((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, k, worker, row))
+                        row += 1
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(8)]
             types = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in PIECES.split(", ")])
