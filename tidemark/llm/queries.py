@@ -12,6 +12,7 @@ from .near_dedup import near_duplicates
 from .neighbours import nearest_neighbours
 from .packing import pack_documents
 from .registry import query
+from .repeats import repeated_spans
 from .sharding import shard_documents
 from .toxicity import fit_toxicity, in_fold, score_toxicity
 
@@ -89,3 +90,9 @@ def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return scored.select(
         "doc_id", in_fold("doc_id", 3, 1).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.7).cast("int").alias("predicted"),
     )
+
+
+@query("op6_repeats")
+def op6_repeats(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes covered by 400-byte strings that occur elsewhere, for every document."""
+    return repeated_spans(documents(spark, d), 400).drop("spans")
