@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from .common import documents
 from .exact_dedup import exact_groups
+from .language import fit_languages, identify_languages
 from .mixing import plan_mix
 from .near_dedup import near_duplicates
 from .neighbours import nearest_neighbours
 from .packing import pack_documents
+from .quality import fit_quality, score_quality
 from .registry import query
 from .repeats import repeated_spans
 from .sharding import shard_documents
@@ -96,3 +98,25 @@ def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
 def op6_repeats(spark: SparkSession, d: str) -> DataFrame:
     """Bytes covered by 400-byte strings that occur elsewhere, for every document."""
     return repeated_spans(documents(spark, d), 400).drop("spans")
+
+
+@query("op7_language")
+def op7_language(spark: SparkSession, d: str) -> DataFrame:
+    """Language of every document; one quarter by hash is held out from learning."""
+    docs = documents(spark, d)
+    held_out = in_fold("doc_id", 4, 2)
+    found = identify_languages(docs.select("doc_id", "text"), fit_languages(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_rejected").alias("rejected"))
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Quality of every document by co-training; one third by hash is held out from learning."""
+    docs = documents(spark, d).select("doc_id", "text", "lang", "source")
+    held_out = in_fold("doc_id", 3, 1)
+    labels = spark.read.parquet(f"{d}/labels.parquet").where(~held_out)
+    scored = score_quality(docs, fit_quality(docs.where(~held_out), labels))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), F.col("_content").alias("content_score"), F.col("_meta").alias("metadata_score"),
+        F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"),
+    )
