@@ -10,7 +10,8 @@ threshold at most once in ten thousand cases.
 Documents with equal sets are one node. In a table's bucket every node is checked against the
 bucket's smallest node, first one candidate per node, then those that are still in different
 components. Buckets of three or more nodes that still hold several components are searched
-for further candidates in blocks. Every link is confirmed on full sets.
+for further candidates in blocks, by the share of equal minhashes. Every link is confirmed on
+full sets.
 """
 
 from __future__ import annotations
@@ -68,29 +69,37 @@ def collections_per_side(percent: int) -> int:
 
 
 def _signer(size: int, m: int):
-    """Arrow map: doc_id, text -> doc_id, n_shingles, set_id, keys (both collections)."""
+    """Arrow map: doc_id, text -> doc_id, n_shingles, set_id, keys (both collections), sketch.
+
+    The sketch is one byte of every minhash.
+    """
     hashes = _odd(2 * m * ROWS, 5)[:, None]
     weights, salt = _odd(ROWS, 7), _odd(2 * m, 9)
 
-    def keys(s: np.ndarray) -> np.ndarray:
+    def keys(s: np.ndarray) -> tuple[np.ndarray, bytes]:
         least = np.full(2 * m * ROWS, np.iinfo(np.uint64).max, np.uint64)
         for at in range(0, len(s), 4096):
             np.minimum(least, (hashes * s[None, at : at + 4096]).min(axis=1), out=least)
-        return _mixed((_mixed(least).reshape(2 * m, ROWS) * weights).sum(axis=1, dtype=np.uint64) + salt).view(np.int64)
+        mixed = _mixed(least)
+        joined = (mixed.reshape(2 * m, ROWS) * weights).sum(axis=1, dtype=np.uint64) + salt
+        return _mixed(joined).view(np.int64), (mixed & np.uint64(255)).astype(np.uint8).tobytes()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, sets, all_keys = [], [], []
+            sizes, sets, all_keys, sketches = [], [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), size)
                 sizes.append(len(s))
                 sets.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
-                all_keys.append(keys(s) if len(s) else np.empty(0, np.int64))
+                k, sketch = keys(s) if len(s) else (np.empty(0, np.int64), None)
+                all_keys.append(k)
+                sketches.append(sketch)
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in all_keys])]).astype(np.int32)
             flat = np.concatenate(all_keys) if all_keys else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                ["doc_id", "n_shingles", "set_id", "keys"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.string()), lists, pa.array(sketches, pa.binary())],
+                ["doc_id", "n_shingles", "set_id", "keys", "sketch"],
             )
 
     return sign
@@ -114,12 +123,18 @@ def _confirmer(size: int, percent: int):
     return confirm
 
 
+def least_agreeing(m: int, percent: int) -> int:
+    """Equal minhashes that a pair at the threshold has but for a few cases in a million."""
+    n, p = 2 * m * ROWS, percent / 100
+    return math.floor(n * p - 4.4 * math.sqrt(n * p * (1 - p)))
+
+
 def _agreeing(least: int):
     """Grouped Arrow map over one block pair of a bucket: likely pairs across components."""
 
     def find(table: pa.Table) -> pa.Table:
         node, comp = table["node"].to_numpy(), table["comp"].to_numpy()
-        keys = np.stack(table["keys"].to_numpy(zero_copy_only=False))
+        keys = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(node), -1)
         block, (i, j) = table["block"].to_numpy(), (table["bi"][0].as_py(), table["bj"][0].as_py())
         xs, ys = [], []
         right = np.flatnonzero(block == j)
@@ -168,12 +183,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, doc_i
     m = collections_per_side(percent)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = staged(
-        rows.mapInArrow(_signer(words, m), "doc_id long, n_shingles long, set_id string, keys array<long>"), "minhash",
+        rows.mapInArrow(_signer(words, m), "doc_id long, n_shingles long, set_id string, keys array<long>, sketch binary"), "minhash",
     )
     with_set = signed.where("doc_id IS NOT NULL AND set_id IS NOT NULL")
     heads = staged(with_set.groupBy("set_id").agg(F.min("doc_id").alias("node")), "sets")
     nodes = with_set.join(heads.withColumnRenamed("set_id", "s"), (F.col("set_id") == F.col("s")) & (F.col("doc_id") == F.col("node")))
-    nodes = nodes.select("node", "keys")
+    nodes = nodes.select("node", "keys", "sketch")
 
     # keys of a collection that no other node has cannot be half of a shared table key
     single = nodes.select("node", F.posexplode("keys").alias("pos", "key"))
@@ -216,11 +231,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, doc_i
     once = staged(held.groupBy("n", "members").agg(F.min("bucket").alias("bucket")), "mixed-buckets")
     if not once.isEmpty():
         n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        placed = named.join(once.select("bucket", n_blocks.alias("nb")), "bucket").join(nodes, "node")
+        placed = named.join(once.select("bucket", n_blocks.alias("nb")), "bucket").join(nodes.select("node", "sketch"), "node")
         placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
         placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        placed = placed.select("bucket", "node", "comp", "keys", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-        likely = placed.groupBy("bucket", "bi", "bj").applyInArrow(_agreeing(3), "x long, y long").distinct()
+        placed = placed.select("bucket", "node", "comp", "sketch", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+        likely = placed.groupBy("bucket", "bi", "bj").applyInArrow(_agreeing(least_agreeing(m, percent)), "x long, y long").distinct()
         likely = staged(likely.join(stars, ["x", "y"], "left_anti"), "mixed-candidates")
         if not likely.isEmpty():
             links = links.union(confirmed(likely))
