@@ -58,7 +58,7 @@ class Forest:
                 node = 2 * node + (x >= self.thresholds[t, node])
 
     def project(self, vectors: np.ndarray) -> np.ndarray:
-        flat = self.directions.reshape(self.trees * self.depth, -1)
+        flat = self.directions.reshape(self.trees * self.depth, vectors.shape[1])
         return (vectors.astype(np.float32) @ flat.T).reshape(len(vectors), self.trees, self.depth)
 
     def leaves(self, vectors: np.ndarray) -> np.ndarray:
