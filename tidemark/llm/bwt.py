@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .superkmers import ANCHOR, gram_hashes
+from .superkmers import gram_hashes
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -33,23 +33,28 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
 
 
 def long_matches(symbols: np.ndarray, length: int) -> np.ndarray:
-    """Starts of the suffixes that share ``length`` symbols or more with another suffix."""
+    """Starts of the suffixes that share ``length`` symbols or more with another suffix.
+
+    Symbols from 257 on are separators, each of which occurs once.
+    """
     n = len(symbols)
     order = suffix_array(symbols)
-    before = symbols[order - 1]  # the transform
-    step = np.empty(n, np.int64)
-    step[np.argsort(before, kind="stable")] = np.arange(n)  # where the suffix one symbol longer stands
+    before = symbols[order - 1].astype(np.int32)  # the transform
+    step = np.empty(n, np.int32)
+    step[np.argsort(before, kind="stable")] = np.arange(n, dtype=np.int32)  # where the suffix one symbol longer stands
+    letter = np.minimum(before, 257).astype(np.uint16)
     open_ = np.ones(n + 1, bool)
     open_[0] = open_[n] = False
-    low, high = np.array([0]), np.array([n - 1])
+    low, high = np.array([0], np.int32), np.array([n - 1], np.int32)
     for _ in range(length):
+        # the intervals are disjoint and in order, so sorting their places by letter alone sorts the targets
         sizes = high - low + 1
         ends = np.cumsum(sizes)
-        source = np.repeat(np.arange(len(low)), sizes)
-        places = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + np.repeat(low, sizes)
-        to = step[places]
-        by = np.argsort(to)
-        to, source, symbol = to[by], source[by], before[places[by]]
+        source = np.repeat(np.arange(len(low), dtype=np.int32), sizes)
+        places = np.arange(ends[-1], dtype=np.int32) + (low - (ends - sizes))[source].astype(np.int32)
+        by = np.argsort(letter[places], kind="stable")
+        places, source = places[by], source[by]
+        to, symbol = step[places], before[places]
         starts = np.ones(len(to), bool)
         starts[1:] = (to[1:] != to[:-1] + 1) | (source[1:] != source[:-1]) | (symbol[1:] != symbol[:-1])
         first = np.flatnonzero(starts)
@@ -59,6 +64,8 @@ def long_matches(symbols: np.ndarray, length: int) -> np.ndarray:
         open_[high + 1] = False
         if not len(low):
             break
+        again = np.argsort(low, kind="stable")  # only separators are out of order
+        low, high = low[again], high[again]
     shared = np.flatnonzero(open_)
     return np.unique(np.concatenate([order[shared], order[shared - 1]]))
 
@@ -66,16 +73,20 @@ def long_matches(symbols: np.ndarray, length: int) -> np.ndarray:
 def _stretches(contents: list[bytes], length: int) -> list[tuple[int, int, int]]:
     """Parts (content, from, to) outside which no window can be repeated.
 
-    A repeated window holds no ``ANCHOR``-byte string that occurs only once.
+    A repeated window holds no shorter string that occurs only once; the longest power of two
+    below two thirds of the window is looked at.
     """
+    size = 1 << max(0, int(length / 1.5).bit_length() - 1)
     joined = np.frombuffer(b"\xff".join(contents) + b"\xff", np.uint8)
     ends = np.cumsum([len(c) + 1 for c in contents])
-    grams = gram_hashes(joined)
+    if len(joined) < size:
+        return []
+    grams = gram_hashes(joined, size)
     breaks = np.concatenate([[0], np.cumsum(joined == 255)])
-    whole = breaks[ANCHOR:] == breaks[:-ANCHOR]
+    whole = breaks[size:] == breaks[:-size]
     _, inverse, count = np.unique(grams, return_inverse=True, return_counts=True)
     bad = np.concatenate([[0], np.cumsum((count[inverse] < 2) | ~whole)])
-    width = length - ANCHOR + 1
+    width = length - size + 1
     good = np.flatnonzero(bad[width:] == bad[:-width])
     if not len(good):
         return []
