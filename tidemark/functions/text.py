@@ -158,19 +158,20 @@ def word_chunks(text: Column, max_words: int, overlap: int = 0) -> Column:
     ``max_words <= 0`` gives one chunk; blank text gives none.  The overlap must be
     smaller than the chunk, otherwise chunking could not advance.
     """
-    tokens = words(text)
+    none = F.array().cast("array<string>")
     if max_words <= 0:
-        return F.when(F.size(tokens) > 0, F.array(F.array_join(tokens, " "))).otherwise(
-            F.array().cast("array<string>")
-        )
+        return bind(words(text), lambda t: F.when(F.size(t) > 0, F.array(F.array_join(t, " "))).otherwise(none))
     overlap = max(overlap, 0)
     if overlap >= max_words:
         raise ValueError("overlap must be smaller than max_words")
     step = max_words - overlap
-    n = F.size(tokens)
-    last = F.greatest(F.ceil((n - F.lit(max_words)) / F.lit(step)), F.lit(0)).cast("int")
-    pieces = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.array_join(F.slice(tokens, i * step + 1, F.lit(max_words)), " "),
-    )
-    return F.when(n > 0, pieces).otherwise(F.array().cast("array<string>"))
+
+    def chunks(tokens: Column) -> Column:  # the text is split once
+        n = F.size(tokens)
+        last = F.greatest(F.ceil((n - F.lit(max_words)) / F.lit(step)), F.lit(0)).cast("int")
+        pieces = F.transform(
+            F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(tokens, i * step + 1, F.lit(max_words)), " "),
+        )
+        return F.when(n > 0, pieces).otherwise(none)
+
+    return bind(words(text), chunks)

@@ -8,6 +8,7 @@ replacement, so no replicate moves whole rows around.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,11 +17,19 @@ from pyspark.sql import functions as F
 from .features import hash_uniform
 from .ordering import prefix_sums, quantiles, score_rank
 
-# Cumulative Poisson(1) probabilities of 0..7 draws.
-POISSON_STEPS = (
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-    0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253,
-)
+
+def _poisson_steps(resolution: float = 2.0**-32) -> list[float]:
+    """Cumulative Poisson(1) probabilities of 0, 1, ... draws, until the tail is below the hash's resolution."""
+    steps, term, total, k = [], math.exp(-1), 0.0, 0
+    while 1 - total > resolution:
+        total += term
+        steps.append(total)
+        k += 1
+        term /= k
+    return steps
+
+
+POISSON_STEPS = _poisson_steps()
 
 
 def score_counts(df: DataFrame, score: str, label: str, *, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
@@ -51,15 +60,18 @@ def auroc_ap(counts: DataFrame, score: str, *, by: Sequence[str] = ()) -> DataFr
 
 
 def roc_points(counts: DataFrame, score: str, *, by: Sequence[str] = ()) -> DataFrame:
-    """FPR and TPR at every distinct threshold (called positive at or above it)."""
+    """FPR and TPR at every distinct threshold (called positive at or above it).
+
+    A rate is null in a group that lacks the class it is a share of.
+    """
     pre = prefix_sums(counts, score, ["pos", "neg"], by=by)
+    above_neg, above_pos = F.col("total_neg") - F.col("below_neg"), F.col("total_pos") - F.col("below_pos")
     return pre.select(
         *by, F.col(score).alias("threshold"),
-        ((F.col("total_neg") - F.col("below_neg")) / F.col("total_neg")).alias("fpr"),
-        ((F.col("total_pos") - F.col("below_pos")) / F.col("total_pos")).alias("tpr"),
+        F.try_divide(above_neg, F.col("total_neg")).alias("fpr"), F.try_divide(above_pos, F.col("total_pos")).alias("tpr"),
         # the neighbouring point with the next higher threshold
-        ((F.col("total_neg") - F.col("below_neg") - F.col("neg")) / F.col("total_neg")).alias("fpr_before"),
-        ((F.col("total_pos") - F.col("below_pos") - F.col("pos")) / F.col("total_pos")).alias("tpr_before"),
+        F.try_divide(above_neg - F.col("neg"), F.col("total_neg")).alias("fpr_before"),
+        F.try_divide(above_pos - F.col("pos"), F.col("total_pos")).alias("tpr_before"),
     )
 
 

@@ -43,7 +43,8 @@ def moments(df: DataFrame, columns: Sequence[str]) -> Column:
 
 
 def zscore(value: Column, stats: Column, name: str) -> Column:
-    return (value - stats[f"mean_{name}"]) / stats[f"std_{name}"]
+    """Null for a column without spread."""
+    return F.try_divide(value - stats[f"mean_{name}"], stats[f"std_{name}"])
 
 
 def mean_impute_log1p(value: Column, stats: Column, name: str) -> Column:
@@ -65,9 +66,10 @@ def ordered_bin(value: Column) -> Column:
 
 
 def min_max(df: DataFrame, column: str) -> DataFrame:
-    """Scale a column to 0..1 by its minimum and maximum."""
+    """Scale a column to 0..1 by its minimum and maximum; a constant column becomes null."""
     ends = df.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi")).alias("e")).scalar()
-    return df.withColumn(column, (F.col(column) - ends["lo"]) / (ends["hi"] - ends["lo"]))
+    scaled = F.try_divide(F.col(column) - F.col("_ends.lo"), F.col("_ends.hi") - F.col("_ends.lo"))
+    return df.withColumn("_ends", ends).withColumn(column, scaled).drop("_ends")
 
 
 def standardise_features(
@@ -78,11 +80,17 @@ def standardise_features(
     """Impute, log, z-score and bin the structured features in one projection.
 
     ``stats_from`` names the table whose statistics are used (normally the training split),
-    by default the table itself.  An imputed ``bounded`` age counts only up to the raw age.
+    by default the table itself; the ends of the bins are part of them.  An imputed ``bounded``
+    age counts only up to the raw age.  The statistics are attached once, as one struct column.
     """
     source = df if stats_from is None else stats_from
-    stats = moments(source, [gaussian, bounded, *log_columns, *z_columns])
-    median = quantiles(source, bounded, {"median": 0.5}).scalar()
+    median_row = quantiles(source, bounded, {"median": 0.5})
+    stats_row = moments(source, [gaussian, bounded, *log_columns, *z_columns])
+
+    def with_stats(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({"_stats": stats_row, "_median": median_row.scalar()})
+
+    stats, median = F.col("_stats"), F.col("_median")
     out = {}
     filled = gaussian_impute_floor(F.col(gaussian), stats[f"mean_{gaussian}"], stats[f"std_{gaussian}"], f"{seed}-a", F.col(row_id))
     out[gaussian] = zscore(filled, stats, gaussian)
@@ -93,7 +101,11 @@ def standardise_features(
         out[c] = mean_impute_log1p(F.col(c), stats, c)
     for c in z_columns:
         out[c] = zscore(F.col(c), stats, c)
-    return min_max(df.withColumns(out), bounded)
+    bins = with_stats(source).select(out[bounded].alias("bin"))
+    ends = bins.agg(F.struct(F.min("bin").alias("lo"), F.max("bin").alias("hi")).alias("e")).scalar()
+    lo, hi = F.col("_ends.lo"), F.col("_ends.hi")
+    out[bounded] = F.try_divide(out[bounded] - lo, hi - lo)
+    return with_stats(df).withColumn("_ends", ends).withColumns(out).drop("_stats", "_median", "_ends")
 
 
 def one_hot(df: DataFrame, column: str, levels: Sequence[int], missing: int = -1) -> DataFrame:

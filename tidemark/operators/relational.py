@@ -7,14 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .timeline import as_list
 
 
 def first_row(df: DataFrame, keys: str | Sequence[str], order: Sequence[str] = ()) -> DataFrame:
-    """Keep one row per key: the smallest by ``order``, then by the other columns.
+    """Keep one row per key: the smallest by ``order``, then by the other columns, nulls last.
 
     A plain aggregation, so a key with very many copies is reduced map-side.
     """
@@ -23,8 +23,9 @@ def first_row(df: DataFrame, keys: str | Sequence[str], order: Sequence[str] = (
     rest += [c for c in df.columns if c not in keys and c not in rest]
     if not rest:
         return df.select(*keys).distinct()
-    best = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_best"))
-    return best.select(*keys, *[F.col(f"_best.`{c}`").alias(c) for c in rest]).select(*df.columns)
+    ranked = F.struct(*[F.struct(F.col(f"`{c}`").isNull().alias("none"), F.col(f"`{c}`").alias("value")).alias(f"_{i}") for i, c in enumerate(rest)])
+    best = df.groupBy(*keys).agg(F.min(ranked).alias("_best"))
+    return best.select(*keys, *[F.col(f"_best._{i}.value").alias(c) for i, c in enumerate(rest)]).select(*df.columns)
 
 
 def last_value(df: DataFrame, key: str, value: str, load_order: str) -> DataFrame:
@@ -46,10 +47,8 @@ def split_single_multi(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 
 
 def unique_ids_only(df: DataFrame, key: str) -> DataFrame:
-    """Drop every row whose id occurs more than once."""
-    rest = [c for c in df.columns if c != key]
-    one = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*rest)).alias("_row"))
-    return one.where(F.col("_n") == 1).select(key, *[F.col(f"_row.`{c}`").alias(c) for c in rest]).select(*df.columns)
+    """Drop every row whose id occurs more than once: rows are moved once and not aggregated."""
+    return df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key))).where(F.col("_n") == 1).drop("_n")
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, on: str | Sequence[str]) -> DataFrame:

@@ -71,7 +71,7 @@ def oversample_positive(rows: DataFrame, row_id: str, label: str, ratio: int, *,
     n = rows.agg(F.struct(F.sum(label).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")).alias("n")).scalar()
     goal = F.floor(n["neg"] / ratio)
     ranked = hash_rank(rows, row_id, strata=[label], seed=seed, name="_r")
-    whole = F.floor(goal / n["pos"])
+    whole = F.coalesce(F.floor(F.try_divide(goal, n["pos"])), F.lit(0))  # without positives there is nothing to repeat
     copies = F.when(F.col(label) == 1, whole + F.when(F.col("_r") <= goal - whole * n["pos"], 1).otherwise(0)).otherwise(F.lit(1))
     repeated = F.array_repeat(F.lit(1), copies.cast("int"))
     return ranked.withColumn("_c", F.explode(repeated)).drop("_c", "_r")

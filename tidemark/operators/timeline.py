@@ -131,26 +131,28 @@ def count_in_intervals(
         edge = bound(at).cast(joint)
         return (edge - step).cast(joint) if lower_closed else edge
 
-    edges = []
+    # an edge that ends one interval and begins the next is one point with both signs
+    edges: dict[str, tuple[Column, dict[str, int]]] = {}
     for name, (low, high, _) in intervals.items():
-        edges.append(F.struct(F.lit(name).alias("name"), F.lit(-1).alias("sign"), lower_edge(low).alias("edge")))
-        edges.append(F.struct(F.lit(name).alias("name"), F.lit(1).alias("sign"), high(at).cast(joint).alias("edge")))
+        for sign, edge in ((-1, lower_edge(low)), (1, high(at).cast(joint))):
+            edges.setdefault(str(edge), (edge, {}))[1][name] = sign
+    which = {key: i for i, key in enumerate(edges)}
     points = (
         index.select(entity, index_ts)
         .distinct()
-        .withColumn("_e", F.explode(F.array(*edges)))
-        .select(entity, index_ts, "_e.name", "_e.sign", "_e.edge")
+        .withColumn("_e", F.explode(F.array(*[F.struct(F.lit(which[k]).alias("at"), e.alias("edge")) for k, (e, _) in edges.items()])))
+        .select(entity, index_ts, "_e.at", "_e.edge")
     )
     valued = as_of(
         points, events, entity, "edge", event_ts, {m: ("sum", c) for m, c in measures.items()}
     )
+    def signed(name: str, measure: str) -> Column:
+        upto = F.coalesce(F.col(measure), F.lit(0))
+        begin, end = (which[k] for k in sorted((k for k, (_, names) in edges.items() if name in names), key=lambda k: edges[k][1][name]))
+        return F.sum(F.when(F.col("at") == end, upto).when(F.col("at") == begin, -upto).otherwise(0))
+
     return valued.groupBy(entity, index_ts).agg(
-        *[
-            F.sum(
-                F.when(F.col("name") == name, F.col("sign") * F.coalesce(F.col(measure), F.lit(0))).otherwise(0)
-            ).cast("bigint").alias(name)
-            for name, (_, _, measure) in intervals.items()
-        ]
+        *[signed(name, measure).cast("bigint").alias(name) for name, (_, _, measure) in intervals.items()]
     )
 
 

@@ -25,10 +25,13 @@ class CohortRules:
     threshold: int = 4
 
 
-def labelled_index_exams(exams: DataFrame, confirmations: DataFrame, rules: CohortRules) -> DataFrame:
+def labelled_index_exams(
+    exams: DataFrame, confirmations: DataFrame, rules: CohortRules, births: DataFrame | None = None
+) -> DataFrame:
     """Index exams with event date, yearly labels, follow-up flags and survival times.
 
     ``exams``: entity_id, exam_id, ts, code.  ``confirmations``: entity_id, ts, result.
+    ``births`` (entity_id, birth; one row per entity) adds the age in whole years.
     """
     confirmations = C.confirmation_days(confirmations, "entity_id", "ts", "result")
     index = explode_index_exams(exams, "entity_id", "ts", "exam_id", "code", threshold=rules.threshold)
@@ -39,7 +42,11 @@ def labelled_index_exams(exams: DataFrame, confirmations: DataFrame, rules: Coho
     kept = truncate_at_first_high(exams, "entity_id", "ts", "exam_id", "code", threshold=rules.threshold)
     seen = C.followup_counts(kept, exams, confirmations, "entity_id", "ts", "code", "result")
     # Event dates are attached per index day, so index rows are only joined on (entity, day).
-    joined = index.join(seen.join(events, "entity_id", "left"), ["entity_id", "ts"], "left")
+    days = seen.join(events, "entity_id", "left")
+    if births is not None:
+        days = days.join(births.select("entity_id", "birth"), "entity_id", "left")
+        days = days.withColumn("age", C.age_in_years(F.col("birth"), F.col("ts"))).drop("birth")
+    joined = index.join(days, ["entity_id", "ts"], "left")
     dated = joined.withColumn("days_to_event", C.days_to_event(F.col("ts"), F.col("event_date")))
     return C.add_year_columns(dated, "ts", "event_date", rules.cohort_end)
 
@@ -49,8 +56,15 @@ def _steps(df: DataFrame, rules: CohortRules) -> list[tuple[str, Column]]:
         ("start_date", F.col("ts") >= F.lit(rules.start_date).cast("date")),
         ("past_event", F.col("days_to_event").isNull() | (F.col("days_to_event") >= 0)),
     ]
-    if rules.min_age is not None and "age" in df.columns:
-        steps.append(("age", F.coalesce(F.col("age").between(rules.min_age, rules.max_age), F.lit(False))))
+    if rules.min_age is not None or rules.max_age is not None:
+        if "age" not in df.columns:
+            raise ValueError("the age rule needs a column age: give birth dates to labelled_index_exams")
+        in_range = F.col("age").isNotNull()
+        if rules.min_age is not None:
+            in_range &= F.col("age") >= rules.min_age
+        if rules.max_age is not None:
+            in_range &= F.col("age") <= rules.max_age
+        steps.append(("age", F.coalesce(in_range, F.lit(False))))
     if rules.grace_days is not None:
         steps.append(("grace_period", C.grace_period_keep(F.col("event_1yr"), F.col("survival_1yr"), rules.grace_days)))
     return steps

@@ -164,9 +164,7 @@ def brier_score(spark, d):
 @query("model_outputs_table", with_sql(SCORES) + "SELECT exam_id, fold, split, label, round(score, 6) AS pred FROM scores WHERE score >= 0.1")
 def model_outputs_table(spark, d):
     rows = scores(spark, d).where(F.col("score") >= 0.1)
-    parts = [rows.where(F.col("fold") == k) for k in range(3)]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.select("exam_id", "fold", "split", "label", F.round("score", 6).alias("pred"))
+    return rows.select("exam_id", "fold", "split", "label", F.round("score", 6).alias("pred"))
 
 
 # ------------------------------------------------------------------ attributions

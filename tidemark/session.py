@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,12 +12,15 @@ from pyspark.sql import SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only when the cluster names none (a local test) a scratch folder is made
-    and recorded in the session, so every stage of one session uses the same.
+    Where the setting is missing, a session in one local process gets a scratch folder, the
+    same for all its stages. On a cluster a missing setting is an error: files in a machine's
+    own folder would not be seen by the others.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not path and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not path:
         path = spark.conf.get("spark.tidemark.local.dir", None)
     if not path:

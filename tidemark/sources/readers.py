@@ -21,15 +21,6 @@ def read_projected(
     return df.select(*columns) if columns else df
 
 
-def spread_small_input(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan that has fewer splits than there are cores, before CPU-heavy text work.
-
-    A table with many splits is returned as it is, so a large input is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def with_report_key(df: DataFrame, visit: str, text: str) -> DataFrame:
     """Exam reports: null text dropped; trimmed text, its hash and the report key added."""
     kept = df.where(F.col(text).isNotNull())

@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 def ingest_available(
     spark: SparkSession, source: str, schema: T.StructType, target: str, checkpoint: str, *,
     glob: str = "*.parquet", files_per_batch: int = 1000,
-) -> int:
-    """Append files not yet ingested to ``target``; returns the number of rows added.
+) -> None:
+    """Append files not yet ingested to ``target``.
 
     The checkpoint remembers finished files, so a run after a failure, or after new files
     arrived, does only the rest.
@@ -28,4 +28,3 @@ def ingest_available(
         .start(target)
     )
     query.awaitTermination()
-    return sum(p["numInputRows"] for p in query.recentProgress)
