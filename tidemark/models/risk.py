@@ -7,10 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import CountVectorizer, IDF, NGram, RegexTokenizer, StopWordsRemover, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, NGram, RegexTokenizer, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,14 +19,17 @@ def feature_vector(df: DataFrame, vector: str, extra: Sequence[str], name: str =
     return df.withColumn(name, array_to_vector(F.concat(F.col(vector).cast("array<double>"), tail)))
 
 
-def risk_estimator(kind: str, *, inputs: int = 0, seed: int = 42) -> Estimator:
-    """"logistic", "boosted" trees or a small "perceptron"; ``inputs`` is its feature count."""
+def risk_estimator(kind: str, *, inputs: int = 0, hidden: Sequence[int] = (16,), max_iter: int = 100, depth: int = 5, seed: int = 42) -> Estimator:
+    """"logistic", "boosted" trees or a "perceptron"; ``inputs`` is its feature count.
+
+    ``max_iter`` bounds the optimiser's steps (the number of trees when boosted).
+    """
     if kind == "logistic":
-        return LogisticRegression(regParam=0.01, maxIter=50)
+        return LogisticRegression(regParam=0.01, maxIter=max_iter)
     if kind == "boosted":
-        return GBTClassifier(maxIter=10, maxDepth=3, seed=seed)
+        return GBTClassifier(maxIter=max_iter, maxDepth=depth, seed=seed)
     if kind == "perceptron":
-        return MultilayerPerceptronClassifier(layers=[inputs, 16, 2], maxIter=30, seed=seed)
+        return MultilayerPerceptronClassifier(layers=[inputs, *hidden, 2], maxIter=max_iter, seed=seed)
     raise ValueError(f"unknown model {kind!r}")
 
 
@@ -37,31 +38,37 @@ def predict(model: Model, df: DataFrame, *keep: str) -> DataFrame:
     return model.transform(df).select(*keep, vector_to_array("probability")[1].alias("pred"))
 
 
-def random_search(df: DataFrame, *, trials: int = 3, seed: int = 42, parallelism: int = 2) -> Model:
-    """Sampled logistic parameters scored by validation AUROC on one hold-out split."""
-    rng = random.Random(seed)
-    lr = LogisticRegression(maxIter=30)
-    maps = [
-        {lr.regParam: 10 ** rng.uniform(-4, 0), lr.elasticNetParam: rng.uniform(0, 1)} for _ in range(trials)
-    ]
-    return TrainValidationSplit(
-        estimator=lr, estimatorParamMaps=maps, evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
-        trainRatio=0.8, seed=seed, parallelism=parallelism,
-    ).fit(df)
-
+def search_trials(
+    train: DataFrame, validation: DataFrame, *keep: str, trials: int = 3, max_iter: int = 100, seed: int = 42
+) -> tuple[list[dict[str, float]], DataFrame]:
+    """Sampled logistic parameters, and each trial's predictions for the validation rows.
 
-def cross_validate(df: DataFrame, fold: str, folds: int, *, reg: Sequence[float] = (0.01, 0.1), parallelism: int = 2) -> Model:
-    """Given folds, best parameter by mean validation AUROC."""
-    lr = LogisticRegression(maxIter=30)
-    grid = ParamGridBuilder().addGrid(lr.regParam, list(reg)).build()
-    return CrossValidator(
-        estimator=lr, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
-        numFolds=folds, foldCol=fold, parallelism=parallelism,
-    ).fit(df)
-
-
-def text_pipeline(text: str, label: str, stop_words: Sequence[str], *, ngrams: int = 1, max_features: int = 5000, min_df: float = 2.0) -> Pipeline:
-    """TF-IDF and class-balanced multinomial logistic regression (``class_weight`` column)."""
+    Rows are ``trial``, the parameters, ``keep`` and pred; nothing is scored on rows that a
+    trial has learned from.
+    """
+    rng = random.Random(seed)
+    tried = [{"reg": 10 ** rng.uniform(-4, 0), "elastic_net": rng.uniform(0, 1)} for _ in range(trials)]
+    out = None
+    for i, p in enumerate(tried):
+        model = LogisticRegression(maxIter=max_iter, regParam=p["reg"], elasticNetParam=p["elastic_net"]).fit(train)
+        part = predict(model, validation, *keep).select(
+            F.lit(i).alias("trial"), F.lit(p["reg"]).alias("reg"), F.lit(p["elastic_net"]).alias("elastic_net"), *keep, "pred"
+        )
+        out = part if out is None else out.unionByName(part)
+    return tried, out
+
+
+def out_of_fold(df: DataFrame, fold: str, folds: Sequence[int], estimator: Estimator, *keep: str) -> DataFrame:
+    """Predictions for every row from the model that was trained on the other folds."""
+    out = None
+    for k in folds:
+        part = predict(estimator.fit(df.where(F.col(fold) != k)), df.where(F.col(fold) == k), fold, *keep)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def text_pipeline(text: str, label: str, stop_words: Sequence[str], *, ngrams: int = 1, max_features: int = 1 << 20, min_df: float = 2.0, max_iter: int = 200) -> Pipeline:
+    """TF-IDF of 1..n-grams at length 1 and class-balanced multinomial logistic regression (``class_weight`` column)."""
     stages = [
         RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"(?U)\W+", minTokenLength=2),
         StopWordsRemover(inputCol="_tok", outputCol="_g1", stopWords=list(stop_words)),
@@ -75,8 +82,8 @@ def text_pipeline(text: str, label: str, stop_words: Sequence[str], *, ngrams: i
         ]
         vectors.append(f"_v{n}")
     stages += [
-        VectorAssembler(inputCols=vectors, outputCol="features"),
-        LogisticRegression(labelCol=label, family="multinomial", regParam=0.01, maxIter=25, weightCol="class_weight"),
+        VectorAssembler(inputCols=vectors, outputCol="_joined"), Normalizer(inputCol="_joined", outputCol="features"),
+        LogisticRegression(labelCol=label, family="multinomial", regParam=0.01, maxIter=max_iter, weightCol="class_weight"),
     ]
     return Pipeline(stages=stages)
 

@@ -42,20 +42,20 @@ def term_counts(docs: DataFrame, doc_id: str, text: str, stop_words: Sequence[st
 
 
 def fit_tfidf(
-    counts: DataFrame, n_docs: Column, *, min_df: int = 5, max_df: float = 1.0, max_features: int = 50_000
+    counts: DataFrame, n_docs: Column, *, min_df: int = 5, max_df: float = 1.0, max_features: int | None = None
 ) -> DataFrame:
-    """Vocabulary (term, df, idf): document-frequency limits, then the most frequent terms."""
+    """Vocabulary (term, df, idf): document-frequency limits, then, if asked for, the most frequent terms."""
     per = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     kept = per.where((F.col("df") >= min_df) & (F.col("df") <= n_docs * max_df))
-    top = kept.orderBy(F.desc("total"), "term").limit(max_features)
+    top = kept if max_features is None else kept.orderBy(F.desc("total"), "term").limit(max_features)
     return top.select("term", "df", (F.log((n_docs + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
 def apply_tfidf(counts: DataFrame, vocabulary: DataFrame, doc_id: str, *, sublinear: bool = True) -> DataFrame:
     """(doc, term, weight): scaled and normalised to length 1.
 
-    The vocabulary has at most ``max_features`` rows, so joining it moves no documents when
-    it fits the broadcast limit of the session, and Spark shuffles both sides otherwise.
+    A vocabulary within the session's broadcast limit moves no documents; beyond it Spark
+    shuffles both sides.
     """
     tf = (F.log(F.col("tf")) + 1) if sublinear else F.col("tf").cast("double")
     raw = counts.join(vocabulary.select("term", "idf"), "term").select(doc_id, "term", (tf * F.col("idf")).alias("w"))

@@ -12,9 +12,14 @@ from ..operators.relational import first_row
 
 
 def user_payments(users: DataFrame) -> DataFrame:
-    """Per person: number of user codes, first reference date, smallest and largest payment."""
-    return users.groupBy("person_id").agg(
+    """Per person: user codes, first reference date, smallest and largest payment.
+
+    Users are first reduced to one row per person and code.
+    """
+    once = first_row(users, ["person_id", "user_code"])
+    return once.groupBy("person_id").agg(
         F.count("user_code").alias("n_users"), F.min("user_code").alias("first_user"),
+        F.array_sort(F.collect_set("user_code")).alias("user_codes"),
         F.min("reference_date").alias("reference_date"),
         F.min("payment").alias("payment_min"), F.max("payment").alias("payment_max"),
     )

@@ -99,6 +99,22 @@ def eligibility_cohort(spark, d):
     return plan.yearly_counts(_cohort(spark, d))
 
 
+RULED = plan.CohortRules(cohort_end=COHORT_END, start_date="1996-01-01", min_age=30, max_age=70, grace_days=90)
+
+
+@query("eligibility_cohort_all_rules", with_sql(EXAMS, CONF, PERSONS, KEPT, INDEX, EVENTS, SEEN, LABELS)[:-1] + """,
+  early AS (SELECT exam_id FROM lab WHERE y = 1 AND event = 1 AND survival <= 90),
+  aged AS (SELECT exam_id FROM idx JOIN persons ON entity_id = person_id WHERE floor((ts - person_birth) / 365.2425) BETWEEN 30 AND 70),
+  """ + ELIG.strip().replace("FROM lab WHERE", """FROM lab WHERE ts >= DATE '1996-01-01' AND exam_id NOT IN (SELECT exam_id FROM early)
+    AND exam_id IN (SELECT exam_id FROM aged) AND""").replace("event_date IS NULL OR event_date >= ts", "(event_date IS NULL OR event_date >= ts)") + """
+  SELECT y AS year, count(*) AS n_exams, CAST(sum(event) AS BIGINT) AS n_events,
+  CAST(sum(followup) AS BIGINT) AS n_followed, CAST(sum(eligible) AS BIGINT) AS n_eligible FROM cohort GROUP BY 1""")
+def eligibility_cohort_all_rules(spark, d):
+    births = persons(spark, d).select(F.col("person_id").alias("entity_id"), F.col("person_birth").alias("birth"))
+    labelled = plan.labelled_index_exams(exams(spark, d), confirmations(spark, d), RULED, births)
+    return plan.yearly_counts(plan.eligible_cohort(labelled, RULED))
+
+
 @query("eligibility_multiyear", FULL + """SELECT exam_id, entity_id, y AS year, event, followup, eligible FROM cohort""")
 def eligibility_multiyear(spark, d):
     df = _cohort(spark, d)

@@ -16,7 +16,7 @@ from ..operators.ordering import top_n
 from ..session import stage_path
 from ..sources.writers import write_stage
 from .cohort_queries import BASE, EVENTS, _labelled
-from .grounding import CONF, EXAMS, REPORTS, confirmations, day, exams, reports, scores, table, with_sql
+from .grounding import CONF, EXAMS, REPORTS, SCORES, confirmations, day, exams, reports, scores, table, with_sql
 from .registry import query
 
 # A short stop list; users pass their own (Spark ships lists per language).
@@ -280,32 +280,50 @@ def _risk_rows(spark, d):
     return feats.select("exam_id", "fold", "split", F.col("label").cast("double").alias("label"), "features", "score", "embedding")
 
 
-@query("risk_model_fit_predict")
+FOLDS = (0, 1, 2)
+IN_BOUNDS = "true AS in_bounds"
+
+
+def _inside(df, *columns):
+    """Whether every prediction is a probability."""
+    return df.agg(*columns, F.coalesce(F.bool_and(F.col("pred").between(0, 1)), F.lit(True)).alias("in_bounds"))
+
+
+@query("risk_model_fit_predict", with_sql(SCORES) + f"""SELECT model, CASE WHEN fold = 0 THEN 'held out' ELSE 'trained on' END AS role, count(*) AS n,
+  sum(label)::BIGINT AS n_events, {IN_BOUNDS} FROM scores, (SELECT unnest(['logistic', 'boosted', 'perceptron']) AS model) GROUP BY 1, 2""")
 def risk_model_fit_predict(spark, d):
+    """Three models, trained on folds 1 and 2; predictions say whether their rows were trained on."""
     rows = write_stage(_risk_rows(spark, d), stage_path(spark, "risk"))
-    train = rows.where(F.col("split") == "validation")
     out = None
-    for kind in ("logistic", "boosted", "perceptron"):
-        model = risk.risk_estimator(kind, inputs=65).fit(train)
-        part = risk.predict(model, rows, "exam_id", "split", "label").withColumn("model", F.lit(kind))
+    for kind, steps in (("logistic", 100), ("boosted", 10), ("perceptron", 50)):
+        model = risk.risk_estimator(kind, inputs=65, max_iter=steps, depth=3).fit(rows.where("fold <> 0"))
+        part = risk.predict(model, rows, "exam_id", "fold", "label").withColumn("model", F.lit(kind))
         out = part if out is None else out.unionByName(part)
-    return out.withColumn("pred", F.round("pred", 4))
+    role = F.when(F.col("fold") == 0, "held out").otherwise("trained on").alias("role")
+    return _inside(out.groupBy("model", role), F.count("*").alias("n"), F.sum("label").cast("bigint").alias("n_events"))
 
 
-@query("param_search")
+@query("param_search", with_sql(SCORES) + f"""SELECT trial, count(*) AS n_validation, sum(label)::BIGINT AS n_events, {IN_BOUNDS}
+  FROM scores, (SELECT unnest(range(3))::INTEGER AS trial) WHERE fold = 0 GROUP BY 1""")
 def param_search(spark, d):
+    """Every trial is trained on folds 1 and 2 and scored on fold 0."""
     rows = write_stage(_risk_rows(spark, d), stage_path(spark, "risk"))
-    fitted = risk.random_search(rows.where(F.col("fold") == 0), trials=3)
-    best = risk.predict(fitted.bestModel, rows, "exam_id", "fold", "label")
-    return E.auroc_ap(E.score_counts(best, "pred", "label", by=["fold"]), "pred", by=["fold"]).withColumn("n_trials", F.lit(len(fitted.validationMetrics)))
+    _, scored = risk.search_trials(rows.where("fold <> 0"), rows.where("fold = 0"), "exam_id", "label", trials=3)
+    return _inside(scored.groupBy("trial"), F.count("*").alias("n_validation"), F.sum("label").cast("bigint").alias("n_events"))
 
 
-@query("cv_train_eval")
+@query("cv_train_eval", with_sql(SCORES) + f"""SELECT fold, count(*) AS n_scored, (SELECT count(*) FROM scores) - count(*) AS n_trained,
+  sum(label)::BIGINT AS n_pos, count(*) - sum(label)::BIGINT AS n_neg, {IN_BOUNDS} FROM scores GROUP BY 1""")
 def cv_train_eval(spark, d):
+    """Out-of-fold predictions: each fold is scored by the model of the other folds."""
     rows = write_stage(_risk_rows(spark, d), stage_path(spark, "risk"))
-    fitted = risk.cross_validate(rows, "fold", 3)
-    out = risk.predict(fitted.bestModel, rows, "exam_id", "fold", "label")
-    return E.auroc_ap(E.score_counts(out, "pred", "label", by=["fold"]), "pred", by=["fold"])
+    scored = write_stage(risk.out_of_fold(rows, "fold", FOLDS, risk.risk_estimator("logistic"), "exam_id", "label"), stage_path(spark, "out-of-fold"))
+    quality = E.auroc_ap(E.score_counts(scored, "pred", "label", by=["fold"]), "pred", by=["fold"])
+    total = scored.agg(F.count("*")).scalar()
+    return quality.select(
+        "fold", (F.col("n_pos") + F.col("n_neg")).alias("n_scored"), (total - F.col("n_pos") - F.col("n_neg")).alias("n_trained"),
+        "n_pos", "n_neg", F.coalesce(F.col("auroc").between(0, 1), F.lit(True)).alias("in_bounds"),
+    )
 
 
 # ------------------------------------------------------------------ splits and samples

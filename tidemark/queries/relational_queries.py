@@ -490,10 +490,10 @@ def pair_score_query(spark, d):
 
 
 # ------------------------------------------------------------------ aggregations
-@query("user_payment_minmax", with_sql(USERS) + """SELECT person_id, count(*) AS n_users, min(user_code) AS first_user, CAST(min(reference_date) AS VARCHAR) AS reference_date,
+@query("user_payment_minmax", with_sql(USERS) + """SELECT person_id, count(*) AS n_users, min(user_code) AS first_user, string_agg(user_code, ',' ORDER BY user_code) AS user_codes, CAST(min(reference_date) AS VARCHAR) AS reference_date,
   min(payment) AS payment_min, max(payment) AS payment_max FROM users GROUP BY 1""")
 def user_payment_minmax(spark, d):
-    return M.user_payments(users(spark, d)).withColumn("reference_date", day("reference_date"))
+    return M.user_payments(users(spark, d)).withColumns({"reference_date": day("reference_date"), "user_codes": F.array_join("user_codes", ",")})
 
 
 @query("class_counts", with_sql(EXAMS) + "SELECT code, count(*) AS n FROM exams GROUP BY 1")
