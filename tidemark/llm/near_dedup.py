@@ -10,8 +10,7 @@ threshold at most once in ten thousand cases.
 Documents with equal sets are one node. In a table's bucket every node is checked against the
 bucket's smallest node, first one candidate per node, then those that are still in different
 components. Buckets of three or more nodes that still hold several components are searched
-for further candidates in blocks, by the share of equal minhashes. Every link is confirmed on
-full sets.
+for further candidates in blocks, by a sketch of their sets. Every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -30,6 +29,8 @@ from .common import staged
 #: Minhashes in a key of a collection; a table key has twice as many.
 ROWS = 4
 MISSED = 1e-4
+#: Ranges of hashes in a sketch, a power of two.
+BINS = 512
 #: Nodes of one bucket that are compared in one task.
 BLOCK = 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -71,18 +72,16 @@ def collections_per_side(percent: int) -> int:
 def _signer(size: int, m: int):
     """Arrow map: doc_id, text -> doc_id, n_shingles, set_id, keys (both collections), sketch.
 
-    The sketch is one byte of every minhash.
+    The sketch is one byte of the smallest hash in each of ``BINS`` equal ranges, 0 if there is none.
     """
     hashes = _odd(2 * m * ROWS, 5)[:, None]
     weights, salt = _odd(ROWS, 7), _odd(2 * m, 9)
 
-    def keys(s: np.ndarray) -> tuple[np.ndarray, bytes]:
+    def keys(s: np.ndarray) -> np.ndarray:
         least = np.full(2 * m * ROWS, np.iinfo(np.uint64).max, np.uint64)
         for at in range(0, len(s), 4096):
             np.minimum(least, (hashes * s[None, at : at + 4096]).min(axis=1), out=least)
-        mixed = _mixed(least)
-        joined = (mixed.reshape(2 * m, ROWS) * weights).sum(axis=1, dtype=np.uint64) + salt
-        return _mixed(joined).view(np.int64), (mixed & np.uint64(255)).astype(np.uint8).tobytes()
+        return _mixed((_mixed(least).reshape(2 * m, ROWS) * weights).sum(axis=1, dtype=np.uint64) + salt).view(np.int64)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,9 +90,8 @@ def _signer(size: int, m: int):
                 s = shingle_set(text.as_py(), size)
                 sizes.append(len(s))
                 sets.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
-                k, sketch = keys(s) if len(s) else (np.empty(0, np.int64), None)
-                all_keys.append(k)
-                sketches.append(sketch)
+                all_keys.append(keys(s) if len(s) else np.empty(0, np.int64))
+                sketches.append(bin_sketch(s) if len(s) else None)
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in all_keys])]).astype(np.int32)
             flat = np.concatenate(all_keys) if all_keys else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
@@ -123,24 +121,48 @@ def _confirmer(size: int, percent: int):
     return confirm
 
 
-def least_agreeing(m: int, percent: int) -> int:
-    """Equal minhashes that a pair at the threshold has but for a few cases in a million."""
-    n, p = 2 * m * ROWS, percent / 100
-    return math.floor(n * p - 4.4 * math.sqrt(n * p * (1 - p)))
+def bin_sketch(s: np.ndarray) -> bytes:
+    """One-permutation sketch of a sorted set of hashes."""
+    bins = (s >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
+    out = np.zeros(BINS, np.uint8)
+    out[bins[first]] = _mixed(s[first]) % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
 
 
-def _agreeing(least: int):
-    """Grouped Arrow map over one block pair of a bucket: likely pairs across components."""
+def possibly_similar(one: np.ndarray, others: np.ndarray, n_one: int, n_others: np.ndarray, percent: int) -> np.ndarray:
+    """Which sketches a pair at the threshold would show but for a few cases in a million.
+
+    The share of equal bins estimates the similarity j; with u bins in use and f hashes in the
+    union its variance is j (1 - j) ((1 / u) (1 + 1 / (f - 1)) - 1 / (f - 1)).
+    """
+    j = percent / 100
+    used = ((others | one) != 0).sum(axis=1)
+    equal = ((others == one) & (others != 0)).sum(axis=1)
+    union = np.maximum((n_one + n_others) / (1 + j), 2.0)
+    variance = j * (1 - j) * np.maximum((1 + 1 / (union - 1)) / np.maximum(used, 1) - 1 / (union - 1), 0)
+    return equal >= used * (j - 4.4 * np.sqrt(variance)) - 1
+
+
+def _agreeing(percent: int, m: int):
+    """Grouped Arrow map over one block pair of a bucket: likely pairs across components.
+
+    A pair that meets in several buckets is named in the first of them only.
+    """
 
     def find(table: pa.Table) -> pa.Table:
-        node, comp = table["node"].to_numpy(), table["comp"].to_numpy()
-        keys = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(node), -1)
+        node, comp, sizes = table["node"].to_numpy(), table["comp"].to_numpy(), table["n_shingles"].to_numpy()
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(node), -1)
+        keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        first_a, first_b = table["at_a"][0].as_py(), table["at_b"][0].as_py()
         block, (i, j) = table["block"].to_numpy(), (table["bi"][0].as_py(), table["bj"][0].as_py())
         xs, ys = [], []
         right = np.flatnonzero(block == j)
         for r in np.flatnonzero(block == i):
-            same = (keys[right] == keys[r]).sum(axis=1)
-            hit = right[(same >= least) & (comp[right] != comp[r]) & ((node[right] > node[r]) if i == j else True)]
+            near = right[(comp[right] != comp[r]) & ((node[right] > node[r]) if i == j else True)]
+            near = near[possibly_similar(sketch[r], sketch[near], sizes[r], sizes[near], percent)]
+            shared = keys[near] == keys[r]
+            hit = near[~shared[:, :first_a].any(axis=1) & ~shared[:, m : m + first_b].any(axis=1)]
             xs.append(np.full(len(hit), node[r]))
             ys.append(node[hit])
         x, y = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (xs, ys))
@@ -188,17 +210,18 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, doc_i
     with_set = signed.where("doc_id IS NOT NULL AND set_id IS NOT NULL")
     heads = staged(with_set.groupBy("set_id").agg(F.min("doc_id").alias("node")), "sets")
     nodes = with_set.join(heads.withColumnRenamed("set_id", "s"), (F.col("set_id") == F.col("s")) & (F.col("doc_id") == F.col("node")))
-    nodes = nodes.select("node", "keys", "sketch")
+    nodes = nodes.select("node", "keys", "sketch", "n_shingles")
 
     # keys of a collection that no other node has cannot be half of a shared table key
     single = nodes.select("node", F.posexplode("keys").alias("pos", "key"))
     shared = single.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     halves = single.join(shared, "key").groupBy("node").agg(
-        F.collect_list(F.when(F.col("pos") < m, F.col("key"))).alias("a"), F.collect_list(F.when(F.col("pos") >= m, F.col("key"))).alias("b"),
+        F.collect_list(F.when(F.col("pos") < m, F.struct("pos", "key"))).alias("a"),
+        F.collect_list(F.when(F.col("pos") >= m, F.struct((F.col("pos") - m).alias("pos"), "key"))).alias("b"),
     )
     halves = staged(halves.where("size(a) > 0 AND size(b) > 0"), "halves")
     tables = halves.select("node", F.explode("a").alias("a"), "b").select("node", "a", F.explode("b").alias("b"))
-    tables = tables.select("node", F.xxhash64("a", "b").alias("bucket"))
+    tables = tables.select("node", F.xxhash64("a.key", "b.key").alias("bucket"), F.struct(F.col("a.pos").alias("a"), F.col("b.pos").alias("b")).alias("at"))
     pivots = tables.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("bucket", "pivot")
     stars = staged(
         tables.join(pivots, "bucket").where("node <> pivot").groupBy(F.col("node").alias("x"), F.col("pivot").alias("y")).agg(F.count("*").alias("n")),
@@ -206,7 +229,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, doc_i
     )
 
     involved = stars.select(F.col("x").alias("node")).union(stars.select(F.col("y").alias("node"))).distinct()
-    texts = staged(rows.join(involved, rows["doc_id"] == involved["node"]).select("node", "text").dropDuplicates(["node"]), "candidate-texts")
+    # the texts of all candidates; merged at every size, as the list of candidates grows with the input
+    texts = staged(rows.join(involved.hint("merge"), rows["doc_id"] == involved["node"]).select("node", "text").dropDuplicates(["node"]), "candidate-texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("node").alias("x"), F.col("text").alias("text_x"))
@@ -224,18 +248,19 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, doc_i
         comps = components(links)
 
     # buckets that still hold several components: pairs that do not include the pivot
-    named = tables.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+    named = tables.join(comps, "node", "left").select("bucket", "at", "node", F.coalesce("comp", "node").alias("comp"))
     held = named.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"),
+        F.count("*").alias("n"), F.min("at").alias("at"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"),
     ).where("n > 2 AND lo <> hi")
-    once = staged(held.groupBy("n", "members").agg(F.min("bucket").alias("bucket")), "mixed-buckets")
+    # of buckets with the same nodes, the first
+    once = staged(held.groupBy("n", "members").agg(F.min(F.struct("at", "bucket")).alias("b")).select("n", "b.at", "b.bucket"), "mixed-buckets")
     if not once.isEmpty():
         n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        placed = named.join(once.select("bucket", n_blocks.alias("nb")), "bucket").join(nodes.select("node", "sketch"), "node")
+        placed = named.drop("at").join(once.select("bucket", "at", n_blocks.alias("nb")), "bucket").join(nodes, "node")
         placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
         placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        placed = placed.select("bucket", "node", "comp", "sketch", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-        likely = placed.groupBy("bucket", "bi", "bj").applyInArrow(_agreeing(least_agreeing(m, percent)), "x long, y long").distinct()
+        placed = placed.select("bucket", F.col("at.a").alias("at_a"), F.col("at.b").alias("at_b"), "node", "comp", "keys", "sketch", "n_shingles", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+        likely = placed.groupBy("bucket", "bi", "bj").applyInArrow(_agreeing(percent, m), "x long, y long").distinct()
         likely = staged(likely.join(stars, ["x", "y"], "left_anti"), "mixed-candidates")
         if not likely.isEmpty():
             links = links.union(confirmed(likely))
