@@ -9,7 +9,7 @@ from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, NGram, RegexTokenizer, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -58,6 +58,28 @@ def search_trials(
     return tried, out
 
 
+def trial_metrics(scored: DataFrame, trial: Sequence[str], label: str = "label", *, within: Sequence[str] = ()) -> DataFrame:
+    """Quality of each trial's predictions: trial columns, n, n_pos, n_neg, auroc, average_precision, in_bounds and is_best.
+
+    ``scored`` has the columns of ``search_trials``. The best trial, one for each value of
+    ``within``, has the highest AUROC (average precision where that is undefined); the first
+    by ``trial`` among equals. A trial of one class has no AUROC; its average precision is 1
+    if all its rows are events, else undefined.
+    """
+    from ..operators import evaluation as E
+
+    by = [*within, *trial]
+    sound = scored.groupBy(*by).agg(F.coalesce(F.bool_and(F.col("pred").between(0, 1)), F.lit(True)).alias("in_bounds"))
+    quality = E.auroc_ap(E.score_counts(scored, "pred", label, by=by), "pred", by=by)
+    precision = F.when(F.col("n_pos") > 0, F.coalesce("average_precision", F.lit(1.0)))
+    each = quality.join(sound, by).withColumn("average_precision", precision)
+    first = Window.partitionBy(*within, F.lit(0)).orderBy(F.coalesce("auroc", "average_precision").desc_nulls_last(), *trial)  # one row per trial
+    return each.select(
+        *by, (F.col("n_pos") + F.col("n_neg")).alias("n"), "n_pos", "n_neg", "auroc", "average_precision", "in_bounds",
+        (F.row_number().over(first) == 1).alias("is_best"),
+    )
+
+
 def out_of_fold(df: DataFrame, fold: str, folds: Sequence[int], estimator: Estimator, *keep: str) -> DataFrame:
     """Predictions for every row from the model that was trained on the other folds."""
     out = None

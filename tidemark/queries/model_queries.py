@@ -282,48 +282,80 @@ def _risk_rows(spark, d):
 
 FOLDS = (0, 1, 2)
 IN_BOUNDS = "true AS in_bounds"
+PARAMS = ("trial", "reg", "elastic_net")
+METRICS = ("auroc", "average_precision")
 
 
-def _inside(df, *columns):
-    """Whether every prediction is a probability."""
-    return df.agg(*columns, F.coalesce(F.bool_and(F.col("pred").between(0, 1)), F.lit(True)).alias("in_bounds"))
+def _model_metrics(spark, d):
+    """Three models, trained on folds 1 and 2; metrics say whether their rows were trained on."""
+    rows = write_stage(_risk_rows(spark, d), stage_path(spark, "risk"))
+    out = None
+    for kind in ("logistic", "boosted", "perceptron"):
+        model = risk.risk_estimator(kind, inputs=65).fit(rows.where("fold <> 0"))
+        part = risk.predict(model, rows, "exam_id", "fold", "label").withColumn("model", F.lit(kind))
+        out = part if out is None else out.unionByName(part)
+    role = F.when(F.col("fold") == 0, "held out").otherwise("trained on")
+    scored = write_stage(out.withColumn("role", role), stage_path(spark, "model-scores"))
+    return risk.trial_metrics(scored, ["model"], within=["role"])
 
 
 @query("risk_model_fit_predict", with_sql(SCORES) + f"""SELECT model, CASE WHEN fold = 0 THEN 'held out' ELSE 'trained on' END AS role, count(*) AS n,
   sum(label)::BIGINT AS n_events, {IN_BOUNDS} FROM scores, (SELECT unnest(['logistic', 'boosted', 'perceptron']) AS model) GROUP BY 1, 2""")
 def risk_model_fit_predict(spark, d):
-    """Three models, trained on folds 1 and 2; predictions say whether their rows were trained on."""
+    """The countable columns of ``risk_model_metrics``."""
+    return _model_metrics(spark, d).select("model", "role", "n", F.col("n_pos").alias("n_events"), "in_bounds")
+
+
+@query("risk_model_metrics")
+def risk_model_metrics(spark, d):
+    """AUROC and average precision of three models, on held-out rows and on those trained on; the best of each role."""
+    return _model_metrics(spark, d).select("model", "role", "n", F.col("n_pos").alias("n_events"), *METRICS, "is_best")
+
+
+def _trials(spark, d):
+    """Every trial is trained on folds 1 and 2 and scored on fold 0."""
     rows = write_stage(_risk_rows(spark, d), stage_path(spark, "risk"))
-    out = None
-    for kind, steps in (("logistic", 100), ("boosted", 10), ("perceptron", 50)):
-        model = risk.risk_estimator(kind, inputs=65, max_iter=steps, depth=3).fit(rows.where("fold <> 0"))
-        part = risk.predict(model, rows, "exam_id", "fold", "label").withColumn("model", F.lit(kind))
-        out = part if out is None else out.unionByName(part)
-    role = F.when(F.col("fold") == 0, "held out").otherwise("trained on").alias("role")
-    return _inside(out.groupBy("model", role), F.count("*").alias("n"), F.sum("label").cast("bigint").alias("n_events"))
+    _, scored = risk.search_trials(rows.where("fold <> 0"), rows.where("fold = 0"), "exam_id", "label", trials=3)
+    return risk.trial_metrics(write_stage(scored, stage_path(spark, "trial-scores")), PARAMS)
 
 
 @query("param_search", with_sql(SCORES) + f"""SELECT trial, count(*) AS n_validation, sum(label)::BIGINT AS n_events, {IN_BOUNDS}
   FROM scores, (SELECT unnest(range(3))::INTEGER AS trial) WHERE fold = 0 GROUP BY 1""")
 def param_search(spark, d):
-    """Every trial is trained on folds 1 and 2 and scored on fold 0."""
+    """The countable columns of ``param_search_trials``."""
+    return _trials(spark, d).select("trial", F.col("n").alias("n_validation"), F.col("n_pos").alias("n_events"), "in_bounds")
+
+
+@query("param_search_trials")
+def param_search_trials(spark, d):
+    """Each trial's parameters, validation AUROC and average precision, and which trial is best."""
+    return _trials(spark, d).select(*PARAMS, F.col("n").alias("n_validation"), F.col("n_pos").alias("n_events"), *METRICS, "is_best")
+
+
+def _fold_trials(spark, d):
+    """Every trial is trained on the other folds of each fold and scored on it."""
     rows = write_stage(_risk_rows(spark, d), stage_path(spark, "risk"))
-    _, scored = risk.search_trials(rows.where("fold <> 0"), rows.where("fold = 0"), "exam_id", "label", trials=3)
-    return _inside(scored.groupBy("trial"), F.count("*").alias("n_validation"), F.sum("label").cast("bigint").alias("n_events"))
+    out = None
+    for k in FOLDS:
+        _, part = risk.search_trials(rows.where(F.col("fold") != k), rows.where(F.col("fold") == k), "exam_id", "fold", "label", trials=3)
+        out = part if out is None else out.unionByName(part)
+    scored = write_stage(out, stage_path(spark, "fold-scores"))
+    total = rows.agg(F.count("*")).scalar()
+    return risk.trial_metrics(scored, PARAMS, within=["fold"]).withColumn("n_trained", total - F.col("n"))
 
 
 @query("cv_train_eval", with_sql(SCORES) + f"""SELECT fold, count(*) AS n_scored, (SELECT count(*) FROM scores) - count(*) AS n_trained,
   sum(label)::BIGINT AS n_pos, count(*) - sum(label)::BIGINT AS n_neg, {IN_BOUNDS} FROM scores GROUP BY 1""")
 def cv_train_eval(spark, d):
-    """Out-of-fold predictions: each fold is scored by the model of the other folds."""
-    rows = write_stage(_risk_rows(spark, d), stage_path(spark, "risk"))
-    scored = write_stage(risk.out_of_fold(rows, "fold", FOLDS, risk.risk_estimator("logistic"), "exam_id", "label"), stage_path(spark, "out-of-fold"))
-    quality = E.auroc_ap(E.score_counts(scored, "pred", "label", by=["fold"]), "pred", by=["fold"])
-    total = scored.agg(F.count("*")).scalar()
-    return quality.select(
-        "fold", (F.col("n_pos") + F.col("n_neg")).alias("n_scored"), (total - F.col("n_pos") - F.col("n_neg")).alias("n_trained"),
-        "n_pos", "n_neg", F.coalesce(F.col("auroc").between(0, 1), F.lit(True)).alias("in_bounds"),
-    )
+    """The countable columns of each fold's best trial."""
+    best = _fold_trials(spark, d).where("is_best")
+    return best.select("fold", F.col("n").alias("n_scored"), "n_trained", "n_pos", "n_neg", "in_bounds")
+
+
+@query("cv_fold_trials")
+def cv_fold_trials(spark, d):
+    """Each trial's parameters, AUROC and average precision on every fold, and the best trial of each fold."""
+    return _fold_trials(spark, d).select("fold", *PARAMS, F.col("n").alias("n_scored"), "n_trained", "n_pos", "n_neg", *METRICS, "is_best")
 
 
 # ------------------------------------------------------------------ splits and samples
