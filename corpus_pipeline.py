@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents, staged
 from tidemark.llm.exact_dedup import keep_one_copy
-from tidemark.llm.mixing import mix_documents
+from tidemark.llm.mixing import mix_documents, place_mix
 from tidemark.llm.near_dedup import keep_one_of_each
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.toxicity import fit_toxicity, in_fold, score_toxicity
@@ -39,8 +39,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, once, twice or not at all, so that sources reach their target weights."""
-    return mix_documents(docs, cut=False).select(*docs.columns)
+    """Whole documents, once, twice or not at all, so that sources reach their target weights, in the order of their shards."""
+    return place_mix(mix_documents(docs, cut=False))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

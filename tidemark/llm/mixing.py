@@ -22,6 +22,8 @@ from .common import WORD, staged, word_count
 BLOCK_BITS = 8
 #: Hex digits after the block's by which the last block of a source is drawn in part.
 CELL_DIGITS = 3
+#: A shard's local shuffle is cut into 2**10 slices, each of which is sorted by one task.
+SLICE_BITS = 10
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 
@@ -184,7 +186,17 @@ def mix_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     columns = [
         F.when(cut, shorter).otherwise(F.col("_whole")[c]).alias(c) if c == text else F.col("_whole")[c].alias(c) for c in docs.columns
     ]
-    return rows.select(*columns, "mix_shard", F.xxhash64("mix_id", "mix_copy", "mix_shard").alias("mix_order"))
+    return rows.select(*columns, "mix_shard", F.xxhash64("mix_id", "mix_copy", "mix_shard", F.col("_whole")[text]).alias("mix_order"))
+
+
+def place_mix(mixed: DataFrame) -> DataFrame:
+    """Rows of ``mix_documents`` moved to their shard and place; the helper columns are dropped.
+
+    A slice of a shard's shuffled order lies in one partition, in order; a partition may hold
+    slices of several shards, one after the other.
+    """
+    piece = F.shiftright("mix_order", 64 - SLICE_BITS)
+    return mixed.repartition("mix_shard", piece).sortWithinPartitions("mix_shard", "mix_order").drop("mix_shard", "mix_order")
 
 
 def write_mix(mixed: DataFrame, path: str, files_per_shard: int = 1) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import documents
 from .exact_dedup import exact_groups
 from .language import fit_languages, identify_languages
-from .mixing import plan_mix
+from .mixing import mix_documents, plan_mix
 from .near_dedup import near_duplicates
 from .neighbours import nearest_neighbours
 from .packing import pack_documents
@@ -52,6 +52,13 @@ def op2_source_mix(spark: SparkSession, d: str) -> DataFrame:
     return plan_mix(documents(spark, d)).select(F.col("mix_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+@query("op2_mix_placement")
+def op2_mix_placement(spark: SparkSession, d: str) -> DataFrame:
+    """Output shard and place in its local shuffle of every copy that the mix of op2_source_mix takes."""
+    docs = documents(spark, d).select("doc_id", "source", "text")
+    return mix_documents(docs).select("doc_id", "source", "mix_shard", "mix_order")
+
+
 @query("op3_exact_dedup", EXACT_SQL)
 def op3_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     """The row that stays for every document, texts compared without white space."""
