@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: The largest vocabulary size that Spark ML takes.
+MOST_TERMS = 2**31 - 1
+
+
 def feature_vector(df: DataFrame, vector: str, extra: Sequence[str], name: str = "features") -> DataFrame:
     """History vector followed by the structured features."""
     tail = F.array(*[F.col(c).cast("double") for c in extra])
@@ -89,8 +93,11 @@ def out_of_fold(df: DataFrame, fold: str, folds: Sequence[int], estimator: Estim
     return out
 
 
-def text_pipeline(text: str, label: str, stop_words: Sequence[str], *, ngrams: int = 1, max_features: int = 1 << 20, min_df: float = 2.0, max_iter: int = 200) -> Pipeline:
-    """TF-IDF of 1..n-grams at length 1 and class-balanced multinomial logistic regression (``class_weight`` column)."""
+def text_pipeline(text: str, label: str, stop_words: Sequence[str], *, ngrams: int = 1, max_features: int | None = None, min_df: float = 2.0, max_iter: int = 200) -> Pipeline:
+    """TF-IDF of 1..n-grams at length 1 and class-balanced multinomial logistic regression (``class_weight`` column).
+
+    ``max_features`` keeps the most frequent terms only; None keeps all within ``min_df``.
+    """
     stages = [
         RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"(?U)\W+", minTokenLength=2),
         StopWordsRemover(inputCol="_tok", outputCol="_g1", stopWords=list(stop_words)),
@@ -99,7 +106,7 @@ def text_pipeline(text: str, label: str, stop_words: Sequence[str], *, ngrams: i
     vectors = []
     for n in range(1, ngrams + 1):
         stages += [
-            CountVectorizer(inputCol=f"_g{n}", outputCol=f"_c{n}", vocabSize=max_features, minDF=min_df),
+            CountVectorizer(inputCol=f"_g{n}", outputCol=f"_c{n}", vocabSize=max_features or MOST_TERMS, minDF=min_df),
             IDF(inputCol=f"_c{n}", outputCol=f"_v{n}"),
         ]
         vectors.append(f"_v{n}")

@@ -17,7 +17,7 @@ from ..session import stage_path
 from ..sources.writers import write_stage
 from .cohort_queries import BASE, EVENTS, _labelled
 from .grounding import CONF, EXAMS, REPORTS, SCORES, confirmations, day, exams, reports, scores, table, with_sql
-from .registry import query
+from .registry import ORACLES, query
 
 # A short stop list; users pass their own (Spark ships lists per language).
 STOP_WORDS = ["the", "of", "and", "in", "on", "is", "it", "to", "de", "la", "le", "les", "des", "el", "der", "die", "und"]
@@ -32,30 +32,51 @@ raw AS (SELECT doc_id, term, (ln(tf) + 1) * idf AS w FROM cnt JOIN voc USING (te
 tfidf AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw)"""
 
 
-def _tfidf(spark, d):
+#: Most frequent terms that the three capped TF-IDF queries keep, to show ``max_features``.
+TOP_TERMS = 2000
+
+
+def _whole(name):
+    """The check SQL of a capped TF-IDF query without its cap."""
+    return ORACLES[name].replace(f" ORDER BY total DESC, term LIMIT {TOP_TERMS}", "")
+
+
+def _tfidf(spark, d, max_features=None):
     docs = table(spark, d, "documents").select("doc_id", "text")
     counts = V.term_counts(docs, "doc_id", "text", STOP_WORDS)
     n = docs.agg(F.count(F.lit(1))).scalar()
-    return counts, V.fit_tfidf(counts, n, min_df=5, max_df=0.9, max_features=2000)
+    return counts, V.fit_tfidf(counts, n, min_df=5, max_df=0.9, max_features=max_features)
 
 
 @query("tfidf_fit_transform", with_sql(TOKENS) + "SELECT doc_id, term, round(weight, 6) AS weight FROM tfidf")
-def tfidf_fit_transform(spark, d):
-    counts, vocabulary = _tfidf(spark, d)
+def tfidf_fit_transform(spark, d, max_features=TOP_TERMS):
+    counts, vocabulary = _tfidf(spark, d, max_features)
     return V.apply_tfidf(counts, vocabulary, "doc_id").select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
+@query("tfidf_fit_transform_whole", _whole("tfidf_fit_transform"))
+def tfidf_fit_transform_whole(spark, d):
+    """Weights of all terms within the document-frequency limits."""
+    return tfidf_fit_transform(spark, d, max_features=None)
+
+
 @query("tfidf_apply", with_sql(TOKENS) + f""", nt AS (SELECT conv_id, turn, term, count(*) AS tf FROM (SELECT conv_id, turn, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({STOPS}))) AS term FROM conversations) GROUP BY 1, 2, 3),
   nr AS (SELECT conv_id, turn, term, (ln(tf) + 1) * idf AS w FROM nt JOIN voc USING (term))
   SELECT conv_id || '-' || turn AS turn_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY conv_id, turn)), 6) AS weight FROM nr""")
-def tfidf_apply(spark, d):
-    _, vocabulary = _tfidf(spark, d)
+def tfidf_apply(spark, d, max_features=TOP_TERMS):
+    _, vocabulary = _tfidf(spark, d, max_features)
     fitted = write_stage(vocabulary, stage_path(spark, "vocabulary"))
     turns = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("turn_id"), "text")
     counts = V.term_counts(turns, "turn_id", "text", STOP_WORDS)
     return V.apply_tfidf(counts, fitted, "turn_id").select("turn_id", "term", F.round("weight", 6).alias("weight"))
 
 
+@query("tfidf_apply_whole", _whole("tfidf_apply"))
+def tfidf_apply_whole(spark, d):
+    """Weights of new texts by the vocabulary without a cap."""
+    return tfidf_apply(spark, d, max_features=None)
+
+
 @query("svd_reduce")
 def svd_reduce(spark, d):
     emb = table(spark, d, "embeddings")
@@ -90,6 +111,10 @@ def capped_sample_per_class(spark, d):
 
 
 # ------------------------------------------------------------------ text classifier
+#: Labelled reports of each class that the text classifier learns from and is tested on, drawn by hash.
+ROWS_PER_CLASS = 2000
+
+
 def _coded_texts(spark, d):
     """Reports with the code found by the rules; null where the rules find none."""
     base = reports(spark, d).where(F.col("text").isNotNull()).withColumn("f", S.extract_value(F.col("text")))
@@ -97,14 +122,15 @@ def _coded_texts(spark, d):
     return write_stage(base.select("report_id", "text", code.cast("double").alias("code")), stage_path(spark, "coded"))
 
 
-def _fitted(spark, coded):
+def _fitted(spark, coded, rows_per_class=ROWS_PER_CLASS, max_features=None):
+    """Classifier on ``rows_per_class`` reports of each class; ``max_features`` caps its vocabulary, None does not."""
     from ..operators.ordering import hash_rank
 
-    labelled = P.capped_per_class(coded.where(F.col("code").isNotNull()), "report_id", "code", 2000)
+    labelled = P.capped_per_class(coded.where(F.col("code").isNotNull()), "report_id", "code", rows_per_class)
     ranked = hash_rank(labelled, "report_id", strata=["code"], name="_r", total="_n")
     split = ranked.withColumn("holdout", F.col("_r") <= F.ceil(F.col("_n") * 0.2)).drop("_r", "_n")
     train = risk.balance_weights(split.where(~F.col("holdout")), "code")
-    return risk.text_pipeline("text", "code", STOP_WORDS, max_features=1000).fit(train), split
+    return risk.text_pipeline("text", "code", STOP_WORDS, max_features=max_features).fit(train), split
 
 
 @query("text_classifier_fit")
@@ -179,8 +205,8 @@ def classification_report(spark, d):
 @query("top_terms_per_class", with_sql(TOKENS) + """, coef AS (SELECT lang, term, round(sum(weight), 6) AS coef FROM tfidf JOIN documents USING (doc_id) GROUP BY 1, 2)
   SELECT lang, term, coef, 'largest' AS side, CAST(row_number() OVER (PARTITION BY lang ORDER BY coef DESC, term) AS INTEGER) AS rank FROM coef QUALIFY rank <= 10
   UNION ALL SELECT lang, term, coef, 'smallest', CAST(row_number() OVER (PARTITION BY lang ORDER BY coef, term) AS INTEGER) AS rank FROM coef QUALIFY rank <= 10""")
-def top_terms_per_class(spark, d):
-    counts, vocabulary = _tfidf(spark, d)
+def top_terms_per_class(spark, d, max_features=TOP_TERMS):
+    counts, vocabulary = _tfidf(spark, d, max_features)
     lang = table(spark, d, "documents").select("doc_id", "lang")
     coef = V.apply_tfidf(counts, vocabulary, "doc_id").join(lang, "doc_id").groupBy("lang", "term").agg(F.round(F.sum("weight"), 6).alias("coef"))
     high = top_n(coef, ["lang"], [F.desc("coef"), F.col("term")], "term", 10).withColumn("side", F.lit("largest"))
@@ -188,6 +214,12 @@ def top_terms_per_class(spark, d):
     return high.unionByName(low)
 
 
+@query("top_terms_per_class_whole", _whole("top_terms_per_class"))
+def top_terms_per_class_whole(spark, d):
+    """Largest and smallest coefficients among all terms within the limits."""
+    return top_terms_per_class(spark, d, max_features=None)
+
+
 @query("embed_documents", with_sql(REPORTS) + f""", w AS (SELECT report_id, list_filter(string_split_regex(text, '[\\s\\x0b]+'), lambda x: x <> '') AS w FROM reports),
   c AS (SELECT report_id, w[i * 180 + 1 : least(i * 180 + 200, len(w))] AS c FROM (SELECT report_id, w, unnest(range(0, 1 + CAST(greatest(ceil((len(w) - 200) / 180.0), 0) AS BIGINT))) AS i FROM w WHERE len(w) > 0)),
   t AS (SELECT report_id, len(list_filter(regexp_extract_all(lower(array_to_string(c, ' ')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({STOPS}))) AS n FROM c),
