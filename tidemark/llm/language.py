@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Hashed trigrams.
@@ -93,7 +93,7 @@ def fit_languages(docs: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
     """Learn from text and lang; rows without a language are passed over.
 
     Document frequencies cover all rows; each language's centroids are fitted on a fixed
-    sample by hash of about ``fit_rows`` documents. The model holds ``CENTROIDS`` vectors per language.
+    sample of ``fit_rows`` different texts, those with the smallest hashes. The model holds ``CENTROIDS`` vectors per language.
     """
     rows = docs.where("lang IS NOT NULL").select("lang", "text")
     found = rows.select("text").mapInArrow(_document_frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
@@ -101,10 +101,11 @@ def fit_languages(docs: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
     for r in found:
         frequency[r["slot"]] = r["n"]
     idf = np.log((1 + frequency[DIMS]) / (1 + frequency[:DIMS])) + 1
-    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(fit_rows)) / F.count("*")).alias("share"))
-    # of repeated texts the hash is the same: they are drawn together
-    draw = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.join(share, "lang").where(draw < F.col("share")).select("lang", "text")
+    # one row per text: copies neither crowd a sample nor thin it out
+    hashed = rows.select("lang", F.coalesce("text", F.lit("")).alias("text")).withColumn("at", F.xxhash64("text"))
+    lowest = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
+    drawn = hashed.select("lang", "at").distinct().withColumn("n", lowest).where(F.col("n") <= fit_rows).select("lang", "at")
+    sample = hashed.join(drawn, ["lang", "at"]).groupBy("lang", "at").agg(F.min("text").alias("text")).select("lang", "text")
     model = sample.groupBy("lang").applyInArrow(_fitter(idf), "lang string, centroid array<float>, floor double").collect()
     languages = sorted({r["lang"] for r in model})
     place = {name: i for i, name in enumerate(languages)}
