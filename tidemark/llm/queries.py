@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import WORD, documents
 from .exact_dedup import exact_groups
 from .language import fit_languages, identify_languages
 from .mixing import mix_documents, plan_mix
@@ -15,6 +15,7 @@ from .packing import pack_documents
 from .quality import fit_quality, score_quality
 from .registry import query
 from .repeats import repeated_spans
+from .runs import periodic_runs
 from .sharding import shard_documents
 from .toxicity import fit_toxicity, in_fold, score_toxicity
 
@@ -127,3 +128,32 @@ def op8_quality(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), F.col("_content").alias("content_score"), F.col("_meta").alias("metadata_score"),
         F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def planted_words(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the texts (by a hash of the id) the words from one on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
+    rows = docs.select("doc_id", "text", h.alias("h")).withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    n, g = F.size("words").cast("long"), F.floor(F.col("h") / 10)
+    rows = rows.withColumn("n", n).withColumn("a", F.when(n > 0, g % n)).withColumn("p", F.floor((F.col("n") - F.col("a")) / (g % 8 + 3)) + 1)
+    rest = (F.col("n") - F.col("a")).cast("int")
+    part = F.slice("words", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    again = F.slice(F.flatten(F.array_repeat(part, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    text = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), again), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of words of every document, the longest one, and digests of all runs and of the text without repeats."""
+    found = periodic_runs(planted_words(documents(spark, d)))
+    top = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    out = found.withColumns({"top": top, "lines": F.array_join(lines, "")})
+    length = -F.col("top.less")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"), length.alias("length"),
+        F.col("top.period").alias("period"), F.floor(length * 1000 / F.col("top.period")).alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
