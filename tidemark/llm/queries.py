@@ -17,6 +17,7 @@ from .registry import query
 from .repeats import repeated_spans
 from .runs import periodic_runs
 from .sharding import shard_documents
+from .spelling import group_variants
 from .toxicity import fit_toxicity, in_fold, score_toxicity
 
 MIX_SQL = r"""
@@ -47,6 +48,30 @@ WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars,
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k"""
 
 
+SPELLING_SQL = r"""
+WITH RECURSIVE bit AS (SELECT b, 0 AS k, b AS v FROM range(256) r(b)
+    UNION ALL SELECT b, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bit WHERE k < 8),
+  tab AS (SELECT list(v ORDER BY b) AS crc FROM bit WHERE k = 8),
+  run AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+  one AS (SELECT id, run, count(*) AS n FROM run GROUP BY ALL),
+  h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(id || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, CAST(unicode(c) - 64 AS BIGINT)] END))),
+    lambda s, b: xor(s >> 8, crc[xor(s & 255, b) + 1])), 4294967295) AS h FROM one, tab),
+  word AS (SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM h),
+  voc AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM word WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+  cut AS (SELECT word, n, i, word[:i] || word[i + 2:] AS rest FROM voc, range(0, 1000) r(i) WHERE i < length(word)),
+  near AS (SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT cut.word, voc.word, voc.n FROM cut JOIN voc ON rest = voc.word
+    UNION SELECT voc.word, cut.word, cut.n FROM cut JOIN voc ON rest = voc.word),
+  best AS (SELECT word, count(*) AS n_near, min({'less': -n, 'near': near}) AS best FROM near GROUP BY 1),
+  form AS (SELECT word, voc.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 2 * voc.n THEN best.near END AS form,
+    CASE WHEN -best.less >= 2 * voc.n THEN -best.less END AS form_n FROM voc LEFT JOIN best USING (word)),
+  walk AS (SELECT word, word AS root, form AS ahead FROM form
+    UNION ALL SELECT walk.word, form.word, form.form FROM walk JOIN form ON form.word = walk.ahead)
+SELECT word, form.form, walk.root, n, n_near, form_n FROM form JOIN walk USING (word) WHERE walk.ahead IS NULL"""
+
+
 @query("op2_source_mix", MIX_SQL)
 def op2_source_mix(spark: SparkSession, d: str) -> DataFrame:
     """Words of each document in a mix of all sources by weight."""
@@ -157,3 +182,21 @@ def op12_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
         F.col("top.period").alias("period"), F.floor(length * 1000 / F.col("top.period")).alias("exponent_milli"),
         F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def misspelt_words(docs: DataFrame, least: int = 3, shortest: int = 5) -> DataFrame:
+    """Letter runs of whole texts and their counts; one of 97 (by a hash of id and run) lacks a letter."""
+    upper = "".join(map(chr, range(65, 91)))
+    runs = F.regexp_extract_all(F.translate("text", upper, upper.lower()), F.lit("[a-z\u00C0-\u00FF]+"), F.lit(0))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(runs).alias("run"))
+    rows = rows.withColumn("h", F.crc32(F.concat_ws(":", "id", "run").cast("binary")))
+    at = (F.col("h") % F.length("run")).cast("int")
+    cut = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2))
+    word = F.when(F.col("h") % 97 == 0, cut).otherwise(F.col("run"))
+    return rows.select(word.alias("word")).where(F.length("word") >= shortest).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+@query("op13_spelling_variants", SPELLING_SQL)
+def op13_spelling_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Form and root of every word of at least five letters that occurs three times or more."""
+    return group_variants(misspelt_words(documents(spark, d))).select("word", "form", "root", "n", "n_near", "form_n")
