@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import WORD, documents
 from .exact_dedup import exact_groups
 from .language import fit_languages, identify_languages
+from .language_model import fit_language_model, score_texts
 from .mixing import mix_documents, plan_mix
 from .near_dedup import near_duplicates
 from .neighbours import nearest_neighbours
@@ -155,6 +156,17 @@ def op8_quality(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("op11_lm_score")
+def op11_lm_score(spark: SparkSession, d: str) -> DataFrame:
+    """Log10 probability of every document under the language model; one fifth by hash is held out from learning."""
+    docs = documents(spark, d).select("doc_id", "text")
+    held_out = in_fold("doc_id", 5, 1)
+    scored = score_texts(docs, fit_language_model(docs.where(~held_out)))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "attention_score",
+    )
+
+
 def planted_words(docs: DataFrame) -> DataFrame:
     """doc_id and text; in a tenth of the texts (by a hash of the id) the words from one on repeat with a period."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
