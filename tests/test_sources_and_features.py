@@ -11,7 +11,7 @@ from tidemark.models import risk
 from tidemark.operators import features as X
 from tidemark.operators import relational as R
 from tidemark.sources import readers, validation, writers
-from tidemark.streaming.ingest import ingest_available
+from tidemark.streaming.ingest import commit_batch, ingest_available
 
 
 def test_first_row_ignores_input_order(spark):
@@ -33,6 +33,21 @@ def test_resumed_ingest_adds_only_new_files(spark, tmp_path):
     assert spark.read.parquet(out).count() == 15
 
 
+def test_replayed_batch_writes_nothing(spark, tmp_path):
+    out, commits = str(tmp_path / "out"), str(tmp_path / "commits")
+    assert commit_batch(spark.range(7), 3, out, commits) == 7
+    assert commit_batch(spark.range(7), 3, out, commits) == 0
+    spark.range(4).write.parquet(f"{out}/ingest_batch=4")  # written, but not noted before a failure
+    assert commit_batch(spark.range(5), 4, out, commits) == 5
+    assert spark.read.parquet(out).count() == 12
+
+
+def test_many_batches_are_all_counted(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    spark.range(6).repartition(6).write.parquet(src)
+    assert ingest_available(spark, src, spark.range(1).schema, out, state, files_per_batch=1) == 6
+
+
 def test_category_predicates_are_quoted():
     assert readers.category_predicates("kind", ["US", "d'or"]) == ["kind = 'US'", "kind = 'd''or'"]
 

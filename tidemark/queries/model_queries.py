@@ -3,26 +3,49 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import severity as S
-from ..functions.text import content_id, word_chunks
+from ..functions.text import content_id, flag_map, word_chunks
 from ..models import risk
+from ..models.search import Parameter, propose, search
 from ..operators import evaluation as E
 from ..operators import splits as P
 from ..operators import vectors as V
 from ..operators.ordering import top_n
+from ..plans import risk_features as RF
 from ..session import stage_path
 from ..sources.writers import write_stage
-from .cohort_queries import BASE, EVENTS, _labelled
-from .grounding import CONF, EXAMS, REPORTS, SCORES, confirmations, day, exams, reports, scores, table, with_sql
+from .cohort_queries import BASE, EVENTS, INDEX, KEPT, PIT, _labelled
+from .grounding import ANSWERS, CONF, EXAMS, REPORTS, SCORES, answers, confirmations, day, exams, reports, scores, table, with_sql
 from .registry import ORACLES, query
+from .relational_queries import TUNING, _tuning_log
 
 # A short stop list; users pass their own (Spark ships lists per language).
 STOP_WORDS = ["the", "of", "and", "in", "on", "is", "it", "to", "de", "la", "le", "les", "des", "el", "der", "die", "und"]
 STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
+PROPOSAL_SQL = """, t AS (SELECT dataset_name, target_year, split_config_name, trial_number AS trial, result, [(k / 100.0)::DOUBLE, (depth - 1)::DOUBLE / 3, units::DOUBLE / 800] AS x
+    FROM (SELECT *, units / 8 AS k FROM tun) WHERE trial_number IS NOT NULL),
+  c AS (SELECT dataset_name, target_year, split_config_name, count(*) AS n, CAST(least(ceil(count(*) * 0.1::DOUBLE), 25) AS BIGINT) AS m FROM t GROUP BY 1, 2, 3),
+  r AS (SELECT t.*, n, m, row_number() OVER (PARTITION BY dataset_name, target_year, split_config_name ORDER BY result DESC, trial) AS place FROM t JOIN c USING (dataset_name, target_year, split_config_name)),
+  b AS (SELECT dataset_name, target_year, split_config_name, n, m, list(x ORDER BY place) AS best FROM r WHERE place <= m GROUP BY ALL),
+  d AS (SELECT *, 42 || ':' || dataset_name || '/' || target_year || '/' || split_config_name || '/' || ':' || n || ':' || name || ':' || draw || ':' AS word,
+      greatest(0.02, 0.2 / pow(greatest(m, 1), 0.2)) AS w, greatest(0.02, 0.2 / pow(greatest(n - m, 1), 0.2)) AS wo
+    FROM b, (SELECT unnest(range(3)) AS p, unnest(['dropout', 'depth', 'layer_0_units']) AS name), (SELECT unnest(range(24)) AS draw)),
+  e AS (SELECT *, (CAST('0x' || substr(md5(word || 'kernel'), 1, 8) AS BIGINT)::DOUBLE + 0.5) / 4294967296 AS u, (CAST('0x' || substr(md5(word || 'place'), 1, 8) AS BIGINT)::DOUBLE + 0.5) / 4294967296 AS v FROM d),
+  f AS (SELECT *, CASE WHEN floor(u * (m + 1)) = m THEN v ELSE least(greatest(best[CAST(floor(u * (m + 1)) AS BIGINT) + 1][p + 1] + w * ln(v / (1 - v)), 0), 1) END AS pos FROM e),
+  g AS (SELECT f.dataset_name, f.target_year, f.split_config_name, f.n, f.m, p, draw, pos,
+      sum(CASE WHEN place <= r.m THEN exp(-abs(pos - x[p + 1]) / w) / (w * pow(1 + exp(-abs(pos - x[p + 1]) / w), 2)) ELSE 0 END) AS good,
+      sum(CASE WHEN place > r.m THEN exp(-abs(pos - x[p + 1]) / wo) / (wo * pow(1 + exp(-abs(pos - x[p + 1]) / wo), 2)) ELSE 0 END) AS other
+    FROM f JOIN r USING (dataset_name, target_year, split_config_name) GROUP BY ALL),
+  h AS (SELECT dataset_name, target_year, split_config_name, n, p, arg_max(pos, (round(ln((good + 1) / (m + 1)) - ln((other + 1) / (n - m + 1)), 9), -draw)) AS pos FROM g GROUP BY ALL)
+SELECT dataset_name, target_year, split_config_name, n AS n_trials, round(max(pos) FILTER (p = 0), 6) AS dropout, CAST(round(1 + 3 * max(pos) FILTER (p = 1)) AS INTEGER) AS depth,
+  CAST(round(800 * max(pos) FILTER (p = 2)) AS INTEGER) AS layer_0_units FROM h GROUP BY ALL"""
+
 TOKENS = f"""
 tok AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({STOPS}))) AS term FROM documents),
 cnt AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2),
@@ -304,26 +327,62 @@ def history_vector_registry(spark, d):
 
 
 # ------------------------------------------------------------------ risk models
-def _risk_rows(spark, d):
-    emb = table(spark, d, "embeddings")
-    n = emb.agg(F.count(F.lit(1))).scalar()
-    rows = scores(spark, d).withColumn("vec_id", F.pmod(F.col("exam_id"), n)).join(emb.select("vec_id", "embedding"), "vec_id")
-    feats = risk.feature_vector(rows, "embedding", ["score"])
-    return feats.select("exam_id", "fold", "split", F.col("label").cast("double").alias("label"), "features", "score", "embedding")
-
-
+#: Steps of each model's optimiser (trees when boosted), trials of a search, epochs of a trial.
+MODEL_STEPS = {"logistic": 50, "boosted": 20, "perceptron": 30}
+TRIALS, TRIAL_EPOCHS, CV_TRIALS, CV_BEST = 20, 15, 10, 3
+#: Length of a history vector (64 and the mean days) and of the whole feature vector.
+HISTORY_DIMS = 65
+INPUTS = HISTORY_DIMS + len(RF.STRUCTURED)
+SPACE = [
+    Parameter("depth", 1, 3, whole=True), Parameter("units", 8, 64, log=True, whole=True),
+    Parameter("learning_rate", 1e-3, 1.0, log=True), Parameter("optimizer", 0, 1, whole=True),
+]
 FOLDS = (0, 1, 2)
-IN_BOUNDS = "true AS in_bounds"
-PARAMS = ("trial", "reg", "elastic_net")
+PARAMS = ("trial", *[p.name for p in SPACE])
 METRICS = ("auroc", "average_precision")
+IN_BOUNDS = "true AS in_bounds"
+
+RISK = with_sql(EXAMS, CONF, KEPT, INDEX, EVENTS, ANSWERS, EXAM_VECTORS.replace("ev AS", "vx AS", 1), PIT)[:-1] + """,
+  rows AS (SELECT idx.entity_id, idx.exam_id, idx.ts, idx.code, idx.n_prior,
+    CASE WHEN event_date <= idx.ts + INTERVAL 24 MONTH THEN 1 ELSE 0 END AS label FROM idx LEFT JOIN ev USING (entity_id) WHERE event_date IS NULL OR event_date > idx.ts),
+  ent AS (SELECT entity_id, max(label) AS label FROM rows GROUP BY 1),
+  side AS (SELECT entity_id, label, CASE WHEN row_number() OVER w <= ceil(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS split
+    FROM ent WINDOW w AS (PARTITION BY label ORDER BY md5('42:' || entity_id))),
+  part AS (SELECT entity_id, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('43:' || entity_id)) - 1) % 3 AS INTEGER) AS fold FROM side WHERE split = 'train'),
+  feat AS (SELECT rows.*, split, coalesce(fold, -1) AS fold FROM rows JOIN side USING (entity_id) LEFT JOIN part USING (entity_id))"""
+
+
+def _risk_table(spark, d):
+    ans = answers(spark, d).withColumn("flag", flag_map(F.col("flag")))
+    vec = _exam_vectors(spark, d).withColumnRenamed("embedding", "vector")
+    return RF.risk_features(exams(spark, d), confirmations(spark, d), vec, ans)
+
+
+@query("risk_feature_table", RISK + """,
+  h AS (SELECT r.exam_id, round(avg(p.embedding[1]::DOUBLE), 5) AS v1, round(avg(list_sum(list_transform(p.embedding, lambda x: x::DOUBLE))), 5) AS total, round(avg(r.ts - p.ts), 5) AS mean_days
+    FROM rows r JOIN vx p ON p.entity_id = r.entity_id AND p.ts <= r.ts AND p.ts >= CAST(r.ts - INTERVAL 36 MONTH AS DATE) GROUP BY 1)
+  SELECT feat.entity_id, feat.exam_id, label, split, fold, code, n_prior, n_answers, children, flag, v1, total, mean_days
+  FROM feat LEFT JOIN h USING (exam_id) LEFT JOIN pit USING (exam_id)""")
+def risk_feature_table(spark, d):
+    """What is known at each index exam: history mean over 36 months, answers, counts; label, split and fold by entity."""
+    total = F.aggregate(F.slice("history", 1, 64), F.lit(0.0), lambda s, x: s + x)
+    return _risk_table(spark, d).select(
+        "entity_id", "exam_id", "label", "split", "fold", "code", "n_prior", "n_answers", "children", "flag",
+        F.round(F.col("history")[0], 5).alias("v1"), F.round(total, 5).alias("total"), F.round(F.col("history")[64], 5).alias("mean_days"),
+    )
+
+
+def _risk_rows(spark, d):
+    """The training split's model rows, staged in partitions of their own."""
+    rows = RF.model_rows(_risk_table(spark, d), HISTORY_DIMS).where(F.col("split") == "train")
+    return write_stage(rows.repartition("exam_id"), stage_path(spark, "risk"))
 
 
 def _model_metrics(spark, d):
-    """Three models, trained on folds 1 and 2; metrics say whether their rows were trained on."""
-    rows = write_stage(_risk_rows(spark, d), stage_path(spark, "risk"))
-    out = None
-    for kind in ("logistic", "boosted", "perceptron"):
-        model = risk.risk_estimator(kind, inputs=65).fit(rows.where("fold <> 0"))
+    """Three models, trained on folds 1 and 2; metrics say whether their entities were trained on."""
+    rows, out = _risk_rows(spark, d), None
+    for kind, steps in MODEL_STEPS.items():
+        model = risk.risk_estimator(kind, inputs=INPUTS, max_iter=steps).fit(rows.where("fold <> 0"))
         part = risk.predict(model, rows, "exam_id", "fold", "label").withColumn("model", F.lit(kind))
         out = part if out is None else out.unionByName(part)
     role = F.when(F.col("fold") == 0, "held out").otherwise("trained on")
@@ -331,8 +390,8 @@ def _model_metrics(spark, d):
     return risk.trial_metrics(scored, ["model"], within=["role"])
 
 
-@query("risk_model_fit_predict", with_sql(SCORES) + f"""SELECT model, CASE WHEN fold = 0 THEN 'held out' ELSE 'trained on' END AS role, count(*) AS n,
-  sum(label)::BIGINT AS n_events, {IN_BOUNDS} FROM scores, (SELECT unnest(['logistic', 'boosted', 'perceptron']) AS model) GROUP BY 1, 2""")
+@query("risk_model_fit_predict", RISK + f""" SELECT model, CASE WHEN fold = 0 THEN 'held out' ELSE 'trained on' END AS role, count(*) AS n,
+  sum(label)::BIGINT AS n_events, {IN_BOUNDS} FROM feat, (SELECT unnest(['logistic', 'boosted', 'perceptron']) AS model) WHERE split = 'train' GROUP BY 1, 2""")
 def risk_model_fit_predict(spark, d):
     """The countable columns of ``risk_model_metrics``."""
     return _model_metrics(spark, d).select("model", "role", "n", F.col("n_pos").alias("n_events"), "in_bounds")
@@ -340,44 +399,65 @@ def risk_model_fit_predict(spark, d):
 
 @query("risk_model_metrics")
 def risk_model_metrics(spark, d):
-    """AUROC and average precision of three models, on held-out rows and on those trained on; the best of each role."""
+    """AUROC and average precision of three models, on held-out entities and on those trained on; the best of each role."""
     return _model_metrics(spark, d).select("model", "role", "n", F.col("n_pos").alias("n_events"), *METRICS, "is_best")
 
 
-def _trials(spark, d):
-    """Every trial is trained on folds 1 and 2 and scored on fold 0."""
-    rows = write_stage(_risk_rows(spark, d), stage_path(spark, "risk"))
-    _, scored = risk.search_trials(rows.where("fold <> 0"), rows.where("fold = 0"), "exam_id", "label", trials=3)
-    return risk.trial_metrics(write_stage(scored, stage_path(spark, "trial-scores")), PARAMS)
+def _fit_trial(train, values):
+    """A perceptron with the values of a trial."""
+    layers = [INPUTS, *[int(values["units"])] * int(values["depth"]), 2]
+    solver = ("l-bfgs", "gd")[int(values["optimizer"])]
+    return MultilayerPerceptronClassifier(layers=layers, maxIter=TRIAL_EPOCHS, stepSize=values["learning_rate"], solver=solver, seed=42).fit(train)
+
+
+def _searched(spark, d, trials):
+    """Trials trained on folds 1 and 2, scored on fold 0; every proposal comes from the table of the trials before it."""
+    rows = _risk_rows(spark, d)
+    train, held = rows.where("fold <> 0").persist(), rows.where("fold = 0")
+
+    def objective(values):
+        scored = write_stage(risk.predict(_fit_trial(train, values), held, "exam_id", "label").withColumn("t", F.lit(0)), stage_path(spark, "trial-scores"))
+        m = risk.trial_metrics(scored, ["t"]).first()
+        return {"result": m["auroc"], "average_precision": m["average_precision"], "n": m["n"], "n_pos": m["n_pos"], "in_bounds": m["in_bounds"]}
+
+    table = search(spark, SPACE, objective, stage_path(spark, "trials"), trials=trials, schema="average_precision double, n long, n_pos long, in_bounds boolean")
+    train.unpersist()
+    first = Window.partitionBy(F.lit(0)).orderBy(F.coalesce("result", "average_precision").desc_nulls_last(), "trial")  # one row per trial
+    return rows, table.withColumn("is_best", F.row_number().over(first) == 1)
 
 
-@query("param_search", with_sql(SCORES) + f"""SELECT trial, count(*) AS n_validation, sum(label)::BIGINT AS n_events, {IN_BOUNDS}
-  FROM scores, (SELECT unnest(range(3))::INTEGER AS trial) WHERE fold = 0 GROUP BY 1""")
+@query("param_search", RISK + f""" SELECT trial, count(*) AS n_validation, sum(label)::BIGINT AS n_events, {IN_BOUNDS}
+  FROM feat, (SELECT unnest(range({TRIALS}))::INTEGER AS trial) WHERE fold = 0 GROUP BY 1""")
 def param_search(spark, d):
     """The countable columns of ``param_search_trials``."""
-    return _trials(spark, d).select("trial", F.col("n").alias("n_validation"), F.col("n_pos").alias("n_events"), "in_bounds")
+    return _searched(spark, d, TRIALS)[1].select("trial", F.col("n").alias("n_validation"), F.col("n_pos").alias("n_events"), "in_bounds")
 
 
 @query("param_search_trials")
 def param_search_trials(spark, d):
     """Each trial's parameters, validation AUROC and average precision, and which trial is best."""
-    return _trials(spark, d).select(*PARAMS, F.col("n").alias("n_validation"), F.col("n_pos").alias("n_events"), *METRICS, "is_best")
+    table = _searched(spark, d, TRIALS)[1]
+    return table.select(*PARAMS, F.col("n").alias("n_validation"), F.col("n_pos").alias("n_events"), F.col("result").alias("auroc"), "average_precision", "is_best")
 
 
 def _fold_trials(spark, d):
-    """Every trial is trained on the other folds of each fold and scored on it."""
-    rows = write_stage(_risk_rows(spark, d), stage_path(spark, "risk"))
+    """The best values of a search, trained on the other folds of each fold and scored on it."""
+    rows, table = _searched(spark, d, CV_TRIALS)
+    best = table.orderBy(F.coalesce("result", "average_precision").desc_nulls_last(), "trial").limit(CV_BEST).collect()
     out = None
     for k in FOLDS:
-        _, part = risk.search_trials(rows.where(F.col("fold") != k), rows.where(F.col("fold") == k), "exam_id", "fold", "label", trials=3)
-        out = part if out is None else out.unionByName(part)
+        train = rows.where(F.col("fold") != k)
+        for row in best:
+            part = risk.predict(_fit_trial(train, row), rows.where(F.col("fold") == k), "exam_id", "fold", "label")
+            part = part.select(*[F.lit(row[c]).alias(c) for c in PARAMS], "*")
+            out = part if out is None else out.unionByName(part)
     scored = write_stage(out, stage_path(spark, "fold-scores"))
     total = rows.agg(F.count("*")).scalar()
     return risk.trial_metrics(scored, PARAMS, within=["fold"]).withColumn("n_trained", total - F.col("n"))
 
 
-@query("cv_train_eval", with_sql(SCORES) + f"""SELECT fold, count(*) AS n_scored, (SELECT count(*) FROM scores) - count(*) AS n_trained,
-  sum(label)::BIGINT AS n_pos, count(*) - sum(label)::BIGINT AS n_neg, {IN_BOUNDS} FROM scores GROUP BY 1""")
+@query("cv_train_eval", RISK + f""" SELECT fold, count(*) AS n_scored, (SELECT count(*) FROM feat WHERE split = 'train') - count(*) AS n_trained,
+  sum(label)::BIGINT AS n_pos, count(*) - sum(label)::BIGINT AS n_neg, {IN_BOUNDS} FROM feat WHERE split = 'train' GROUP BY 1""")
 def cv_train_eval(spark, d):
     """The countable columns of each fold's best trial."""
     best = _fold_trials(spark, d).where("is_best")
@@ -386,10 +466,23 @@ def cv_train_eval(spark, d):
 
 @query("cv_fold_trials")
 def cv_fold_trials(spark, d):
-    """Each trial's parameters, AUROC and average precision on every fold, and the best trial of each fold."""
+    """The searched parameters that did best, their AUROC and average precision on every fold, and the best of each fold."""
     return _fold_trials(spark, d).select("fold", *PARAMS, F.col("n").alias("n_scored"), "n_trained", "n_pos", "n_neg", *METRICS, "is_best")
 
 
+PROPOSED = [Parameter("dropout", 0, 1), Parameter("depth", 1, 4, whole=True), Parameter("layer_0_units", 0, 800, whole=True)]
+STUDY = ["dataset_name", "target_year", "split_config_name"]
+
+
+@query("next_trial_proposal", with_sql(TUNING).rstrip() + PROPOSAL_SQL)
+def next_trial_proposal(spark, d):
+    """The next parameters of every study of the tuning log, from its trials' densities."""
+    log = _tuning_log(spark, d).where(F.col("trial_number").isNotNull()).select(*STUDY, "trial_number", "result", "params.*")
+    return propose(log, PROPOSED, study=STUDY, trial="trial_number").select(
+        *STUDY, "n_trials", F.round("dropout", 6).alias("dropout"), F.col("depth").cast("int").alias("depth"), F.col("layer_0_units").cast("int").alias("layer_0_units")
+    )
+
+
 # ------------------------------------------------------------------ splits and samples
 def _eligible(spark, d):
     """Index exams with an event flag per entity, as the split input."""
