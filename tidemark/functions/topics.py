@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .prefilter import Prefilter, parted
 from .text import ascii_fold, bind, line_at, strip, strip_accents
 
 # ---------------------------------------------------------------------------
@@ -134,29 +135,34 @@ def _lower(pattern: str) -> str:
     return re.sub(r"(?<!\\)[A-Z]", lambda m: m.group().lower(), pattern)
 
 
-def _total(text: Column, patterns: Sequence[str]) -> Column:
-    """Matches summed over the patterns; one joint search spares texts without any match."""
-    lowered = [_lower(p) for p in patterns]
-    counts = reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(p)) for p in lowered])
-    return F.when(text.rlike("|".join(lowered)), counts).otherwise(0)
+def _total(text: Column, patterns: Sequence[str], found: Column, keys: Prefilter, at: int) -> Column:
+    """Matches summed over the patterns from place ``at`` of the filter's list; only those whose key was found are searched."""
+    counts = [F.when(keys.possible(found, at + i), F.regexp_count(text, F.lit(_lower(p)))).otherwise(0) for i, p in enumerate(patterns)]
+    return reduce(lambda a, b: a + b, counts)
 
 
-def _first_at(text: Column, patterns: Sequence[str]) -> Column:
-    return F.coalesce(
-        *[F.nullif(F.regexp_instr(text, F.lit(_lower(p))), F.lit(0)) for p in patterns]
-    )
+def _first_at(text: Column, patterns: Sequence[str], found: Column, keys: Prefilter, at: int) -> Column:
+    return F.coalesce(*[
+        F.when(keys.possible(found, at + i), F.nullif(F.regexp_instr(text, F.lit(_lower(p))), F.lit(0))) for i, p in enumerate(patterns)
+    ])
+
+
+TOPIC_PARTS = (ANCHORS, MILD_POSITIVE, STRONG_NEGATIVE, MILD_NEGATIVE)
+TOPIC_KEYS = Prefilter([_lower(p) for part in TOPIC_PARTS for p in part])
+#: Place of each part in the list of all topic patterns.
+TOPIC_AT = [sum(len(p) for p in TOPIC_PARTS[:i]) for i in range(4)]
 
 
 def topic_score(text: Column) -> Column:
     """struct(on_topic, score): weighted pattern counts over accent-free text."""
 
     def parts(plain: Column) -> Column:
-        negative = _total(plain, STRONG_NEGATIVE) * STRONG_NEG_WEIGHT + _total(plain, MILD_NEGATIVE) * MILD_NEG_WEIGHT
-        return F.struct(
-            (_total(plain, ANCHORS) * ANCHOR_WEIGHT).alias("anchor"),
-            (_total(plain, MILD_POSITIVE) * MILD_WEIGHT).alias("mild"),
-            negative.alias("neg"),
-        )
+        def weighed(found: Column) -> Column:
+            anchor, mild, strong_neg, mild_neg = (_total(plain, p, found, TOPIC_KEYS, at) for p, at in zip(TOPIC_PARTS, TOPIC_AT, strict=True))
+            negative = strong_neg * STRONG_NEG_WEIGHT + mild_neg * MILD_NEG_WEIGHT
+            return F.struct((anchor * ANCHOR_WEIGHT).alias("anchor"), (mild * MILD_WEIGHT).alias("mild"), negative.alias("neg"))
+
+        return bind(TOPIC_KEYS.found(plain), weighed)
 
     def decide(p: Column) -> Column:
         score = p["anchor"] + p["mild"] + p["neg"]
@@ -171,12 +177,12 @@ def topic_score(text: Column) -> Column:
 
 def topic_evidence(text: Column, on_topic: Column) -> Column:
     """The line of the best hit: an anchor or mild one if on topic, else a negative one."""
-    at = bind(
-        strip_accents(F.lower(text)),
-        lambda plain: F.when(on_topic, _first_at(plain, [*ANCHORS, *MILD_POSITIVE])).otherwise(
-            _first_at(plain, [*STRONG_NEGATIVE, *MILD_NEGATIVE])
-        ),
-    )
+    def first(plain: Column) -> Column:
+        return bind(TOPIC_KEYS.found(plain), lambda found: F.when(
+            on_topic, _first_at(plain, [*ANCHORS, *MILD_POSITIVE], found, TOPIC_KEYS, 0)
+        ).otherwise(_first_at(plain, [*STRONG_NEGATIVE, *MILD_NEGATIVE], found, TOPIC_KEYS, TOPIC_AT[2])))
+
+    at = bind(strip_accents(F.lower(text)), first)
     return line_at(text, at, to_period=False)
 
 
@@ -200,22 +206,26 @@ def guarded_hits(
     weighted = [(term_pattern(t), 2) for t in strong] + [(term_pattern(t), 1) for t in base]
     guards = [term_pattern(t) for t in guard]
 
+    keys = Prefilter([*[p for p, _ in weighted], *guards])
+
     @F.pandas_udf(T.IntegerType())
     def score(text: pd.Series) -> pd.Series:
-        any_hit = re.compile("|".join(p for p, _ in weighted))
-        hits_re = [(re.compile(p), w) for p, w in weighted]
-        guard_re = [re.compile(p) for p in guards]
+        any_key = re.compile(keys.regex)
+        hits_re = [(re.compile(p), w, set(k)) for (p, w), k in zip(weighted, keys.keys, strict=False)]
+        guard_re = [(re.compile(p), set(k)) for p, k in zip(guards, keys.keys[len(weighted) :], strict=True)]
 
         def one(doc: str | None) -> int | None:
             if doc is None:
                 return None
-            if not any_hit.search(doc):
+            found = set(any_key.findall(doc))
+            hits = [(m.start(), w) for rx, w, k in hits_re if not found.isdisjoint(k) for m in rx.finditer(doc)]
+            if not hits:
                 return 0
-            hits = [(m.start(), w) for rx, w in hits_re for m in rx.finditer(doc)]
             starts = [m.start() for m in re.finditer(r"\w+|\S", doc)]
             zones = [
                 (bisect_left(starts, m.end()) - 1 - window, bisect_left(starts, m.start()) + window)
-                for rx in guard_re
+                for rx, k in guard_re
+                if not found.isdisjoint(k)
                 for m in rx.finditer(doc)
             ]
             total = 0
@@ -235,8 +245,16 @@ procedure_points = guarded_hits(PROCEDURE_STRONG, PROCEDURE_BASE, RECOMMENDATION
 
 def screening_points(text: Column) -> Column:
     """Weighted screening-term hits over folded text, inside the JVM."""
-    strong = _total(text, [term_pattern(t) for t in SCREENING_STRONG])
-    return strong * 2 + _total(text, [term_pattern(t) for t in SCREENING_BASE])
+
+    def points(found: Column) -> Column:
+        strong = _total(text, SCREENING[0], found, SCREENING_KEYS, 0)
+        return strong * 2 + _total(text, SCREENING[1], found, SCREENING_KEYS, len(SCREENING[0]))
+
+    return bind(SCREENING_KEYS.found(text), points)
+
+
+SCREENING = [[term_pattern(t) for t in terms] for terms in (SCREENING_STRONG, SCREENING_BASE)]
+SCREENING_KEYS = Prefilter([*SCREENING[0], *SCREENING[1]])
 
 
 def two_class_label(first: Column, second: Column, margin: int = 1, minimum: int = 2) -> Column:
@@ -252,7 +270,7 @@ def folded(text: Column) -> Column:
     return ascii_fold(text)
 
 
-SURGICAL_PATTERN = "(?iu)(" + "|".join(SURGICAL_TERMS) + ")"
+SURGICAL_PATTERN = "(?iu)(" + parted(SURGICAL_TERMS) + ")"
 
 
 def surgical_terms(text: Column) -> Column:
