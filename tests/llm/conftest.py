@@ -15,7 +15,8 @@ def awkward(spark):
         (None, None, None, None, None), (10, "éàü ß 漢字 👍", "xx", "ü", 5), (11, "aaaa " * 300, "en", "c", 7), (12, "12 34 !!", "en", "c", 7),
     ]
     out = spark.createDataFrame(rows, COLUMNS)
-    clash = {c: "x" for c in ("size", "shard", "slot", "kept", "digest", "row", "node", "x", "y", "level", "block", "score", "target", "bytes", "_lang2")}
+    clash = {c: "x" for c in ("size", "shard", "slot", "kept", "digest", "row", "node", "x", "y", "level", "block", "score", "target", "bytes", "_lang", "_score", "_rejected", "_content", "_meta",
+                                 "_digest", "_copy", "_keep_id", "_whole", "_id", "_size", "mix_shard", "mix_order")}
     from pyspark.sql import functions as F
 
     return out.withColumns({c: F.lit(v) for c, v in clash.items()})

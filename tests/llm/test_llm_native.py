@@ -65,7 +65,7 @@ def test_mix(awkward, nothing):
     per = plan.groupby("target").agg(taken=("taken", "sum"), size=("source_size", "first"))
     assert ((per.index - per["taken"]).abs() <= 1).sum() >= len(per) - 1  # repeated rows are not cut
     mixed = mix_documents(awkward)
-    assert mixed.columns == [*awkward.columns, "mix_shard", "mix_order"]
+    assert mixed.columns == [*awkward.columns, "_mix_shard", "_mix_order"]
     assert mixed.count() == plan["copies"].sum()
     assert plan_mix(nothing).count() == 0 and mix_documents(nothing).count() == 0
 

@@ -172,12 +172,14 @@ def test_grammar():
 @tables
 def test_toxicity(spark, awkward, nothing):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    model = fit_toxicity(docs, labels)
-    rows = score_toxicity(docs.select("doc_id", "text"), model).join(labels, "doc_id").toPandas()
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    model = fit_toxicity(docs, labels.where(~held_out))
+    rows = score_toxicity(docs.select("doc_id", "text"), model).join(labels.where(held_out), "doc_id").toPandas()
     said = rows["_score"] >= 0.7
     assert not said[rows["toxic"] == 0].any() and said[rows["toxic"] == 1].mean() > 0.6
     odd = score_toxicity(awkward, model)
-    assert odd.columns == [*awkward.columns, "_score"] and odd.where("_score BETWEEN 0 AND 1").count() == awkward.count()
+    # the user's own _score stays
+    assert odd.columns == [*awkward.columns, "__score"] and odd.where("__score BETWEEN 0 AND 1 AND _score = 'x'").count() == awkward.count()
     empty = fit_toxicity(nothing, labels.limit(0))
     assert score_toxicity(nothing, empty).count() == 0
     assert score_toxicity(docs.limit(3), empty).count() == 3
@@ -191,9 +193,10 @@ def test_language(spark, awkward, nothing):
     rows = identify_languages(docs.where(~even), model).toPandas()
     assert (rows["lang"] == rows["_lang"]).mean() > 0.97
     odd = {r["doc_id"]: r for r in identify_languages(awkward, model).collect()}
-    assert all(odd[i]["_lang"] == "und" and odd[i]["_score"] == 0 for i in (4, 5, 6, 12)) and odd[8]["_lang"] in model.languages
+    assert all(odd[i]["__lang"] == "und" and odd[i]["__score"] == 0 for i in (4, 5, 6, 12)) and odd[8]["__lang"] in model.languages
+    assert odd[8]["_lang"] == odd[8]["_rejected"] == "x" and odd[8]["__rejected"] in (True, False)
     none = fit_languages(nothing)
-    assert {r["_lang"] for r in identify_languages(awkward, none).collect()} == {"und"}
+    assert {r["__lang"] for r in identify_languages(awkward, none).collect()} == {"und"}
 
 
 @tables
@@ -203,9 +206,9 @@ def test_quality(spark, awkward, nothing):
     models = fit_quality(docs.where(even), labels.where(even))
     rows = score_quality(docs.where(~even), models).join(labels, "doc_id").toPandas()
     assert ((rows["_score"] >= 0.5) == (rows["quality"] == 1)).mean() > 0.93
-    assert score_quality(awkward, models).where("_score BETWEEN 0 AND 1").count() == awkward.count()
+    assert score_quality(awkward, models).where("__score BETWEEN 0 AND 1 AND _content = 'x' AND __content >= 0").count() == awkward.count()
     none = fit_quality(nothing, labels.limit(0))
-    assert {r["_score"] for r in score_quality(awkward, none).collect()} == {0.5}
+    assert {r["__score"] for r in score_quality(awkward, none).collect()} == {0.5}
 
 
 def test_neighbours(spark):

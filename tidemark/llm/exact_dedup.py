@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import stage_path
-from .common import staged, text_or_empty
+from .common import staged, text_or_empty, unused
 
 SPACES = " \t\n\x0b\x0c\r"
 STATE = {
@@ -118,12 +118,10 @@ def _split(found: DataFrame, differ: DataFrame) -> DataFrame:
 
 def keep_one_copy(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_groups(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("digest").alias("_keep_digest"))
-    rows = docs.withColumn("_digest", sha256(normalised(text)))
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_keep_id")) & (F.col("_digest") == F.col("_keep_digest"))
+    keep_id, keep_digest, digest, copy = (unused(docs, c) for c in ("_keep_id", "_keep_digest", "_digest", "_copy"))
+    kept = exact_groups(docs, doc_id, text).where("kept").select(F.col("doc_id").alias(keep_id), F.col("digest").alias(keep_digest))
+    rows = docs.withColumn(digest, sha256(normalised(text)))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col(keep_id)) & (F.col(digest) == F.col(keep_digest))
     # repeated rows share id and digest: the longest of them stays
-    order = Window.partitionBy(F.col(doc_id).cast("long"), "_digest").orderBy(F.length(text_or_empty(text)).desc())
-    return (
-        rows.join(kept, same, "left_semi").withColumn("_copy", F.row_number().over(order))
-        .where("_copy = 1").drop("_copy", "_digest")
-    )
+    order = Window.partitionBy(F.col(doc_id).cast("long"), digest).orderBy(F.length(text_or_empty(text)).desc())
+    return rows.join(kept, same, "left_semi").withColumn(copy, F.row_number().over(order)).where(F.col(copy) == 1).drop(copy, digest)

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from .common import unused
 
 #: Hashed trigrams.
 DIMS = 4096
@@ -117,7 +118,7 @@ def fit_languages(docs: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
     return LanguageModel(idf, languages, centroids, np.array([place[r["lang"]] for r in rows_], np.int64), floor)
 
 
-def _identifier(model: LanguageModel, at: int):
+def _identifier(model: LanguageModel, at: int, names: list[str]):
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores, rejected = [], [], []
@@ -134,18 +135,20 @@ def _identifier(model: LanguageModel, at: int):
                 scores.append(float(min(max(cosines[best], 0.0), 1.0)))
                 rejected.append(bool(cosines[best] < model.floor[model.owner[best]]))
             more = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "_lang", "_score", "_rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
 
     return identify
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with _lang, _score (cosine, 0 to 1) and _rejected.
+    """All columns of ``docs``, then _lang, _score (cosine, 0 to 1) and _rejected (see ``unused``).
 
     A text that is null or has no letter is ``und`` with score 0; so is every text when no
     language was learned. Other texts always get the nearest language, also when rejected.
+    Repeated rows are each predicted alike, texts are read whole; an empty table gives no rows.
     """
-    schema = docs.withColumns({"_lang": F.lit(""), "_score": F.lit(0.0), "_rejected": F.lit(True)}).schema
+    names = [unused(docs, c) for c in ("_lang", "_score", "_rejected")]
+    schema = docs.withColumns(dict(zip(names, (F.lit(""), F.lit(0.0), F.lit(True)), strict=True))).schema
     for field in schema.fields:
         field.nullable = True
-    return docs.mapInArrow(_identifier(model, docs.columns.index(text)), schema)
+    return docs.mapInArrow(_identifier(model, docs.columns.index(text), names), schema)

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged, word_count
+from .common import WORD, staged, word_count, unused
 
 #: Bits of the permutation that name a block; a source has 2**8 blocks.
 BLOCK_BITS = 8
@@ -64,7 +64,7 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     level = 1
     while level < shards:
         node = Window.partitionBy("shard")
-        drawn = F.row_number().over(node.orderBy(F.xxhash64(F.lit(seed), F.lit(level), "source", "ball"), "source", "ball"))
+        drawn = F.row_number().over(node.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.lit(level), F.col("source"), "ball")), F.col("source").asc_nulls_last(), "ball"))
         urn = urn.withColumn("right", (drawn > F.floor((F.count("*").over(node) + 1) / 2)).cast("int"))
         urn = urn.select("source", "ball", (F.col("shard") * 2 + F.col("right")).alias("shard"))
         level *= 2
@@ -174,7 +174,8 @@ def plan_mix(
 def mix_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, a row as often as the mix takes it.
 
-    ``mix_shard`` names the output shard and ``mix_order`` the place after the local shuffle.
+    The last two columns, ``mix_shard`` and ``mix_order`` (see ``unused``), are the output shard
+    and the place after the local shuffle.
     A text that is cut keeps its first words, joined by blanks.
     """
     whole = docs.withColumn("_whole", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
@@ -186,26 +187,26 @@ def mix_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     columns = [
         F.when(cut, shorter).otherwise(F.col("_whole")[c]).alias(c) if c == text else F.col("_whole")[c].alias(c) for c in docs.columns
     ]
-    return rows.select(*columns, "mix_shard", F.xxhash64("mix_id", "mix_copy", "mix_shard", F.col("_whole")[text]).alias("mix_order"))
+    order = F.xxhash64("mix_id", "mix_copy", "mix_shard", F.col("_whole")[text])
+    return rows.select(*columns, F.col("mix_shard").alias(unused(docs, "mix_shard")), order.alias(unused(docs, "mix_order")))
 
 
 def place_mix(mixed: DataFrame) -> DataFrame:
-    """Rows of ``mix_documents`` moved to their shard and place; the helper columns are dropped.
+    """Rows of ``mix_documents`` moved to their shard and place; its last two columns are dropped.
 
     A slice of a shard's shuffled order lies in one partition, in order; a partition may hold
     slices of several shards, one after the other.
     """
-    piece = F.shiftright("mix_order", 64 - SLICE_BITS)
-    return mixed.repartition("mix_shard", piece).sortWithinPartitions("mix_shard", "mix_order").drop("mix_shard", "mix_order")
+    shard, order = mixed.columns[-2:]
+    piece = F.shiftright(order, 64 - SLICE_BITS)
+    return mixed.repartition(shard, piece).sortWithinPartitions(shard, order).drop(shard, order)
 
 
 def write_mix(mixed: DataFrame, path: str, files_per_shard: int = 1) -> None:
     """Write a mixed corpus by shard, each file in shuffled order."""
-    part = F.pmod(F.col("mix_order"), F.lit(files_per_shard))
-    (
-        mixed.withColumn("part", part).repartition("mix_shard", "part").sortWithinPartitions("mix_shard", "mix_order")
-        .drop("part", "mix_order").write.partitionBy("mix_shard").parquet(path)
-    )
+    shard, order = mixed.columns[-2:]
+    part = F.pmod(F.col(order), F.lit(files_per_shard))
+    mixed.repartition(shard, part).sortWithinPartitions(shard, order).drop(order).write.partitionBy(shard).parquet(path)
 
 
 def _left(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ END_ID = 2
 #: Partitions that share their left-over pieces at each level.
 FAN_IN = 32
 #: Words whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, cls int, worker int, row long"
 

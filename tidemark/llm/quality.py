@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
 from .language import trigrams
 
 #: Labelled rows and unlabelled rows that the classifiers are fitted on, at most.
@@ -146,24 +147,26 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, po
     return co_train([v[known] for v in views], quality[known].astype(float), [v[~known] for v in views])
 
 
-def _scorer(models: list[View], at: tuple[int, int, int]):
+def _scorer(models: list[View], at: tuple[int, int, int], names: list[str]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, langs, sources = (batch.column(i).to_pylist() for i in at)
             a = models[0].odds(np.array([content_view(t) for t in texts]).reshape(-1, CONTENT))
             b = models[1].odds(np.array([metadata_view(*r) for r in zip(texts, langs, sources, strict=True)]).reshape(-1, META))
             p = [1 / (1 + np.exp(-np.clip(z, -40, 40))) for z in (a, b, a + b - models[0].prior)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.float64()) for x in p)], [*batch.schema.names, "_content", "_meta", "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.float64()) for x in p)], [*batch.schema.names, *names])
 
     return score
 
 
 def score_quality(docs: DataFrame, models: list[View], text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """All columns of ``docs`` with the views' scores _content and _meta and the joint _score.
+    """All columns of ``docs``, then the views' scores _content and _meta and the joint _score (see ``unused``).
 
     Scores are probabilities of good quality; null text, language or source count as empty.
+    Repeated rows are each scored alike, texts are read whole; an empty table gives no rows.
     """
     rows = docs.withColumns({lang: F.col(lang).cast("string"), source: F.col(source).cast("string")})
-    schema = rows.withColumns({c: F.lit(0.0) for c in ("_content", "_meta", "_score")}).schema
+    names = [unused(docs, c) for c in ("_content", "_meta", "_score")]
+    schema = rows.withColumns({c: F.lit(0.0) for c in names}).schema
     at = tuple(rows.columns.index(c) for c in (text, lang, source))
-    return rows.mapInArrow(_scorer(models, at), schema)
+    return rows.mapInArrow(_scorer(models, at, names), schema)

@@ -9,7 +9,7 @@ from .common import WORD, documents
 from .exact_dedup import exact_groups
 from .language import fit_languages, identify_languages
 from .language_model import fit_language_model, score_texts
-from .mixing import mix_documents, plan_mix
+from .mixing import plan_mix
 from .near_dedup import near_duplicates
 from .neighbours import nearest_neighbours
 from .packing import pack_documents
@@ -34,12 +34,30 @@ WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS
   t AS (SELECT source, source_size, least(CAST(most AS DOUBLE),
       coalesce((SELECT arg_min(level, pos) FROM l WHERE level <= fill), level) * weight) AS target FROM l),
   p AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END AS passes FROM t),
-  r AS (SELECT doc_id, size, source_size, target, CAST(passes AS BIGINT) AS passes, target - passes * source_size AS rest,
+  r AS (SELECT doc_id, d.source, size, source_size, target, CAST('0x' || substr(perm, 1, 2) AS BIGINT) AS block,
+      CAST(passes AS BIGINT) AS passes, target - passes * source_size AS rest,
       CAST(sum(size) OVER (PARTITION BY d.source ORDER BY perm) - sum(size) OVER (PARTITION BY d.source, perm) AS BIGINT) AS base,
       CAST(sum(size) OVER (PARTITION BY d.source, perm) AS BIGINT) AS words, count(*) OVER (PARTITION BY d.source, perm) AS n
-    FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+    FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+  b AS (SELECT source, block, any_value(rest) AS rest, sum(sum(size)) OVER (PARTITION BY source ORDER BY block) AS upto FROM r GROUP BY source, block),
+  e AS (SELECT source, min(block) FILTER (upto > rest) + 1 AS first_blocks FROM b GROUP BY source),
+  q AS (SELECT p.source, CAST(passes * 256 + CASE WHEN target - passes * source_size > 0 THEN coalesce(first_blocks, 256) ELSE 0 END AS BIGINT) AS quota
+    FROM p LEFT JOIN e ON p.source IS NOT DISTINCT FROM e.source),
+  u0 AS (SELECT source, unnest(range(quota)) AS ball, 0 AS shard FROM q WHERE quota > 0),
+  u1 AS (SELECT source, ball, shard * 2 + CASE WHEN row_number() OVER (PARTITION BY shard ORDER BY md5(concat_ws(':', '0', '1', source, ball)), source NULLS LAST, ball)
+    > (count(*) OVER (PARTITION BY shard) + 1) // 2 THEN 1 ELSE 0 END AS shard FROM u0),
+  u2 AS (SELECT source, ball, shard * 2 + CASE WHEN row_number() OVER (PARTITION BY shard ORDER BY md5(concat_ws(':', '0', '2', source, ball)), source NULLS LAST, ball)
+    > (count(*) OVER (PARTITION BY shard) + 1) // 2 THEN 1 ELSE 0 END AS shard FROM u1),
+  u3 AS (SELECT source, ball, shard * 2 + CASE WHEN row_number() OVER (PARTITION BY shard ORDER BY md5(concat_ws(':', '0', '4', source, ball)), source NULLS LAST, ball)
+    > (count(*) OVER (PARTITION BY shard) + 1) // 2 THEN 1 ELSE 0 END AS shard FROM u2),
+  s8 AS (SELECT source, list({'last': last, 'shard': shard} ORDER BY last) AS spans
+    FROM (SELECT source, shard, sum(count(*)) OVER (PARTITION BY source ORDER BY shard) AS last FROM u3 GROUP BY source, shard) GROUP BY source),
+  m AS (SELECT r.*, spans, least(passes + CASE WHEN rest > 0 AND (base + words <= rest OR (base <= rest AND n = 1 AND floor(rest - base) > 0)) THEN 1 ELSE 0 END, 2) AS copies
+    FROM r LEFT JOIN s8 ON r.source IS NOT DISTINCT FROM s8.source)
 SELECT doc_id, size, source_size, target, passes * size + CAST(CASE WHEN rest <= 0 THEN 0 WHEN base + words <= rest THEN size
-    WHEN base <= rest AND n = 1 THEN floor(rest - base) ELSE 0 END AS BIGINT) AS taken FROM r"""
+    WHEN base <= rest AND n = 1 THEN floor(rest - base) ELSE 0 END AS BIGINT) AS taken, copies,
+  concat_ws(',', CASE WHEN copies > 0 THEN list_filter(spans, lambda x: x.last > block)[1].shard END,
+    CASE WHEN copies > 1 THEN list_filter(spans, lambda x: x.last > 256 + block)[1].shard END) AS shards FROM m"""
 
 EXACT_SQL = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars,
@@ -75,15 +93,11 @@ SELECT word, form.form, walk.root, n, n_near, form_n FROM form JOIN walk USING (
 
 @query("op2_source_mix", MIX_SQL)
 def op2_source_mix(spark: SparkSession, d: str) -> DataFrame:
-    """Words of each document in a mix of all sources by weight."""
-    return plan_mix(documents(spark, d)).select(F.col("mix_id").alias("doc_id"), "size", "source_size", "target", "taken")
-
-
-@query("op2_mix_placement")
-def op2_mix_placement(spark: SparkSession, d: str) -> DataFrame:
-    """Output shard and place in its local shuffle of every copy that the mix of op2_source_mix takes."""
-    docs = documents(spark, d).select("doc_id", "source", "text")
-    return mix_documents(docs).select("doc_id", "source", "mix_shard", "mix_order")
+    """Words of each document in a mix of all sources by weight, its copies and the shards that the splitting tree gives them."""
+    return plan_mix(documents(spark, d)).select(
+        F.col("mix_id").alias("doc_id"), "size", "source_size", "target", "taken", F.col("copies").cast("long").alias("copies"),
+        F.concat_ws(",", F.transform("shards", lambda s: s.cast("string"))).alias("shards"),
+    )
 
 
 @query("op3_exact_dedup", EXACT_SQL)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
 from .transducers import Transducer, after, compose, weigh
 
 #: Labelled rows that the lexicon and the weights are learned from, at most.
@@ -245,7 +246,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
     return ToxicityModel(stems, tuple(float(w) for w in weights), bias)
 
 
-def _scores(model: ToxicityModel, at: int):
+def _scores(model: ToxicityModel, at: int, name: str):
     weights = np.array(model.weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,15 +254,20 @@ def _scores(model: ToxicityModel, at: int):
         for batch in batches:
             counts = [scorer.counts(t) for t in batch.column(at).to_pylist()]
             p = 1 / (1 + np.exp(-(_signals(counts) @ weights + model.bias)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*batch.schema.names, name])
 
     return score
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``_score`` from 0 to 1; a null text scores like an empty one."""
-    schema = docs.withColumn("_score", F.lit(0.0)).schema
-    return docs.mapInArrow(_scores(model, docs.columns.index(text)), schema)
+    """All columns of ``docs`` and ``_score`` (see ``unused``) from 0 to 1, the last column.
+
+    A null text scores like an empty one, a repeated row each time alike, whole texts of any
+    length; an empty table gives no rows.
+    """
+    name = unused(docs, "_score")
+    schema = docs.withColumn(name, F.lit(0.0)).schema
+    return docs.mapInArrow(_scores(model, docs.columns.index(text), name), schema)
 
 
 def in_fold(doc_id: str, parts: int, fold: int) -> Column:
