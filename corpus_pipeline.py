@@ -25,7 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity limit; learned as in the operator's query, on two thirds of the labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~in_fold("doc_id", 3, 1))
     model = fit_toxicity(docs, labels)
-    return score_toxicity(docs, model).where(F.col("_score") < TOXIC).drop("_score")
+    scored = score_toxicity(docs, model)
+    score = scored.columns[-1]
+    return scored.where(F.col(score) < TOXIC).drop(score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
