@@ -158,6 +158,25 @@ def test_packing(spark, awkward, nothing):
     assert pack_documents(nothing).count() == 0
 
 
+@tables
+def test_packing_ids_equal_the_plain_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(default_tokenizer())
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    ids = {r["doc_id"]: np.array([*e.ids, 2], "<u4").tobytes() for r, e in zip(rows, plain.encode_batch([r["text"] or "" for r in rows], add_special_tokens=False), strict=True)}
+    got = pack_documents(docs).toPandas()
+    for r in got.itertuples():
+        data = ids[r.doc_id]
+        assert r.doc_tokens * 4 == len(data) and zlib.crc32(data[4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32
+    for _, g in got.groupby("doc_id"):
+        g = g.sort_values("start")
+        assert g["start"].tolist() == [0, *np.cumsum(g["length"])[:-1]] and g["length"].sum() == g["doc_tokens"].iloc[0]
+    # little padding: sequences are filled to 98 % and more
+    assert got["length"].sum() > 0.98 * 4096 * got["sequence_id"].nunique()
+
+
 def test_grammar():
     scorer = Scorer(frozenset({"grub"}))
 

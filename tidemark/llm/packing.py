@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,9 @@ FAN_IN = 32
 #: Words whose ids a worker remembers; the memory is emptied when full.
 REMEMBERED = 250_000
 
+#: Bytes of the texts that are tokenised in one go; a longer text is tokenised alone.
+PART_BYTES = 1 << 20
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, cls int, worker int, row long"
 
 
@@ -118,6 +122,100 @@ class _Ids(dict):
 _REMEMBER: dict[str, _Ids] = {}
 
 
+def token_bytes(texts: list[str | None], tokenizer: str) -> list[bytes]:
+    """Ids of every text as packed unsigned 32-bit numbers; null counts as empty."""
+    if tokenizer not in _REMEMBER:
+        _REMEMBER[tokenizer] = _Ids(tokenizer)
+    known = _REMEMBER[tokenizer]
+    split = [(text or "").encode("utf-8", "replace").split() for text in texts]
+    if len(known) > REMEMBERED:
+        known.clear()
+    known.learn({w for words in split for w in words if w not in known})
+    return [b"".join(map(known.__getitem__, words)) for words in split]
+
+
+def _piecer(tokenizer: str | None, capacity: int):
+    end = np.array([END_ID], "<u4").tobytes()
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, worker, row = tokenizer or default_tokenizer(), TaskContext.get().partitionId(), 0
+        pa.default_memory_pool().release_unused()  # what earlier tasks left in this worker
+        for batch in batches:
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            at, rows = 0, []
+            while at < batch.num_rows:
+                # the words of a part are objects, so a part is bounded by its bytes
+                to = max(at + 1, min(at + 256, int(np.searchsorted(size, (size[at - 1] if at else 0) + PART_BYTES))))
+                part = batch.slice(at, to - at)
+                for doc, ids in zip(part.column(0).to_pylist(), token_bytes(part.column(1).to_pylist(), path), strict=True):
+                    ids += end
+                    n = len(ids) // 4
+                    for start, length, k in cut(n, capacity):
+                        rows.append((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, k, worker, row))
+                        row += 1
+                at = to
+                if len(rows) > 10_000 or at == batch.num_rows:
+                    types = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64()]
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in PIECES.split(", ")])
+                    rows = []
+
+    return pieces
+
+
+class _Ids(dict):
+    """Packed little-endian ids of a word; words between white space are tokenised alone."""
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.zeros(size, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of letter runs and marks, many in one call: each of them ends with an end-of-word token."""
+        out: list[bytes] = []
+        for at in range(0, len(parts), 1000):
+            some = parts[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            to = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(to) == len(some):
+                packed = ids.tobytes()
+                out += [packed[i:j] for i, j in zip([0, *to[:-1]], to, strict=True)]
+            else:
+                out += self.encode(some)
+        return out
+
+    def learn(self, words: set[bytes]) -> None:
+        """Add the ids of new words; a word of plain letters and its end mark are learned apart."""
+        cores: dict[bytes, tuple[str, str]] = {}
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            core = text.rstrip(".,;:!?|*$%&)")
+            # letters of the Latin blocks that lower-case alike everywhere; the pattern splits the mark off
+            if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
+                cores[w] = (core.lower(), text[len(core) :])
+        parts = sorted({p for pair in cores.values() for p in pair if p})
+        ids = dict(zip(parts, self.encode_parts(parts), strict=True))
+        ids[""] = b""
+        whole = sorted(w for w in words if w not in cores)
+        self.update(zip(whole, self.encode([w.decode("utf-8", "replace") for w in whole]), strict=True))
+        self.update({w: ids[a] + ids[b] for w, (a, b) in cores.items()})
+
+
+_REMEMBER: dict[str, _Ids] = {}
+
+
 def token_bytes(texts: list[str | None], tokenizer: str) -> list[bytes]:
     """Ids of every text as packed unsigned 32-bit numbers; null counts as empty."""
     if tokenizer not in _REMEMBER:
