@@ -30,8 +30,8 @@ TOLERANCE = 1 / 64
 END_ID = 2
 #: Partitions that share their left-over pieces at each level.
 FAN_IN = 32
-#: Words whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED = 250_000
+#: Words of a generation of a worker's memory. It holds two: words that are met again pass into the new one, the old one goes.
+REMEMBERED = 350_000
 
 #: Bytes of the texts that are tokenised in one go; a longer text is tokenised alone.
 PART_BYTES = 1 << 20
@@ -79,6 +79,7 @@ class _Ids(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.ends = np.zeros(size, bool)
@@ -128,10 +129,15 @@ def token_bytes(texts: list[str | None], tokenizer: str) -> list[bytes]:
         _REMEMBER[tokenizer] = _Ids(tokenizer)
     known = _REMEMBER[tokenizer]
     split = [(text or "").encode("utf-8", "replace").split() for text in texts]
+    new = set().union(*split).difference(known)
+    again = new.intersection(known.older)
+    known.update({w: known.older[w] for w in again})
+    known.learn(new - again)
+    out = [b"".join(map(known.__getitem__, words)) for words in split]
     if len(known) > REMEMBERED:
+        known.older = dict(known)
         known.clear()
-    known.learn({w for words in split for w in words if w not in known})
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+    return out
 
 
 def _piecer(tokenizer: str | None, capacity: int):
@@ -173,6 +179,7 @@ class _Ids(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.ends = np.zeros(size, bool)
@@ -222,10 +229,15 @@ def token_bytes(texts: list[str | None], tokenizer: str) -> list[bytes]:
         _REMEMBER[tokenizer] = _Ids(tokenizer)
     known = _REMEMBER[tokenizer]
     split = [(text or "").encode("utf-8", "replace").split() for text in texts]
+    new = set().union(*split).difference(known)
+    again = new.intersection(known.older)
+    known.update({w: known.older[w] for w in again})
+    known.learn(new - again)
+    out = [b"".join(map(known.__getitem__, words)) for words in split]
     if len(known) > REMEMBERED:
+        known.older = dict(known)
         known.clear()
-    known.learn({w for words in split for w in words if w not in known})
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+    return out
 
 
 def _piecer(tokenizer: str | None, capacity: int):
