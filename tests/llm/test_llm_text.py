@@ -14,7 +14,7 @@ from tidemark.llm.language import fit_languages, identify_languages
 from tidemark.llm.near_dedup import components, keep_one_of_each, near_duplicates
 from tidemark.llm.neighbours import nearest_neighbours
 from tidemark.llm.packing import cut, default_tokenizer, pack_documents, token_bytes
-from tidemark.llm.quality import fit_quality, score_quality
+from tidemark.llm.quality import CONFIDENT, CONTENT, META, Pool, View, content_view, fit_quality, metadata_view, score_quality
 from tidemark.llm.repeats import repeated_spans
 from tidemark.llm.toxicity import Scorer, fit_toxicity, score_toxicity, PATTERNS
 
@@ -230,6 +230,31 @@ def test_quality(spark, awkward, nothing):
     assert {r["__score"] for r in score_quality(awkward, none).collect()} == {0.5}
 
 
+def test_quality_pool_names_the_surest_of_all(spark):
+    """Against brute force over every unlabelled document; nothing is named twice, copies count once."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "DELTA!", "x1"], rng.integers(1, 40))) for _ in range(300)]
+    texts += [texts[0]] * 100 + ["", None]
+    rows = [(i, i, content_view(t).astype(np.float16).tobytes(), metadata_view(t, "en", "a").astype(np.float16).tobytes()) for i, t in enumerate(texts)]
+    rows = [(r[0], 0 if 300 <= r[1] < 400 else r[1], *r[2:]) for r in rows]
+    seen = spark.createDataFrame(rows, "id long, h long, content binary, meta binary")
+    labelled = spark.createDataFrame([(i,) for i in range(1, 60)], "id long")
+    models = [View(rng.standard_normal(n) * 9, 0.1) for n in (CONTENT, META)]
+    pool = Pool(seen, labelled, 7, 3)
+    odds = {h: [models[k].raw(np.frombuffer(r[2 + k], np.float16).astype(np.float32)) for k in (0, 1)] for r in rows for h in [r[1]] if not 1 <= r[0] < 60}
+    taken = set()
+    for _ in range(3):
+        want = [[], []]
+        for one in (0, 1):
+            for label, sign in ((1.0, 1), (0.0, -1)):
+                best = sorted((-sign * z[one], h) for h, z in odds.items() if h not in taken and sign * z[one] >= np.log(CONFIDENT / (1 - CONFIDENT)))[:7]
+                taken |= {h for _, h in best}
+                want[one] += [(h, label) for _, h in best]
+        assert pool.surest(models) == want and want[0] and want[1]
+    (views, label), _ = Pool(seen, labelled, 7, 3)(models)
+    assert views[0].shape == (len(label), CONTENT) and views[1].shape == (len(label), META) and set(label) == {0.0, 1.0}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     vectors = rng.standard_normal((400, 8)).astype(np.float32)

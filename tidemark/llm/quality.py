@@ -1,8 +1,8 @@
 """Quality by co-training of a text-content and a page-metadata classifier.
 
-The content view of a document is its hashed words and byte trigrams; the metadata view is its
-length, language, source and layout. Each view has a logistic classifier. In every round both
-label unlabelled documents of which they are confident, for the other one to learn from. At the
+The content view of a document is its hashed byte trigrams; the metadata view is its length,
+language, source and layout. Each view has a logistic classifier. In every round both rate all
+unlabelled documents, and those of which one is most confident are learned by the other. At the
 end each view is calibrated on labelled documents (Platt scaling). As the views are taken to be
 independent given the label, a document's log-odds are the sum of both views' calibrated ones,
 less the log-odds of the labels, which both contain.
@@ -10,7 +10,7 @@ less the log-odds of the labels, which both contain.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,15 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import unused
+from .common import staged, unused
 from .language import trigrams
 
-#: Labelled rows and unlabelled rows that the classifiers are fitted on, at most.
+#: Labelled rows that the classifiers are fitted on, at most.
 FIT_ROWS = 4000
-POOL_ROWS = 4000
 ROUNDS = 3
-#: Pseudo-labels of each kind that one view gives the other per round, as a share of the pool.
-EXCHANGED = 0.05
+#: Different documents of each kind that one view names to the other per round, at most: the
+#: ones of all unlabelled documents that it is surest of.
+EXCHANGED = 200
 CONFIDENT = 0.95
 CONTENT, META = 1024, 64
 
@@ -93,58 +93,113 @@ def _calibrated(view: View, x: np.ndarray, y: np.ndarray) -> View:
     return View(view.weights, view.bias, max(float(fit.weights[0]) / scale, 0.0), fit.bias, float(np.log(share / (1 - share))))
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS) -> list[View]:
-    """Two classifiers over two views; the last fifth of the labelled rows calibrates them."""
+#: What one view names to the other: views (content, meta) and the label of each row.
+Named = tuple[list[np.ndarray], np.ndarray]
+
+
+def co_train(views: list[np.ndarray], y: np.ndarray, confident: Callable[[list[View]], list[Named]], rounds: int = ROUNDS) -> list[View]:
+    """Two classifiers over two views; the last fifth of the labelled rows calibrates them.
+
+    ``confident`` gives the documents that the content view names, then those of the metadata view.
+    """
     n = max(1, len(y) * 4 // 5)
     known = [(v[:n], y[:n]) for v in views]
-    taken = np.zeros(len(pool[0]), bool)
-    most = max(1, int(EXCHANGED * len(taken)))
     for _ in range(rounds):
-        models = [_logistic(*k) for k in known]
-        if not len(taken):
-            break
-        for one, other in ((0, 1), (1, 0)):
-            p = 1 / (1 + np.exp(-np.clip(models[one].raw(pool[one]), -40, 40)))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                best = np.argsort(-np.where(taken, -1.0, sure), kind="stable")[:most]
-                best = best[(sure[best] >= CONFIDENT) & ~taken[best]]
-                taken[best] = True
-                known[other] = (np.vstack([known[other][0], pool[other][best]]), np.append(known[other][1], np.full(len(best), label)))
+        named = confident([_logistic(*k) for k in known])
+        for other, (rows, label) in zip((1, 0), named, strict=True):
+            known[other] = (np.vstack([known[other][0], rows[other]]), np.append(known[other][1], label))
     rest = slice(n, None) if len(y) > n else slice(None)
     return [_calibrated(_logistic(*k), v[rest], y[rest]) for k, v in zip(known, views, strict=True)]
 
 
 def _viewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """quality, text, lang, source -> quality and both views."""
+    """id, h, text, lang, source -> id, h and both views in half precision."""
     for batch in batches:
-        texts, langs, sources = (batch.column(i).to_pylist() for i in (1, 2, 3))
-        a = [content_view(t).tolist() for t in texts]
-        b = [metadata_view(*r).tolist() for r in zip(texts, langs, sources, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.list_(pa.float32())), pa.array(b, pa.list_(pa.float32()))], ["quality", "content", "meta"])
+        texts, langs, sources = (batch.column(i).to_pylist() for i in (2, 3, 4))
+        a = [content_view(t).astype(np.float16).tobytes() for t in texts]
+        b = [metadata_view(*r).astype(np.float16).tobytes() for r in zip(texts, langs, sources, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["id", "h", "content", "meta"])
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, width).astype(np.float32)
+
 
+def _rater(models: list[View]):
+    """id, h, content, meta -> id, h and the log-odds that each view gives."""
 
-def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS) -> list[View]:
-    """Learn from labelled documents (labels: doc_id, quality 0 or 1) and unlabelled ones.
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odds = [pa.array(m.raw(_matrix(batch.column(i + 2), w)), pa.float64()) for i, (m, w) in enumerate(zip(models, (CONTENT, META), strict=True))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *odds], ["id", "h", "z0", "z1"])
+
+    return rate
+
+
+class Pool:
+    """All unlabelled documents, by their views; equal ones (h) count once.
+
+    A call rates every one of them with both models. For each model and label, those among the
+    documents not named before that it is surest of are collected: at most ``exchanged``.
+    """
 
-    Both are fixed samples by hash of at most the given sizes. Without labels of both kinds
-    the score is one half for all.
+    def __init__(self, seen: DataFrame, labelled: DataFrame, exchanged: int, rounds: int):
+        self.seen, self.labelled, self.exchanged, self.rounds = seen, labelled, exchanged, rounds
+        self.taken: set[int] = set()
+
+    def surest(self, models: list[View]) -> list[list[tuple[int, float]]]:
+        """Per model, (h, label) of the documents it names."""
+        rated = self.seen.mapInArrow(_rater(models), "id long, h long, z0 double, z1 double")
+        rated = rated.join(self.labelled, "id", "left_anti").groupBy("h").agg(F.max("z0").alias("z0"), F.max("z1").alias("z1"))
+        rated = staged(rated, "quality-odds")
+        least = float(np.log(CONFIDENT / (1 - CONFIDENT)))
+        # so many that enough are left whatever was named before: a fixed number
+        most = self.exchanged * 4 * self.rounds
+        kinds = [(one, label) for one in (0, 1) for label in (1.0, 0.0)]
+        sure = {k: F.col(f"z{k[0]}") * (1 if k[1] else -1) for k in kinds}
+        tops = [
+            rated.where(sure[k] >= least).orderBy(sure[k].desc(), "h").limit(most)
+            .select(F.lit(i).alias("kind"), "h", sure[k].alias("sure"))
+            for i, k in enumerate(kinds)
+        ]
+        found = tops[0].union(tops[1]).union(tops[2]).union(tops[3]).collect()
+        named: list[list[tuple[int, float]]] = [[], []]
+        for i, (one, label) in enumerate(kinds):
+            best = sorted((-r["sure"], r["h"]) for r in found if r["kind"] == i and r["h"] not in self.taken)[: self.exchanged]
+            self.taken.update(h for _, h in best)
+            named[one] += [(h, label) for _, h in best]
+        return named
+
+    def __call__(self, models: list[View]) -> list[Named]:
+        named = self.surest(models)
+        wanted = [h for part in named for h, _ in part]  # at most 4 * exchanged
+        rows = self.seen.where(F.col("h").isin(wanted)).groupBy("h").agg(F.min("content").alias("content"), F.min("meta").alias("meta")).toArrow()
+        at = {h: i for i, h in enumerate(rows["h"].to_pylist())}
+        views = [_matrix(rows["content"], CONTENT), _matrix(rows["meta"], META)]
+        return [([v[[at[h] for h, _ in part]] for v in views], np.array([label for _, label in part])) for part in named]
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, exchanged: int = EXCHANGED) -> list[View]:
+    """Learn from labelled documents (labels: doc_id, quality 0 or 1) and all unlabelled ones.
+
+    Of more than ``fit_rows`` labelled ids a fixed sample by hash is used; unlabelled documents
+    (ids without a label, or null) are rated whole and all, in every round. Without labels of both
+    kinds the score is one half for all.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("id")).where("id IS NOT NULL").distinct()
-    marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality"))
-    marked = marked.where("quality IN (0, 1) AND id IS NOT NULL").groupBy("id").agg(F.min("quality").alias("quality"))
-    picked = marked.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
-    unmarked = ids.join(labels.select(F.col("doc_id").cast("long").alias("id")), "id", "left_anti")
-    unmarked = unmarked.orderBy(F.xxhash64("id"), "id").limit(pool_rows).withColumn("quality", F.lit(-1))
+    marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).where("id IS NOT NULL")
+    picked = marked.where("quality IN (0, 1)").groupBy("id").agg(F.min("quality").alias("quality"))
+    picked = picked.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    # at most fit_rows + pool_rows ids are broadcast
-    sample = rows.join(F.broadcast(picked.union(unmarked)), "id").orderBy(F.xxhash64("id"), "id").select("quality", "text", "lang", "source")
-    table = sample.mapInArrow(_viewer, "quality int, content array<float>, meta array<float>").toArrow()
+    rows = rows.select("id", F.xxhash64("text", "lang", "source").alias("h"), "text", "lang", "source")
+    # the texts are read once; rounds read some 2 KB a document
+    seen = staged(rows.mapInArrow(_viewer, "id long, h long, content binary, meta binary"), "quality-views")
+    # at most fit_rows ids are broadcast
+    table = seen.join(F.broadcast(picked), "id").orderBy(F.xxhash64("id"), "id", "h").select("quality", "content", "meta").toArrow()
     quality = table["quality"].to_numpy() if len(table) else np.empty(0)
-    known = quality >= 0
-    if len(np.unique(quality[known])) < 2:
+    if len(np.unique(quality)) < 2:
         return [View(np.zeros(CONTENT), 0.0), View(np.zeros(META), 0.0)]
-    views = [table[c].combine_chunks().flatten().to_numpy().reshape(len(quality), -1) for c in ("content", "meta")]
-    return co_train([v[known] for v in views], quality[known].astype(float), [v[~known] for v in views])
+    views = [_matrix(table["content"], CONTENT), _matrix(table["meta"], META)]
+    return co_train(views, quality.astype(float), Pool(seen, marked.select("id").distinct(), exchanged, ROUNDS))
 
 
 def _scorer(models: list[View], at: tuple[int, int, int], names: list[str]):
