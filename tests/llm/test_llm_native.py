@@ -1,25 +1,41 @@
 """Sharding, mixing and exact deduplication against direct computation."""
 
+import bisect
+import os
 import zlib
+from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm.exact_dedup import exact_groups, keep_one_copy
 from tidemark.llm.mixing import mix_documents, plan_mix, source_targets, split_quotas
-from tidemark.llm.sharding import cut_positions, shard_documents, smallest_capacity
+from tidemark.llm.sharding import cut_hashes, cut_positions, shard_documents, smallest_capacity
+
+tables = pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
 
 
 def size(text):
     return len((text or "").encode()) + 1
 
 
-def test_smallest_capacity_is_minimal(spark):
-    def needed(sizes, cap):
-        n, load = 1, 0
-        for s in sizes:
-            n, load = (n, load + s) if load + s <= cap else (n + 1, s)
-        return n
+def needed(sizes, cap):
+    n, load = 1, 0
+    for s in sizes:
+        n, load = (n, load + s) if load + s <= cap else (n + 1, s)
+    return n
+
+
+def lowest_capacity(sizes, shards):
+    low, high = max(sizes), sum(sizes)
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if needed(sizes, mid) <= shards else (mid + 1, high)
+    return low
 
+
+def test_smallest_capacity_is_minimal(spark):
     for sizes, shards in (([5, 1, 9, 3, 3, 7], 3), ([4], 8), ([1] * 40, 8), ([100, 1, 1, 1], 2)):
         df = spark.createDataFrame([(sizes,)], "s array<long>").withColumn("c", smallest_capacity(F.col("s"), shards))
         cap = df.first()["c"]
@@ -29,6 +45,37 @@ def test_smallest_capacity_is_minimal(spark):
         assert len(cuts) == needed(sizes, cap) - 1
 
 
+def test_capacity_is_minimal_over_groups(spark):
+    """Many groups per run, against a binary search over all groups in their order."""
+    rng = np.random.default_rng(4)
+    whole = rng.integers(-(2**63), 2**63 - 1, 3000)
+    narrow = np.concatenate([rng.integers(0, 2**34, 700), rng.integers(-(2**20), 0, 300), [-(2**63), 2**63 - 1]])
+    plain, skewed = rng.integers(1, 6000, 3000), (rng.pareto(1.0, 3000) * 900 + 1).astype(int)
+    hot = plain.copy()
+    hot[1234] = plain.sum() // 2  # one text holds a third of all
+    two = plain.copy()
+    two[[10, 2000]] = plain.sum() // 3
+    few = np.array([3, 1, 2])
+    for hashes, sizes in ((whole, plain), (whole, skewed), (whole, hot), (narrow, plain[: len(narrow)]), (narrow, two[: len(narrow)]), (whole[:3], few)):
+        groups = dict(zip(hashes.tolist(), sizes.tolist(), strict=True))
+        df = spark.createDataFrame(list(groups.items()), "h long, bytes long")
+        cuts = cut_hashes(df, 8)
+        loads = Counter()
+        for h, n in groups.items():
+            loads[bisect.bisect_right(cuts, h)] += n
+        assert len(cuts) < 8 and cuts == sorted(set(cuts))
+        assert max(loads.values()) == lowest_capacity([groups[h] for h in sorted(groups)], 8)
+
+
+@tables
+def test_query_shards_are_minimal(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = shard_documents(docs).join(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")), "doc_id").toPandas()
+    groups = rows.groupby("h").agg(size=("size", "sum"), shards=("shard", "nunique")).sort_index()
+    assert (groups["shards"] == 1).all()
+    assert rows.groupby("shard")["size"].sum().max() == lowest_capacity(groups["size"].tolist(), 8)
+
+
 def test_shards(awkward, nothing):
     rows = shard_documents(awkward).toPandas()
     texts = {r["doc_id"]: r["text"] for r in awkward.collect()}
