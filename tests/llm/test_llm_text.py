@@ -188,6 +188,23 @@ def test_grammar():
     assert found("I will kill you") == {"K"} and found("kill the process") == {"T"} and found("All is well. " * 50) == set()
 
 
+def test_path_weights_make_the_score():
+    """The composed machine's weight is that of its symbols, over all matches of all clauses."""
+    weights = {p: 1.0 + i / 8 for i, p in enumerate(PATTERNS)}
+    scorer = Scorer(frozenset({"grub"}), weights)
+
+    def weight(text):
+        total = sum(n * w for n, w in zip(scorer.written(text), weights.values(), strict=True))
+        assert abs(scorer.weight(text) - total) < 1e-12
+        return total
+
+    one = weight("a grub")
+    # unpunctuated: each further match adds its weight, however long the clause is
+    assert weight("grub " * 400) == one + 399 * weights[ord("D")] and weight("a grub. " * 3) == 3 * one
+    assert weight("not a grub") == weights[ord("n")] and weight("you grub") == weight("a grub you are") == weights[ord("X")]
+    assert weight(None) == weight("") == weight("all is well") == 0
+
+
 @tables
 def test_toxicity(spark, awkward, nothing):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))

@@ -2,10 +2,11 @@
 
 A lexical step writes one symbol per word: insult, threat, target, negation, reporting or
 other. Composed transducers then rewrite insults and threats that are negated, reported or
-aimed at someone, and add weights, so that a clause is scored by its pattern and not by single
-words. A document's score is a logistic function of how many of its clauses match each pattern;
-the stems of the lexicon and the weights are learned from labels, with a fixed small lexicon
-and fixed weights as the starting point.
+aimed at someone, and a last one adds a weight for each symbol written, so that a clause is
+scored by its pattern and not by single words. A document's log-odds are the weights of the paths
+that its clauses take through the composed machine, added up, and a bias. The stems of the
+lexicon and the machine's weights are learned from labels, with a fixed small lexicon and fixed
+weights as the starting point.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unused
+from .common import staged, unused
 from .transducers import Transducer, after, compose, weigh
 
 #: Labelled rows that the lexicon and the weights are learned from, at most.
@@ -33,7 +34,9 @@ STEM_SUPPORT = 0.005
 STEM_PRECISION = 0.95
 #: A positive row counts towards new stems until it holds this many.
 STEMS_PER_ROW = 2
-REMEMBERED = 500_000
+#: Words, and clauses, that one task remembers; longer ones are read again each time.
+REMEMBERED = 200_000
+REMEMBERED_LETTERS, REMEMBERED_SYMBOLS = 40, 64
 
 # Starting lexicon.
 INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown dumb fool filth vermin imbecile"
@@ -45,12 +48,12 @@ REPORTS = "said says wrote quoted claimed reported alleged sagte schrieb dit dis
 PLAIN, WEAK, THREAT, TARGET, NEGATION, REPORT, OTHER = b"IJTYNRo"
 AIMED, AIMED_THREAT, NEGATED, REPORTED, REPEATED = b"XKnrD"
 ALPHABET = b"IJTYNRo"
-#: Patterns that are counted, with the weight each has before learning.
+#: Symbols that have a weight once the patterns are known, with the weight before learning.
 PATTERNS = {REPEATED: 6.0, AIMED: 5.0, PLAIN: 4.5, WEAK: 3.5, AIMED_THREAT: 4.0, THREAT: 0.5, NEGATED: 0.5, REPORTED: 0.5}
 BIAS = -3.0
 
 
-def grammar() -> Transducer:
+def grammar(weights: dict[int, float] = PATTERNS) -> Transducer:
     """Negation, reported speech, repetition, target and weights, in this order, as one machine."""
     harm = {PLAIN: NEGATED, WEAK: NEGATED, THREAT: NEGATED}
     told = {PLAIN: REPORTED, WEAK: REPORTED, THREAT: REPORTED}
@@ -59,7 +62,7 @@ def grammar() -> Transducer:
     insult = bytes([PLAIN, WEAK])
     machine = compose(machine, after(insult, None, {PLAIN: REPEATED, WEAK: REPEATED}), ALPHABET)
     machine = compose(machine, after(bytes([TARGET]), 6, aimed), ALPHABET)
-    return compose(machine, weigh(PATTERNS), ALPHABET)
+    return compose(machine, weigh(weights), ALPHABET)
 
 
 @dataclass(frozen=True)
@@ -92,54 +95,62 @@ class _Symbols(dict):
         return self.fixed.get(word, OTHER)
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
         made = bytes(b"."[0] if w in ".!?;:" else self.symbol(w) for w in _WORD.findall(chunk))
-        self[chunk] = made
+        if len(chunk) <= REMEMBERED_LETTERS:
+            if len(self) > REMEMBERED:
+                self.clear()
+            self[chunk] = made
         return made
 
 
 class Scorer:
-    """Counts of clause patterns of texts."""
+    """Weights of the paths of texts' clauses through the composed machine."""
 
-    def __init__(self, stems: frozenset[str]):
+    def __init__(self, stems: frozenset[str], weights: dict[int, float] = PATTERNS):
         self.symbols = _Symbols(stems)
-        self.machine = grammar()
-        self.seen: dict[bytes, int | None] = {}
-
-    def pattern(self, clause: bytes) -> int | None:
-        """The heaviest pattern of a clause, read in both directions so that a target may follow."""
-        best, weight = None, 0.0
-        for read in (clause, self._target_first(clause)):
-            for symbol in self.machine.run(read)[0]:
-                if symbol in PATTERNS and PATTERNS[symbol] > weight:
-                    best, weight = symbol, PATTERNS[symbol]
-            if best in (NEGATED, REPORTED):
-                break
-        return best
+        self.machine = grammar(weights)
+        self.seen: dict[bytes, tuple[bytes, float]] = {}
 
     @staticmethod
     def _target_first(clause: bytes) -> bytes:
         """A target up to two words after an insult counts as one before it."""
         return re.sub(rb"([IJT])([^YIJTNR]{0,2})Y", rb"Y\1\2", clause)
 
-    def counts(self, text: str | None) -> list[int]:
+    def path(self, clause: bytes) -> tuple[bytes, float]:
+        """What the machine writes for a clause and the weight of its path."""
+        found = self.seen.get(clause)
+        if found is None:
+            found = self.machine.run(self._target_first(clause))
+            if len(clause) <= REMEMBERED_SYMBOLS:
+                if len(self.seen) > REMEMBERED:
+                    self.seen.clear()
+                self.seen[clause] = found
+        return found
+
+    def paths(self, text: str | None) -> Iterator[tuple[bytes, float]]:
+        """The paths of all clauses that hold an insult or a threat; the others weigh nothing."""
         lines = (text or "").lower().split("\n")
         stream = b".".join(b"".join(map(self.symbols.__getitem__, line.split())) for line in lines)
-        found: Counter[int | None] = Counter()
         if any(s in stream for s in (PLAIN, WEAK, THREAT)):
             for clause in stream.split(b"."):
                 if PLAIN in clause or WEAK in clause or THREAT in clause:
-                    if clause not in self.seen:
-                        if len(self.seen) > REMEMBERED:
-                            self.seen.clear()
-                        self.seen[clause] = self.pattern(clause)
-                    found[self.seen[clause]] += 1
-        return [found[p] for p in PATTERNS]
+                    yield self.path(clause)
 
+    def weight(self, text: str | None) -> float:
+        """Weights of all paths of a text, added up."""
+        return sum(w for _, w in self.paths(text))
 
-def _signals(counts: np.ndarray) -> np.ndarray:
-    return np.log1p(np.asarray(counts, np.float64).reshape(-1, len(PATTERNS)))
+    def written(self, text: str | None) -> list[int]:
+        """How often the machine writes each symbol of ``PATTERNS``."""
+        found: Counter[int] = Counter()
+        for symbols, _ in self.paths(text):
+            found.update(symbols)
+        return [found[p] for p in PATTERNS]
+
+    def counts(self, text: str | None) -> list[int]:
+        """Clauses by the heaviest symbol of their path, to explain a score."""
+        found = Counter(max((s for s in symbols if s in PATTERNS), key=PATTERNS.__getitem__, default=None) for symbols, _ in self.paths(text))
+        return [found[p] for p in PATTERNS]
 
 
 def _stems(text: str | None) -> set[str]:
@@ -204,12 +215,15 @@ def learn_stems(rows: DataFrame) -> frozenset[str]:
 
 
 def _fit(counts: np.ndarray, labels: np.ndarray, pull: float = 1.0) -> tuple[np.ndarray, float]:
-    """Logistic weights by Newton steps, drawn to the starting weights by a quadratic penalty."""
+    """Logistic weights by Newton steps, drawn to the starting weights by a quadratic penalty.
+
+    The log-odds are linear in the symbols written, as a path's weight is.
+    """
     start = np.array([*PATTERNS.values(), BIAS])
-    x = np.hstack([_signals(counts), np.ones((len(labels), 1))])
+    x = np.hstack([counts.reshape(-1, len(PATTERNS)).astype(np.float64), np.ones((len(labels), 1))])
     w = start.copy()
     for _ in range(30):
-        p = 1 / (1 + np.exp(-x @ w))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
         gradient = x.T @ (p - labels) + pull * (w - start)
         w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w)), gradient)
     return w[:-1], float(w[-1])
@@ -219,7 +233,7 @@ def _counter(stems: frozenset[str]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(stems)
         for batch in batches:
-            counts = [scorer.counts(t) for t in batch.column(1).to_pylist()]
+            counts = [scorer.written(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.list_(pa.int64()))], ["toxic", "counts"])
 
     return count
@@ -237,6 +251,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
     picked = picked.orderBy(F.xxhash64("label_id"), "label_id").limit(fit_rows)
     # at most fit_rows ids and labels are broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("label_id"), "text").join(F.broadcast(picked), "label_id").select("toxic", "text")
+    rows = staged(rows, "toxicity-labelled")  # read three more times
     stems = learn_stems(rows)
     sample = rows.mapInArrow(_counter(stems), "toxic int, counts array<long>").toArrow()
     y = sample["toxic"].to_numpy().astype(float)
@@ -247,13 +262,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
 
 
 def _scores(model: ToxicityModel, at: int, name: str):
-    weights = np.array(model.weights)
+    weights = dict(zip(PATTERNS, model.weights, strict=True))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.stems)
+        scorer = Scorer(model.stems, weights)
         for batch in batches:
-            counts = [scorer.counts(t) for t in batch.column(at).to_pylist()]
-            p = 1 / (1 + np.exp(-(_signals(counts) @ weights + model.bias)))
+            odds = np.array([scorer.weight(t) for t in batch.column(at).to_pylist()], np.float64) + model.bias
+            p = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*batch.schema.names, name])
 
     return score
