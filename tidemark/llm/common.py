@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]"
 
 
+#: Bytes of rows that go to Python at a time in a written stage; a longer row goes alone.
+ARROW_BYTES = 2 * 1024 * 1024
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of bounded bytes while a stage is written; then the session's own setting again."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ARROW_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write the rows to the shared folder and read them back.
 
@@ -20,7 +39,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     executor sees what the first run saw.
     """
     path = stage_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
