@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import functions as F
 
 from ..models import risk
@@ -44,15 +46,32 @@ query("roc_curve", _roc_sql([]))(_roc([]))
 query("roc_by_fold", _roc_sql(BY))(_roc(BY))
 
 
-@query("roc_curve_ci")
+U = "((CAST('0x' || substr(md5('boot:' || replicate || ':' || exam_id), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE)"
+BOOT = "boot AS (SELECT *, " + " + ".join(f"CASE WHEN {U} > {s}::DOUBLE THEN 1 ELSE 0 END" for s in E.POISSON_STEPS) + " AS weight FROM scores, (SELECT unnest(range(0, 20)) AS replicate)),\n" + """
+bc AS (SELECT replicate, score, sum(CASE WHEN label = 1 THEN weight ELSE 0 END) AS pos, sum(weight) AS rows FROM boot WHERE weight > 0 GROUP BY 1, 2)"""
+
+
+ROC_SQL = with_sql(SCORES, BOOT.replace("range(0, 20)", "range(0, 10)")) + """, above AS (SELECT replicate, pos, rows - pos AS neg, sum(pos) OVER hi AS ap, sum(rows - pos) OVER hi AS an, sum(pos) OVER (PARTITION BY replicate) AS tp,
+    sum(rows - pos) OVER (PARTITION BY replicate) AS tn FROM bc WINDOW hi AS (PARTITION BY replicate ORDER BY score DESC)),
+  seg AS (SELECT replicate, (an - neg) / tn::DOUBLE AS x0, an / tn::DOUBLE AS x1, (ap - pos) / tp::DOUBLE AS y0, ap / tp::DOUBLE AS y1 FROM above WHERE tp > 0 AND tn > 0),
+  grid AS (SELECT CAST(k AS INTEGER) AS k, k / 99.0::DOUBLE AS x FROM (SELECT unnest(range(0, 100)) AS k)),
+  curve AS (SELECT replicate, k, CASE WHEN k = 0 THEN 0.0::DOUBLE ELSE max(CASE WHEN x1 > x0 THEN y0 + (x - x0) / (x1 - x0) * (y1 - y0) ELSE y1 END) END AS tpr FROM seg JOIN grid ON x BETWEEN x0 AND x1 GROUP BY replicate, k)
+  SELECT k, round(k / 99.0::DOUBLE, 6) AS fpr, round(avg(tpr), 6) AS mean_tpr, round(stddev_pop(tpr), 6) AS std_tpr, round(quantile_cont(tpr, 0.025), 6) AS lower_tpr, round(quantile_cont(tpr, 0.975), 6) AS upper_tpr FROM curve GROUP BY 1"""
+
+
+@query("roc_curve_ci", ROC_SQL)
 def roc_curve_ci(spark, d):
     out = E.roc_curve_ci(scores(spark, d), "exam_id", "score", "label", replicates=10)
     return out.select("k", *[F.round(c, 6).alias(c) for c in ("fpr", "mean_tpr", "std_tpr", "lower_tpr", "upper_tpr")])
 
 
-U = "((CAST('0x' || substr(md5('boot:' || replicate || ':' || exam_id), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE)"
-BOOT = "boot AS (SELECT *, " + " + ".join(f"CASE WHEN {U} > {s}::DOUBLE THEN 1 ELSE 0 END" for s in E.POISSON_STEPS) + " AS weight FROM scores, (SELECT unnest(range(0, 20)) AS replicate)),\n" + """
-bc AS (SELECT replicate, score, sum(CASE WHEN label = 1 THEN weight ELSE 0 END) AS pos, sum(weight) AS rows FROM boot WHERE weight > 0 GROUP BY 1, 2)"""
+@query("auroc_bootstrap", with_sql(SCORES, BOOT) + """, w AS (SELECT replicate, pos, rows - pos AS neg, coalesce(sum(rows - pos) OVER (PARTITION BY replicate ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM bc),
+  a AS (SELECT sum(pos * (below + neg / 2.0::DOUBLE)) / sum(pos) / sum(neg) AS v FROM w GROUP BY replicate HAVING sum(pos) > 0 AND sum(neg) > 0)
+  SELECT round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.025), 6) AS lower, round(quantile_cont(v, 0.975), 6) AS upper FROM a""")
+def auroc_bootstrap(spark, d):
+    """AUROC over bootstrap replicates: mean, deviation and 95 % limits."""
+    out = E.auroc_ci(scores(spark, d), "exam_id", "score", "label", replicates=20)
+    return out.select(*[F.round(c, 6).alias(c) for c in ("mean", "std", "lower", "upper")])
 
 
 def _boot_sql(direction):
@@ -145,7 +164,22 @@ def topk_table_by_fold(spark, d):
     return E.fold_metric_join(write_stage(_topk_curve(spark, d), stage_path(spark, "topk")))
 
 
-@query("beta_calibration")
+# Twelve Newton steps from zero; the 3x3 system of a step is solved by Cramer's rule.
+CALIBRATION = """
+pts AS (SELECT ln(score) AS x1, ln(1 - score) AS x2, label FROM scores WHERE split = 'validation'),
+fit(i, a, b, c) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
+  SELECT i + 1, a + (g1 * (h22 * h33 - h23 * h23) - h12 * (g2 * h33 - h23 * g3) + h13 * (g2 * h23 - h22 * g3)) / det,
+    b + (h11 * (g2 * h33 - h23 * g3) - g1 * (h12 * h33 - h23 * h13) + h13 * (h12 * g3 - g2 * h13)) / det,
+    c + (h11 * (h22 * g3 - g2 * h23) - h12 * (h12 * g3 - g2 * h13) + g1 * (h12 * h23 - h22 * h13)) / det FROM
+  (SELECT *, h11 * (h22 * h33 - h23 * h23) - h12 * (h12 * h33 - h23 * h13) + h13 * (h12 * h23 - h22 * h13) AS det FROM
+  (SELECT i, a, b, c, sum((label - q) * x1) - a AS g1, sum((label - q) * x2) - b AS g2, sum(label - q) AS g3, sum(q * (1 - q) * x1 * x1) + 1 AS h11, sum(q * (1 - q) * x1 * x2) AS h12,
+    sum(q * (1 - q) * x1) AS h13, sum(q * (1 - q) * x2 * x2) + 1 AS h22, sum(q * (1 - q) * x2) AS h23, sum(q * (1 - q)) AS h33
+    FROM (SELECT *, 1 / (1 + exp(-(a * x1 + b * x2 + c))) AS q FROM fit, pts WHERE i < 12) GROUP BY i, a, b, c)))"""
+
+
+@query("beta_calibration", with_sql(SCORES, CALIBRATION).replace("WITH ", "WITH RECURSIVE ", 1) + """SELECT split, round(avg(pow(score - label, 2)), 6) AS brier_before,
+  round(avg(pow(1 / (1 + exp(-(a * ln(score) + b * ln(1 - score) + c))) - label, 2)), 6) AS brier_after, count(*) AS n,
+  round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS intercept FROM scores, fit WHERE i = 12 GROUP BY split, a, b, c""")
 def beta_calibration(spark, d):
     rows = write_stage(scores(spark, d), stage_path(spark, "scores"))
     model = risk.beta_calibration(rows.where(F.col("split") == "validation"), "score", "label")
@@ -153,6 +187,7 @@ def beta_calibration(spark, d):
     return out.groupBy("split").agg(
         F.round(F.avg((F.col("score") - F.col("label")) ** 2), 6).alias("brier_before"),
         F.round(F.avg((F.col("pred_calibrated") - F.col("label")) ** 2), 6).alias("brier_after"), F.count(F.lit(1)).alias("n"),
+        *[F.round(F.lit(v), 6).alias(k) for k, v in asdict(model).items()],
     )
 
 

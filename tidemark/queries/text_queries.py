@@ -147,7 +147,10 @@ def topic_evidence(spark, d):
     return scored.select("report_id", T.topic_evidence(F.col("text"), F.col("on_topic")).alias("evidence"))
 
 
-@query("keyword_flag", with_sql(REPORTS) + "SELECT report_id, coalesce(regexp_matches(text, '(?i)\\b(mama(s)?|mam[áa]ria(s)?|mam[áa]rio(s)?)\\b'), false) AS flag FROM reports")
+KEYWORD_SQL = "regexp_matches(text, '(?i)\\b(mama(s)?|mam[áa]ria(s)?|mam[áa]rio(s)?)\\b')"
+
+
+@query("keyword_flag", with_sql(REPORTS) + f"SELECT report_id, coalesce({KEYWORD_SQL}, false) AS flag FROM reports")
 def keyword_flag(spark, d):
     return reports(spark, d).select("report_id", T.keyword_flag(F.col("text")).alias("flag"))
 
@@ -183,13 +186,18 @@ def surgical_terms(spark, d):
     return reports(spark, d).select("report_id", (F.size(terms) > 0).alias("has_term"), F.array_join(terms, "|").alias("terms"))
 
 
-@query("strip_signature_blocks", with_sql(REPORTS) + r"""SELECT report_id, md5(regexp_replace(text, '(?im)^[^\n]*\n\s*CRM(?:\s*[/\-]?\s*(?:AC|AL|AP|AM|BA|CE|DF|ES|GO|MA|MT|MS|MG|PA|PB|PR|PE|PI|RJ|RN|RS|RO|RR|SC|SP|SE|TO))?\s*\n\s*(?:\d+|(?:AC|AL|AP|AM|BA|CE|DF|ES|GO|MA|MT|MS|MG|PA|PB|PR|PE|PI|RJ|RN|RS|RO|RR|SC|SP|SE|TO)(?:\s*[/\-]?\s*\d+)?)\s*\n?', '', 'g')) AS clean
-  FROM reports WHERE text IS NOT NULL""")
+SIGNATURE_SQL = r"""'(?im)^[^\n]*\n\s*CRM(?:\s*[/\-]?\s*(?:AC|AL|AP|AM|BA|CE|DF|ES|GO|MA|MT|MS|MG|PA|PB|PR|PE|PI|RJ|RN|RS|RO|RR|SC|SP|SE|TO))?\s*\n\s*(?:\d+|(?:AC|AL|AP|AM|BA|CE|DF|ES|GO|MA|MT|MS|MG|PA|PB|PR|PE|PI|RJ|RN|RS|RO|RR|SC|SP|SE|TO)(?:\s*[/\-]?\s*\d+)?)\s*\n?'"""
+
+
+@query("strip_signature_blocks", with_sql(REPORTS) + f"SELECT report_id, md5(regexp_replace(text, {SIGNATURE_SQL}, '', 'g')) AS clean FROM reports WHERE text IS NOT NULL")
 def strip_signature_blocks(spark, d):
     return _with_text(spark, d).select("report_id", F.md5(X.strip_signature_blocks(F.col("text"))).alias("clean"))
 
 
-@query("strip_prefixed_lines", with_sql(REPORTS) + r"SELECT report_id, md5(regexp_replace(text, '(?im)^[ \t]*cassete\b.*\n?', '', 'g')) AS clean FROM reports WHERE text IS NOT NULL")
+PREFIXED_SQL = r"'(?im)^[ \t]*cassete\b.*\n?'"
+
+
+@query("strip_prefixed_lines", with_sql(REPORTS) + f"SELECT report_id, md5(regexp_replace(text, {PREFIXED_SQL}, '', 'g')) AS clean FROM reports WHERE text IS NOT NULL")
 def strip_prefixed_lines(spark, d):
     return _with_text(spark, d).select("report_id", F.md5(X.strip_prefixed_lines(F.col("text"))).alias("clean"))
 
@@ -205,12 +213,12 @@ def outcome_label(spark, d):
     return docs.join(labels, "doc_id", "left").select("doc_id", T.outcome_code(content).alias("code"))
 
 
-def _words_or(words):
+def words_or(words):
     return "\\b(" + "|".join("[\\s-]+".join(w.split()) for w in words) + ")\\b"
 
 
-@query("report_outcome_rules", with_sql(REPORTS) + f"""SELECT report_id, CASE WHEN regexp_matches(p, '{_words_or(T.MALIGNANT_WORDS)}') THEN 'maligno'
-  WHEN regexp_matches(p, '{_words_or(T.BENIGN_WORDS)}') THEN 'benigno' ELSE 'indeterminado' END AS content FROM
+@query("report_outcome_rules", with_sql(REPORTS) + f"""SELECT report_id, CASE WHEN regexp_matches(p, '{words_or(T.MALIGNANT_WORDS)}') THEN 'maligno'
+  WHEN regexp_matches(p, '{words_or(T.BENIGN_WORDS)}') THEN 'benigno' ELSE 'indeterminado' END AS content FROM
   (SELECT report_id, regexp_replace(lower(strip_accents(text)), '[^\\x00-\\x7F]', '', 'g') AS p FROM reports WHERE text IS NOT NULL
   AND report_id NOT IN (SELECT doc_id FROM labels))""")
 def report_outcome_rules(spark, d):
