@@ -17,7 +17,7 @@ from ..operators.ordering import quantiles, score_rank
 from ..plans import masters as M
 from ..plans.report_coding import confirmation_reports, report_outcomes
 from ..session import stage_path
-from ..sources import readers, validation, writers
+from ..sources import readers, validation, vector_store, writers
 from ..streaming.ingest import ingest_available
 from .cohort_queries import KEPT
 from .grounding import (
@@ -153,9 +153,20 @@ def vector_store_sink(spark, d):
 @query("vector_store_lookup", "SELECT c_custkey AS vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM customer LEFT JOIN embeddings ON vec_id = c_custkey")
 def vector_store_lookup(spark, d):
     path = stage_path(spark, "vectors")
-    writers.write_vectors(table(spark, d, "embeddings"), path, "vec_id", "embedding")
+    vector_store.append_vectors(table(spark, d, "embeddings"), path, "vec_id", "embedding", 1)
     ids = table(spark, d, "customer").select(F.col("c_custkey").alias("vec_id"))
-    return writers.lookup_vectors(spark, ids, path, "vec_id").select("vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+    return vector_store.lookup_vectors(ids, path, "vec_id", "embedding").select("vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+
+
+@query("vector_store_append", """SELECT vec_id, len(embedding) AS dim, round(CAST(embedding[1] AS DOUBLE) * CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END, 6) AS first FROM embeddings""")
+def vector_store_append(spark, d):
+    """Two batches of one store: the second replaces a third of the vectors."""
+    path, rows = stage_path(spark, "vectors"), table(spark, d, "embeddings").select("vec_id", "embedding")
+    vector_store.append_vectors(rows, path, "vec_id", "embedding", 1)
+    newer = rows.where(F.col("vec_id") % 3 == 0).withColumn("embedding", F.transform("embedding", lambda x: x * 2))
+    vector_store.append_vectors(newer, path, "vec_id", "embedding", 2)
+    latest = vector_store.all_vectors(spark, path, "vec_id", "embedding")
+    return latest.select("vec_id", F.size("embedding").cast("bigint").alias("dim"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
 
 
 # ------------------------------------------------------------------ logs
