@@ -81,6 +81,14 @@ def test_positions_and_pages_do_not_depend_on_partitioning(spark):
             assert flat == keys
 
 
+def test_rows_of_one_key_are_ordered_by_their_values(spark):
+    day = dt.date(2000, 1, 1)
+    for results in ([1, 0, None], [None, 1, 0], [0, None, 1]):
+        df = spark.createDataFrame([(e, "1-2", day, r) for e in range(8) for r in results], "e int, k string, ts date, result int")
+        pages = H.history_pages(df.coalesce(1), "e", "ts", "k", ["result"]).collect()
+        assert [[ev.result for ev in p.events] for p in pages] == [[0, 1, None]] * 8
+
+
 def test_truncation_and_same_day_peers(spark):
     d = dt.date
     rows = [

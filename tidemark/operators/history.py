@@ -23,9 +23,9 @@ def history_pages(
     """Ordered history as arrays of at most ``page_rows`` structs (entity, page, events).
 
     An entity with a usual history has one page; a very long one has many, so no array
-    and no task grows with the longest history.
+    and no task grows with the longest history. Rows that share (ts, key) are ordered by the values.
     """
-    placed = history_position(rows.select(entity, ts, key, *values), entity, ts, key)
+    placed = history_position(rows.select(entity, ts, key, *values), entity, ts, key, ties=values)
     page = F.floor((F.col("position") - 1) / page_rows).cast("int")
     event = F.struct("position", ts, key, *values)
     return (
