@@ -31,3 +31,18 @@ def test_classifier_vocabulary(spark, monkeypatch):
     coded = texts.unionByName(texts.withColumn("report_id", F.col("report_id") + 2))
     model, _ = model_queries._fitted(spark, coded)
     assert len(model.stages[2].vocabulary) == 1500 and asked == [{"max_features": None}]
+
+
+def test_classifier_steps_over_few_blocks(spark, monkeypatch):
+    words = ["nodulo", "mama", "direita", "esquerda", "benigno", "cisto", "calcificacao", "normal"]
+    rows = [(i, " ".join(words[(i * k + k * k) % (3 + 5 * (i % 2))] for k in range(1, 6)), float(i % 2)) for i in range(60)]
+    coded = spark.createDataFrame(rows, "report_id long, text string, code double").repartition(16)
+    seen, fit = [], risk.LogisticRegression.fit
+    monkeypatch.setattr(risk.LogisticRegression, "fit", lambda self, df, *a: (seen.append((df.rdd.getNumPartitions(), self.getMaxBlockSizeInMB(), df.columns)), fit(self, df, *a))[1])
+    model, split = model_queries._fitted(spark, coded)
+    assert seen == [(1, risk.STEP_BLOCK_MB, ["features", "code", "class_weight"])]
+    train = risk.balance_weights(split.where("not holdout"), "code")
+    plain = risk.text_pipeline("text", "code", model_queries.STOP_WORDS).fit(train)
+    assert [type(s) for s in model.stages] == [type(s) for s in plain.stages]
+    by_id = [{r.report_id: r.probability[1] for r in m.transform(split).collect()} for m in (model, plain)]
+    assert by_id[0].keys() == by_id[1].keys() and all(abs(by_id[0][k] - by_id[1][k]) < 1e-3 for k in by_id[0])
