@@ -4,6 +4,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from tidemark.models import risk
+from tidemark.operators import vectors as V
 from tidemark.queries import catalog, model_queries
 
 
@@ -46,3 +47,16 @@ def test_classifier_steps_over_few_blocks(spark, monkeypatch):
     assert [type(s) for s in model.stages] == [type(s) for s in plain.stages]
     by_id = [{r.report_id: r.probability[1] for r in m.transform(split).collect()} for m in (model, plain)]
     assert by_id[0].keys() == by_id[1].keys() and all(abs(by_id[0][k] - by_id[1][k]) < 1e-3 for k in by_id[0])
+
+
+def test_terms_are_not_shuffled_by_document(spark):
+    docs = spark.createDataFrame([(i % 9, f"nodulo mama w{i % 4}") for i in range(40)] + [(None, "nodulo mama")], "doc_id long, text string")
+    counts = V.term_counts(docs, "doc_id", "text", [])
+    vocabulary = V.fit_tfidf(counts, F.lit(41), min_df=1)
+    weights = V.apply_tfidf(counts, vocabulary.limit(3), "doc_id")
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(doc_id" in line]
+    assert exchanges and not any("term" in line for line in exchanges)
+    assert all("REPARTITION_BY_COL" in line for line in exchanges)  # texts only
+    norms = weights.groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).collect()
+    assert len(norms) == 10 and all(abs(r.s - 1) < 1e-9 for r in norms)

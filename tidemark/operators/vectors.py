@@ -36,8 +36,13 @@ def terms(text: Column, stop_words: Sequence[str], ngrams: tuple[int, int] = (1,
 
 
 def term_counts(docs: DataFrame, doc_id: str, text: str, stop_words: Sequence[str], ngrams: tuple[int, int] = (1, 1)) -> DataFrame:
-    """(doc, term, tf)."""
-    exploded = docs.select(doc_id, F.explode(terms(F.col(text), stop_words, ngrams)).alias("term"))
+    """(doc, term, tf).
+
+    The texts are shuffled by document before they become terms, so that neither these counts nor
+    sums per document shuffle terms, and two uses of the counts share that shuffle.
+    """
+    placed = docs.select(doc_id, text).repartition(doc_id)
+    exploded = placed.select(doc_id, F.explode(terms(F.col(text), stop_words, ngrams)).alias("term"))
     return exploded.groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -59,8 +64,8 @@ def apply_tfidf(counts: DataFrame, vocabulary: DataFrame, doc_id: str, *, sublin
     """
     tf = (F.log(F.col("tf")) + 1) if sublinear else F.col("tf").cast("double")
     raw = counts.join(vocabulary.select("term", "idf"), "term").select(doc_id, "term", (tf * F.col("idf")).alias("w"))
-    norm = raw.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return raw.join(norm, doc_id).select(doc_id, "term", (F.col("w") / F.col("_norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc_id)))
+    return raw.select(doc_id, "term", (F.col("w") / norm).alias("weight"))
 
 
 def hashed_vectors(docs: DataFrame, doc_id: str, text: str, stop_words: Sequence[str], dim: int = 64) -> DataFrame:
