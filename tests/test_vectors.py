@@ -82,3 +82,14 @@ def test_tfidf(spark):
 def test_ngrams(spark):
     df = spark.createDataFrame([("um dois tres",)], "t string")
     assert df.select(V.terms(F.col("t"), [], (1, 3))).first()[0] == ["um", "dois", "tres", "um dois", "dois tres", "um dois tres"]
+
+
+def test_history_vectors_move_rows_twice(spark):
+    rows = [(e, dt.date(1980, 1, 1) + dt.timedelta(days=900 * k), [float(k), 1.0]) for e in range(3) for k in range(16)]
+    df = spark.createDataFrame(rows, "e int, ts date, v array<float>")
+    out = V.history_vectors(df, df, "e", "ts", "v", how="exponential", lam=0.0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # by day as stored, then by entity; an entity's blocks are added up where they are
+    assert plan.count("REPARTITION_BY_COL") == 2
+    got = {(r.e, r.ts): r.v for r in out.collect()}
+    assert len(got) == 48 and all(abs(got[e, ts][0] - v[0] / 2) < 1e-9 for e, ts, v in rows)

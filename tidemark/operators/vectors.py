@@ -132,6 +132,9 @@ def _sum_runs(keys: Sequence[str], extras: Sequence[str], vector: str):
             if batch.num_rows == 0:
                 continue
             table = pa.Table.from_batches([batch])
+            # vectors are moved as they are stored, and added up as doubles
+            at = table.schema.get_field_index(vector)
+            table = table.set_column(at, vector, table[vector].cast(pa.list_(pa.float64())))
             if carry is not None:
                 table = pa.concat_tables([carry.cast(table.schema), table])
             summed = reduce_runs(table)
@@ -144,9 +147,15 @@ def _sum_runs(keys: Sequence[str], extras: Sequence[str], vector: str):
 
 
 def sum_vectors(rows: DataFrame, keys: Sequence[str], extras: Sequence[str], vector: str) -> DataFrame:
-    """Element-wise sum of equally long arrays, and of ``extras``, per key."""
-    picked = rows.select(*keys, *extras, vector)
-    return picked.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_sum_runs(keys, extras, vector), picked.schema)
+    """Element-wise sum (of doubles) of equally long arrays, and of ``extras``, per key."""
+    return _sum_placed(rows.select(*keys, *extras, vector).repartition(*keys), keys, extras, vector)
+
+
+def _sum_placed(rows: DataFrame, keys: Sequence[str], extras: Sequence[str], vector: str) -> DataFrame:
+    """``sum_vectors`` of rows whose equal keys are in one partition already."""
+    wide = T.ArrayType(T.DoubleType())
+    schema = T.StructType([T.StructField(f.name, wide if f.name == vector else f.dataType) for f in rows.schema])
+    return rows.sortWithinPartitions(*keys).mapInArrow(_sum_runs(keys, extras, vector), schema)
 
 
 def _tile_sums(keys: Sequence[str], entity: str, how: str, lam: float):
@@ -229,12 +238,14 @@ def history_vectors(
     plain mean gets the mean days before the index appended.  ``months`` limits the look-back
     (0 = the index date only).  Vectors are first summed per (entity, day), which spreads a
     busy entity over its days.  Index days then meet past days in calendar blocks of about
-    eleven years, inside matrix products: a block holds at most one row per day, so no task
-    grows with the length of a history, and no (index, past) pair becomes a row.
+    eleven years, inside matrix products: a block holds at most one row per day, so a task holds
+    a bounded block at a time, and no (index, past) pair becomes a row.  An entity's blocks, at most
+    one row per calendar day in all, lie in one partition, so that their sums need no shuffle.
     """
     day = F.col(ts).cast("date")
+    kept = F.col(vector) if vectors.schema[vector].dataType.simpleString() == "array<float>" else F.col(vector).cast("array<double>")
     raw = vectors.where(F.col(vector).isNotNull()).select(
-        entity, day.alias("day"), F.lit(1).cast("bigint").alias("n"), F.col(vector).cast("array<double>").alias("v")
+        entity, day.alias("day"), F.lit(1).cast("bigint").alias("n"), kept.alias("v")
     )
     daily = sum_vectors(raw, [entity, "day"], ["n"], "v")
     block = F.floor(F.unix_date("day") / BLOCK_DAYS).cast("int")
@@ -262,8 +273,8 @@ def history_vectors(
         T.StructField(entity, index.schema[entity].dataType), T.StructField("d", T.IntegerType()),
         T.StructField("w", T.DoubleType()), T.StructField("days", T.DoubleType()), T.StructField("v", T.ArrayType(T.DoubleType())),
     ])
-    parts = rows.repartition(*keys).sortWithinPartitions(*keys, "kind", "d").mapInArrow(_tile_sums(keys, entity, how, lam), schema)
-    summed = sum_vectors(parts, [entity, "d"], ["w", "days"], "v")
+    parts = rows.repartition(entity).sortWithinPartitions(*keys, "kind", "d").mapInArrow(_tile_sums(keys, entity, how, lam), schema)
+    summed = _sum_placed(parts, [entity, "d"], ["w", "days"], "v")
     mean = F.transform("v", lambda x: F.when(F.col("w") > 0, x / F.col("w")).otherwise(0.0))
     if how == "mean":
         mean = F.concat(mean, F.array(F.col("days") / F.col("w")))

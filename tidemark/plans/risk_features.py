@@ -44,7 +44,9 @@ def risk_features(
     split = P.stratified_entity_split(rows, "entity_id", "label")
     fold = P.stratified_kfold(split, "entity_id", "label", folds=folds).select("entity_id", "fold")
     side = split.select("entity_id", "split").join(fold, "entity_id", "left").withColumn("fold", F.coalesce("fold", F.lit(-1)))
-    return known.join(past, ["entity_id", "ts"], "left").join(side, "entity_id")
+    # the wide vectors are joined last, so that they move once
+    out = known.join(side, "entity_id").join(past, ["entity_id", "ts"], "left")
+    return out.select(*known.columns, "history", "split", "fold")
 
 
 def model_rows(table: DataFrame, dims: int, structured: Sequence[str] = STRUCTURED) -> DataFrame:
