@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.models import risk
 from tidemark.operators import evaluation as E
 from tidemark.operators.features import min_max, moments, standardise_features, zscore
-from tidemark.operators.relational import first_row, unique_ids_only
+from tidemark.operators.relational import first_row, split_single_multi, unique_ids_only
 from tidemark.operators.splits import oversample_positive
 from tidemark.plans.eligible_cohort import CohortRules, _steps
 
@@ -67,3 +67,11 @@ def test_out_of_fold_never_scores_its_training_rows(spark):
     assert out.count() == 30 and out.select("id").distinct().count() == 30
     tried, scored = risk.search_trials(df.where("fold <> 0"), df.where("fold = 0"), "id", trials=2)
     assert len(tried) == 2 and scored.groupBy("trial").count().where("count = 10").count() == 2
+
+
+def test_single_and_multiple_keys_are_told_apart_without_a_join(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "c"), (None, "d")], "k int, v string")
+    single, multi = split_single_multi(df, "k")
+    assert [tuple(r) for r in single.collect()] == [(1, "a")]
+    assert sorted(r.v for r in multi.collect()) == ["b", "b", "c", "d"]
+    assert "Join" not in multi._jdf.queryExecution().executedPlan().toString()

@@ -34,8 +34,11 @@ def last_value(df: DataFrame, key: str, value: str, load_order: str) -> DataFram
 
 
 def with_key_count(df: DataFrame, key: str, name: str = "key_rows") -> DataFrame:
-    """Attach how often each key occurs (for single / multiple splits)."""
-    return df.join(df.groupBy(key).agg(F.count(F.lit(1)).alias(name)), key, "left")
+    """Attach how often each key occurs (for single / multiple splits); rows without a key are one key.
+
+    Rows are moved and sorted once and joined with nothing; a key's rows beyond Spark's window buffer spill.
+    """
+    return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(key)))
 
 
 def split_single_multi(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
