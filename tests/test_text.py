@@ -151,3 +151,17 @@ def test_birthdates_and_scores(spark):
     pairs = spark.createDataFrame([(0.9, 1.0), (0.9, 0.0), (0.5, 0.6), (1.0, 1.0)], "n double, d double")
     got = [round(r[0], 6) for r in pairs.select(N.pair_score(F.col("n"), F.col("d"))).collect()]
     assert got == [1.0, 0.765, 0.53, 1.0]
+
+
+def test_composed_texts_stay_in_the_jvm(spark):
+    import re
+    import unicodedata
+
+    safe = [c for c in map(chr, range(0x3000)) if re.match(f"[{X.COMPOSED}]", c)]
+    assert all(unicodedata.normalize("NFC", c) == c and not unicodedata.combining(c) for c in safe)
+    assert unicodedata.normalize("NFC", "".join(a + b for a in "aeE\u00e9" for b in safe)) == "".join(a + b for a in "aeE\u00e9" for b in safe)
+    texts = ["nódulo \u2019 20 €", "no\u0301dulo", "\u1100\u1161", "\u212b", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    out = df.select("i", X.nfc(F.col("t")).alias("n"))
+    assert [r.n for r in out.orderBy("i").collect()] == [t if t is None else unicodedata.normalize("NFC", t) for t in texts]
+    assert "CASE WHEN" in out._jdf.queryExecution().optimizedPlan().toString()
