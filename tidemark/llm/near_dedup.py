@@ -10,7 +10,9 @@ threshold at most once in ten thousand cases.
 Documents with equal sets are one node. In a table's bucket every node is checked against the
 bucket's smallest node, first one candidate per node, then those that are still in different
 components. Buckets of three or more nodes that still hold several components are searched
-for further candidates in blocks, by a sketch of their sets. Every link is confirmed on full sets.
+for further candidates in blocks, by a sketch of their sets. The tables that share a key of the
+first collection are searched as one where that compares no more pairs, so a large group is
+laid out once for each of ``m`` keys, not for each of ``m * m`` tables. Every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -145,9 +147,10 @@ def possibly_similar(one: np.ndarray, others: np.ndarray, n_one: int, n_others:
 
 
 def _agreeing(percent: int, m: int):
-    """Grouped Arrow map over one block pair of a bucket: likely pairs across components.
+    """Grouped Arrow map over one block pair of a cell: likely pairs across components.
 
-    A pair that meets in several buckets is named in the first of them only.
+    A cell is a bucket, or all nodes of the buckets that share a key of the first collection (its
+    ``at_b`` is null). A pair that meets in several cells is named in the first of them only.
     """
 
     def find(table: pa.Table) -> pa.Table:
@@ -162,7 +165,8 @@ def _agreeing(percent: int, m: int):
             near = right[(comp[right] != comp[r]) & ((node[right] > node[r]) if i == j else True)]
             near = near[possibly_similar(sketch[r], sketch[near], sizes[r], sizes[near], percent)]
             shared = keys[near] == keys[r]
-            hit = near[~shared[:, :first_a].any(axis=1) & ~shared[:, m : m + first_b].any(axis=1)]
+            apart = shared[:, m:].any(axis=1) if first_b is None else ~shared[:, m : m + first_b].any(axis=1)
+            hit = near[~shared[:, :first_a].any(axis=1) & apart]
             xs.append(np.full(len(hit), node[r]))
             ys.append(node[hit])
         x, y = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (xs, ys))
@@ -194,6 +198,29 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
 
 
+def _cells(named: DataFrame, once: DataFrame) -> DataFrame:
+    """The nodes to compare: bucket, at, node, comp and n, the cell's number of nodes.
+
+    Mixed buckets that share their ``half`` become one cell where its pairs are no more than theirs
+    together; ``at`` then has no second place. The others are cells of their own.
+    """
+    # a node once for each half, with the mixed buckets that hold it there
+    by_half = staged(
+        named.join(once.select("bucket", "n", F.col("at").alias("first")), "bucket").groupBy("half", "node").agg(
+            F.min("comp").alias("comp"), F.min("at.a").alias("a"), F.collect_list(F.struct("bucket", "n", "first")).alias("held")
+        ), "mixed-halves",
+    )
+    size = by_half.groupBy(F.col("half").alias("h")).agg(F.count("*").alias("all"))
+    pairs = once.groupBy("h").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
+    merged = size.join(pairs, "h").where(F.col("all").cast("double") * F.col("all") <= F.col("pairs")).select("h", "all")
+    none = F.lit(None).cast("int")
+    whole = by_half.join(merged, by_half["half"] == merged["h"]).select(
+        F.col("half").alias("bucket"), F.struct("a", none.alias("b")).alias("at"), "node", "comp", F.col("all").alias("n"),
+    )
+    alone = by_half.join(merged, by_half["half"] == merged["h"], "left_anti").select("node", "comp", F.inline("held"))
+    return whole.unionByName(alone.select("bucket", F.col("first").alias("at"), "node", "comp", "n"))
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Near-duplicate classes: doc_id, n_shingles, component_id and kept, one row per row.
 
@@ -221,7 +248,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, doc_i
     )
     halves = staged(halves.where("size(a) > 0 AND size(b) > 0"), "halves")
     tables = halves.select("node", F.explode("a").alias("a"), "b").select("node", "a", F.explode("b").alias("b"))
-    tables = tables.select("node", F.xxhash64("a.key", "b.key").alias("bucket"), F.struct(F.col("a.pos").alias("a"), F.col("b.pos").alias("b")).alias("at"))
+    tables = tables.select("node", F.xxhash64("a.key", "b.key").alias("bucket"), F.col("a.key").alias("half"), F.struct(F.col("a.pos").alias("a"), F.col("b.pos").alias("b")).alias("at"))
     pivots = tables.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("bucket", "pivot")
     stars = staged(
         tables.join(pivots, "bucket").where("node <> pivot").groupBy(F.col("node").alias("x"), F.col("pivot").alias("y")).agg(F.count("*").alias("n")),
@@ -248,15 +275,19 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, doc_i
         comps = components(links)
 
     # buckets that still hold several components: pairs that do not include the pivot
-    named = tables.join(comps, "node", "left").select("bucket", "at", "node", F.coalesce("comp", "node").alias("comp"))
+    named = tables.join(comps, "node", "left").select("bucket", "half", "at", "node", F.coalesce("comp", "node").alias("comp"))
     held = named.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.min("at").alias("at"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"),
+        F.count("*").alias("n"), F.min("at").alias("at"), F.min("half").alias("half"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"),
     ).where("n > 2 AND lo <> hi")
     # of buckets with the same nodes, the first
-    once = staged(held.groupBy("n", "members").agg(F.min(F.struct("at", "bucket")).alias("b")).select("n", "b.at", "b.bucket"), "mixed-buckets")
+    once = staged(
+        held.groupBy("n", "members").agg(F.min(F.struct("at", "bucket", "half")).alias("b")).select("n", "b.at", "b.bucket", F.col("b.half").alias("h")), "mixed-buckets",
+    )
     if not once.isEmpty():
+        cells = _cells(named, once)
         n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        placed = named.drop("at").join(once.select("bucket", "at", n_blocks.alias("nb")), "bucket").join(nodes, "node")
+        placed = cells.withColumn("nb", n_blocks).join(nodes, "node")
         placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
         placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         placed = placed.select("bucket", F.col("at.a").alias("at_a"), F.col("at.b").alias("at_b"), "node", "comp", "keys", "sketch", "n_shingles", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
