@@ -7,10 +7,11 @@ that would take ``2 * m * m * ROWS``. A pair of similarity s meets in some table
 probability ``(1 - (1 - s**ROWS)**m)**2``; ``m`` is chosen so that it is missed at the
 threshold at most once in ten thousand cases.
 
-Documents with equal sets are one node. In a table's bucket every node is checked against the
-bucket's smallest node, first one candidate per node, then those that are still in different
-components. Buckets of three or more nodes that still hold several components are searched
-for further candidates in blocks, by a sketch of their sets. The tables that share a key of the
+Documents with equal sets are one node. First every node is checked against one other: of the
+smallest nodes of its single keys, the one that it meets in most tables. Only keys that nodes of
+several components share are then paired into tables, so a group that the first check has joined
+is laid out by its keys alone. Buckets that hold several components are searched in blocks,
+by a sketch of their sets. The tables that share a key of the
 first collection are searched as one where that compares no more pairs, so a large group is
 laid out once for each of ``m`` keys, not for each of ``m * m`` tables. Every link is confirmed on full sets.
 """
@@ -175,6 +176,10 @@ def _agreeing(percent: int, m: int):
     return find
 
 
+def _mark(edges: DataFrame):
+    return edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links x, y: node, comp (smallest node), by star contraction.
 
@@ -183,19 +188,59 @@ def components(links: DataFrame) -> DataFrame:
     a skewed join key, which adaptive execution splits.
     """
     edges = staged(links.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "links")
-    mark = None
+    mark = _mark(edges)
     while True:
         both = edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y"))
         low = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(low, "x")
         hung = small.where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
         edges = staged(hung.union(low.select("x", F.col("m").alias("y"))).where("x <> y").distinct(), "stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
-        if now == mark:
+        before, mark = mark, _mark(edges)
+        if before == mark:
             return edges.select(F.col("x").alias("node"), F.col("y").alias("comp"))
-        mark = now
+
+
+def _rooted(links: DataFrame) -> DataFrame:
+    """Components of links that lead from every node x to one smaller node y at most: node, comp.
+
+    Every round replaces y by where y leads, so a chain is half as long after it.
+    """
+    edges = links.select(F.col("x").alias("node"), F.col("y").alias("comp"))
+    while True:
+        ahead = edges.select(F.col("node").alias("at"), F.col("comp").alias("next"))
+        edges = staged(
+            edges.join(ahead, F.col("comp") == F.col("at"), "left").select("node", F.coalesce("next", "comp").alias("comp"), F.col("next").isNotNull().alias("moved")),
+            "roots",
+        )
+        moved, edges = edges.where("moved"), edges.select("node", "comp")
+        if moved.isEmpty():
+            return edges
+
+
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links; only the components that these join are contracted."""
+    x = comps.select(F.col("node").alias("x"), F.col("comp").alias("cx"))
+    y = comps.select(F.col("node").alias("y"), F.col("comp").alias("cy"))
+    between = links.join(x, "x", "left").join(y, "y", "left").select(F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y"))
+    more = components(between)
+    over = more.select(F.col("node").alias("old"), F.col("comp").alias("new"))
+    # the smallest node of a component has no row in comps
+    return comps.join(over, F.col("comp") == F.col("old"), "left").select("node", F.coalesce("new", "comp").alias("comp")).union(more)
+
+
+def _in_comps(rows: DataFrame, comps: DataFrame, of: str) -> DataFrame:
+    """Rows with the component of their column ``of`` in ``comp``."""
+    c = comps.select(F.col("node").alias("_node"), F.col("comp").alias("_comp"))
+    return rows.join(c, F.col(of) == F.col("_node"), "left").withColumn("comp", F.coalesce("_comp", of)).drop("_node", "_comp")
+
+
+def _first_links(m: int):
+    """Of the nodes ``pivot`` in the list ``held``, the one met in most tables (the smallest of equals): a struct of n and minus."""
+    met = lambda p, low: F.size(F.filter("held", lambda h: (h["pivot"] == p) & ((h["pos"] < m) if low else (h["pos"] >= m))))
+    others = F.array_except(F.array_distinct("held.pivot"), F.array("node"))
+    return F.array_max(F.transform(others, lambda p: F.struct((met(p, True) * met(p, False)).alias("n"), (-p).alias("minus"))))
 
 
 def _cells(named: DataFrame, once: DataFrame) -> DataFrame:
@@ -204,11 +249,10 @@ def _cells(named: DataFrame, once: DataFrame) -> DataFrame:
     Mixed buckets that share their ``half`` become one cell where its pairs are no more than theirs
     together; ``at`` then has no second place. The others are cells of their own.
     """
-    # a node once for each half, with the mixed buckets that hold it there
+    # a node once for each half that has mixed buckets; a table row meets its bucket only where the half stays apart
     by_half = staged(
-        named.join(once.select("bucket", "n", F.col("at").alias("first")), "bucket").groupBy("half", "node").agg(
-            F.min("comp").alias("comp"), F.min("at.a").alias("a"), F.collect_list(F.struct("bucket", "n", "first")).alias("held")
-        ), "mixed-halves",
+        named.join(once.select("h").distinct(), F.col("half") == F.col("h"), "left_semi").groupBy("half", "node").agg(F.min("comp").alias("comp"), F.min("at.a").alias("a")),
+        "mixed-halves",
     )
     size = by_half.groupBy(F.col("half").alias("h")).agg(F.count("*").alias("all"))
     pairs = once.groupBy("h").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
@@ -217,7 +261,8 @@ def _cells(named: DataFrame, once: DataFrame) -> DataFrame:
     whole = by_half.join(merged, by_half["half"] == merged["h"]).select(
         F.col("half").alias("bucket"), F.struct("a", none.alias("b")).alias("at"), "node", "comp", F.col("all").alias("n"),
     )
-    alone = by_half.join(merged, by_half["half"] == merged["h"], "left_anti").select("node", "comp", F.inline("held"))
+    others = once.join(merged.select("h"), "h", "left_anti").select("bucket", F.col("at").alias("first"), "n")
+    alone = named.join(merged.select("h"), F.col("half") == F.col("h"), "left_anti").join(others, "bucket")
     return whole.unionByName(alone.select("bucket", F.col("first").alias("at"), "node", "comp", "n"))
 
 
@@ -235,28 +280,25 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, doc_i
         rows.mapInArrow(_signer(words, m), "doc_id long, n_shingles long, set_id string, keys array<long>, sketch binary"), "minhash",
     )
     with_set = signed.where("doc_id IS NOT NULL AND set_id IS NOT NULL")
-    heads = staged(with_set.groupBy("set_id").agg(F.min("doc_id").alias("node")), "sets")
-    nodes = with_set.join(heads.withColumnRenamed("set_id", "s"), (F.col("set_id") == F.col("s")) & (F.col("doc_id") == F.col("node")))
-    nodes = nodes.select("node", "keys", "sketch", "n_shingles")
+    heads = with_set.groupBy("set_id").agg(F.min("doc_id").alias("node")).withColumnRenamed("set_id", "s")
+    head = F.col("doc_id") == F.col("node")
+    sets = staged(
+        signed.join(heads, F.col("set_id") == F.col("s"), "left").select(
+            "doc_id", "n_shingles", F.col("set_id").isNull().alias("empty"), "node", F.when(head, F.col("keys")).alias("keys"), F.when(head, F.col("sketch")).alias("sketch"),
+        ), "sets",
+    )
+    nodes = sets.where("doc_id = node").select("node", "keys", "sketch", "n_shingles")
 
     # keys of a collection that no other node has cannot be half of a shared table key
     single = nodes.select("node", F.posexplode("keys").alias("pos", "key"))
-    shared = single.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    halves = single.join(shared, "key").groupBy("node").agg(
-        F.collect_list(F.when(F.col("pos") < m, F.struct("pos", "key"))).alias("a"),
-        F.collect_list(F.when(F.col("pos") >= m, F.struct((F.col("pos") - m).alias("pos"), "key"))).alias("b"),
-    )
-    halves = staged(halves.where("size(a) > 0 AND size(b) > 0"), "halves")
-    tables = halves.select("node", F.explode("a").alias("a"), "b").select("node", "a", F.explode("b").alias("b"))
-    tables = tables.select("node", F.xxhash64("a.key", "b.key").alias("bucket"), F.col("a.key").alias("half"), F.struct(F.col("a.pos").alias("a"), F.col("b.pos").alias("b")).alias("at"))
-    pivots = tables.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("bucket", "pivot")
-    stars = staged(
-        tables.join(pivots, "bucket").where("node <> pivot").groupBy(F.col("node").alias("x"), F.col("pivot").alias("y")).agg(F.count("*").alias("n")),
-        "candidates",
-    )
+    shared = single.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1").select("key", "pivot")
+    held = single.join(shared, "key").groupBy("node").agg(F.collect_list(F.struct("pos", "key", "pivot")).alias("held"))
+    both_sides = F.exists("held", lambda h: h["pos"] < m) & F.exists("held", lambda h: h["pos"] >= m)
+    held = held.where(both_sides).withColumn("best", _first_links(m))
+    halves = staged(held.select("node", "held", F.when(F.col("best.n") > 0, -F.col("best.minus")).alias("first")), "halves")
 
-    involved = stars.select(F.col("x").alias("node")).union(stars.select(F.col("y").alias("node"))).distinct()
     # the texts of all candidates; merged at every size, as the list of candidates grows with the input
+    involved = halves.select("node")
     texts = staged(rows.join(involved.hint("merge"), rows["doc_id"] == involved["node"]).select("node", "text").dropDuplicates(["node"]), "candidate-texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -265,24 +307,30 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, doc_i
         whole = pairs.select("x", "y").join(left, "x").join(right, "y").select("x", "y", "text_x", "text_y")
         return staged(whole.mapInArrow(_confirmer(words, percent), "x long, y long"), "confirmed")
 
-    best = stars.groupBy("x").agg(F.max(F.struct("n", (-F.col("y")).alias("minus"))).alias("b"))
-    first = best.select("x", (-F.col("b.minus")).alias("y"))
-    links = confirmed(first)
-    comps = components(links)
-    open_pairs = staged(_apart(stars.join(first, ["x", "y"], "left_anti"), comps), "open-candidates")
-    if not open_pairs.isEmpty():
-        links = links.union(confirmed(open_pairs))
-        comps = components(links)
-
-    # buckets that still hold several components: pairs that do not include the pivot
-    named = tables.join(comps, "node", "left").select("bucket", "half", "at", "node", F.coalesce("comp", "node").alias("comp"))
-    held = named.groupBy("bucket").agg(
+    first = halves.where("first IS NOT NULL").select(F.col("node").alias("x"), F.col("first").alias("y"))
+    comps = _rooted(confirmed(first))
+
+    # what is left to find lies between components, in tables of which both keys are shared by several of them
+    keyed = _in_comps(halves, comps, "node").select("node", "comp", F.inline("held"))
+    mixed = keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    left = keyed.join(mixed, "key").groupBy("node", "comp").agg(
+        F.collect_list(F.when(F.col("pos") < m, F.struct("pos", "key"))).alias("a"),
+        F.collect_list(F.when(F.col("pos") >= m, F.struct((F.col("pos") - m).alias("pos"), "key"))).alias("b"),
+    )
+    left = staged(left.where("size(a) > 0 AND size(b) > 0"), "mixed-keys")
+
+    tables = left.select("node", "comp", F.explode("a").alias("a"), "b").select("node", "comp", "a", F.explode("b").alias("b"))
+    # buckets that hold several components
+    named = tables.select(
+        F.xxhash64("a.key", "b.key").alias("bucket"), F.col("a.key").alias("half"), F.struct(F.col("a.pos").alias("a"), F.col("b.pos").alias("b")).alias("at"), "node", "comp",
+    )
+    still = named.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min("at").alias("at"), F.min("half").alias("half"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
         F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"),
-    ).where("n > 2 AND lo <> hi")
+    ).where("lo <> hi")
     # of buckets with the same nodes, the first
     once = staged(
-        held.groupBy("n", "members").agg(F.min(F.struct("at", "bucket", "half")).alias("b")).select("n", "b.at", "b.bucket", F.col("b.half").alias("h")), "mixed-buckets",
+        still.groupBy("n", "members").agg(F.min(F.struct("at", "bucket", "half")).alias("b")).select("n", "b.at", "b.bucket", F.col("b.half").alias("h")), "mixed-buckets",
     )
     if not once.isEmpty():
         cells = _cells(named, once)
@@ -291,29 +339,19 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, doc_i
         placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
         placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         placed = placed.select("bucket", F.col("at.a").alias("at_a"), F.col("at.b").alias("at_b"), "node", "comp", "keys", "sketch", "n_shingles", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-        likely = placed.groupBy("bucket", "bi", "bj").applyInArrow(_agreeing(percent, m), "x long, y long").distinct()
-        likely = staged(likely.join(stars, ["x", "y"], "left_anti"), "mixed-candidates")
+        likely = staged(placed.groupBy("bucket", "bi", "bj").applyInArrow(_agreeing(percent, m), "x long, y long"), "mixed-candidates")
         if not likely.isEmpty():
-            links = links.union(confirmed(likely))
-            comps = components(links)
+            more = confirmed(likely)
+            if not more.isEmpty():
+                comps = _joined(comps, more)
 
-    by_set = heads.join(comps, "node", "left").select(F.col("set_id").alias("s"), F.coalesce("comp", "node").alias("comp"))
-    out = signed.join(by_set, F.col("set_id") == F.col("s"), "left")
-    component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("comp"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
+    out = _in_comps(sets, comps, "node")
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("empty"), F.col("doc_id")).otherwise(F.col("comp")))
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
 
 
-def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs whose ends are not in one component."""
-    x = comps.select(F.col("node").alias("x"), F.col("comp").alias("cx"))
-    y = comps.select(F.col("node").alias("y"), F.col("comp").alias("cy"))
-    out = pairs.join(x, "x", "left").join(y, "y", "left")
-    return out.where(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y")
-
-
 def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each near-duplicate class."""
     dropped = near_duplicates(docs, doc_id=doc_id, text=text, **options).where("NOT kept").select(F.col("doc_id").alias("_dropped"))
