@@ -10,6 +10,7 @@ groups; what is left at the end, fewer than k pieces per class, is packed by dec
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,8 +32,11 @@ END_ID = 2
 #: Partitions that share their left-over pieces at each level.
 FAN_IN = 32
 #: Words of a generation of a worker's memory. It holds two: words that are met again pass into the new one, the old one goes.
-REMEMBERED = 350_000
+REMEMBERED = 500_000
 
+#: Marks that the tokeniser's pattern splits off a word's end.
+MARKS = b".,;:!?|*$%&)"
+_MARK = re.compile(rb"[.,;:!?|*$%&)](?<=[a-z].)")
 #: Bytes of the texts that are tokenised in one go; a longer text is tokenised alone.
 PART_BYTES = 1 << 20
 
@@ -104,18 +108,23 @@ class _Ids(dict):
         return out
 
     def learn(self, words: set[bytes]) -> None:
-        """Add the ids of new words; a word of plain letters and its end mark are learned apart."""
-        cores: dict[bytes, tuple[str, str]] = {}
+        """Add the ids of new words; a word of plain letters and its end mark are learned apart, letters that are known as a word are not."""
+        cores: dict[bytes, tuple[bytes, bytes]] = {}
         for w in words:
-            text = w.decode("utf-8", "replace")
-            core = text.rstrip(".,;:!?|*$%&)")
-            # letters of the Latin blocks that lower-case alike everywhere; the pattern splits the mark off
-            if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
-                cores[w] = (core.lower(), text[len(core) :])
-        parts = sorted({p for pair in cores.values() for p in pair if p})
-        ids = dict(zip(parts, self.encode_parts(parts), strict=True))
-        ids[""] = b""
-        whole = sorted(w for w in words if w not in cores)
+            core = w if w.isalpha() else w.rstrip(MARKS)
+            if core.isalpha():  # ASCII letters
+                cores[w] = (core.lower(), w[len(core) :])
+            else:
+                text = core.decode("utf-8", "replace")
+                # letters of the Latin blocks that lower-case alike everywhere; the pattern splits the mark off
+                if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
+                    cores[w] = (text.lower().encode(), w[len(core) :])
+        needed = set().union(*cores.values())
+        ids = {p: self[p] for p in needed.intersection(self)}
+        ids[b""] = b""
+        new = sorted(needed.difference(ids))
+        ids.update(zip(new, self.encode_parts([p.decode() for p in new]), strict=True))
+        whole = sorted(words.difference(cores))
         self.update(zip(whole, self.encode([w.decode("utf-8", "replace") for w in whole]), strict=True))
         self.update({w: ids[a] + ids[b] for w, (a, b) in cores.items()})
 
@@ -123,12 +132,19 @@ class _Ids(dict):
 _REMEMBER: dict[str, _Ids] = {}
 
 
+def _words(text: str | None) -> list[bytes]:
+    """The text's words, A-Z in lower case and with the marks after a letter apart: words that have the same ids are one."""
+    raw = (text or "").encode("utf-8", "replace")
+    # a combining mark may compose with a small letter only
+    return raw.split() if b"\xcc" in raw or b"\xcd" in raw else _MARK.sub(rb" \g<0>", raw.lower()).split()
+
+
 def token_bytes(texts: list[str | None], tokenizer: str) -> list[bytes]:
     """Ids of every text as packed unsigned 32-bit numbers; null counts as empty."""
     if tokenizer not in _REMEMBER:
         _REMEMBER[tokenizer] = _Ids(tokenizer)
     known = _REMEMBER[tokenizer]
-    split = [(text or "").encode("utf-8", "replace").split() for text in texts]
+    split = list(map(_words, texts))
     new = set().union(*split).difference(known)
     again = new.intersection(known.older)
     known.update({w: known.older[w] for w in again})
@@ -169,99 +185,6 @@ def _piecer(tokenizer: str | None, capacity: int):
     return pieces
 
 
-class _Ids(dict):
-    """Packed little-endian ids of a word; words between white space are tokenised alone."""
-
-    def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.older: dict[bytes, bytes] = {}
-        self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size()
-        self.ends = np.zeros(size, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def encode_parts(self, parts: list[str]) -> list[bytes]:
-        """Ids of letter runs and marks, many in one call: each of them ends with an end-of-word token."""
-        out: list[bytes] = []
-        for at in range(0, len(parts), 1000):
-            some = parts[at : at + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            to = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(to) == len(some):
-                packed = ids.tobytes()
-                out += [packed[i:j] for i, j in zip([0, *to[:-1]], to, strict=True)]
-            else:
-                out += self.encode(some)
-        return out
-
-    def learn(self, words: set[bytes]) -> None:
-        """Add the ids of new words; a word of plain letters and its end mark are learned apart."""
-        cores: dict[bytes, tuple[str, str]] = {}
-        for w in words:
-            text = w.decode("utf-8", "replace")
-            core = text.rstrip(".,;:!?|*$%&)")
-            # letters of the Latin blocks that lower-case alike everywhere; the pattern splits the mark off
-            if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
-                cores[w] = (core.lower(), text[len(core) :])
-        parts = sorted({p for pair in cores.values() for p in pair if p})
-        ids = dict(zip(parts, self.encode_parts(parts), strict=True))
-        ids[""] = b""
-        whole = sorted(w for w in words if w not in cores)
-        self.update(zip(whole, self.encode([w.decode("utf-8", "replace") for w in whole]), strict=True))
-        self.update({w: ids[a] + ids[b] for w, (a, b) in cores.items()})
-
-
-_REMEMBER: dict[str, _Ids] = {}
-
-
-def token_bytes(texts: list[str | None], tokenizer: str) -> list[bytes]:
-    """Ids of every text as packed unsigned 32-bit numbers; null counts as empty."""
-    if tokenizer not in _REMEMBER:
-        _REMEMBER[tokenizer] = _Ids(tokenizer)
-    known = _REMEMBER[tokenizer]
-    split = [(text or "").encode("utf-8", "replace").split() for text in texts]
-    new = set().union(*split).difference(known)
-    again = new.intersection(known.older)
-    known.update({w: known.older[w] for w in again})
-    known.learn(new - again)
-    out = [b"".join(map(known.__getitem__, words)) for words in split]
-    if len(known) > REMEMBERED:
-        known.older = dict(known)
-        known.clear()
-    return out
-
-
-def _piecer(tokenizer: str | None, capacity: int):
-    end = np.array([END_ID], "<u4").tobytes()
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, worker, row = tokenizer or default_tokenizer(), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            rows = []
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc, ids in zip(part.column(0).to_pylist(), token_bytes(part.column(1).to_pylist(), path), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    for start, length, k in cut(n, capacity):
-                        rows.append((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, k, worker, row))
-                        row += 1
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(8)]
-            types = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in PIECES.split(", ")])
-
-    return pieces
-
-
 def _by_length(capacity: int):
     """Grouped map over the last pieces: first fit by decreasing length."""
 
