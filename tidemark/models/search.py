@@ -126,24 +126,29 @@ def first_values(space: Sequence[Parameter], trial: int, seed: int = 42) -> list
 def search(
     spark, space: Sequence[Parameter], objective: Callable[[Mapping[str, float]], Mapping[str, float | int | None]], path: str, *,
     trials: int = 20, seed: int = 42, result: str = "result", schema: str = "",
+    together: Callable[[Sequence[Mapping[str, float]]], Sequence[Mapping[str, float | int | None]]] | None = None,
 ) -> DataFrame:
     """Run trials one after another and append each to the table at ``path``; returns the table.
 
     ``objective`` trains with the given values and returns ``result`` and further columns, named
     in ``schema`` with their types. Every proposal is computed from the table alone, so a search
-    that is started again on the same table goes on after its last trial.
+    that is started again on the same table goes on after its last trial. ``together`` is the
+    objective of several trials: those with random values do not wait for one another.
     """
     columns = f"trial int, {', '.join(f'{p.name} double' for p in space)}, {result} double{', ' + schema if schema else ''}"
     spark.createDataFrame([], columns).write.mode("append").parquet(path)
-    for i in range(spark.read.schema(columns).parquet(path).count(), trials):
+    i, names = spark.read.schema(columns).parquet(path).count(), [p.name for p in space]
+    while i < trials:
         table = spark.read.schema(columns).parquet(path)
-        names = [p.name for p in space]
         if i < START_TRIALS or table.where(F.col(result).isNotNull()).isEmpty():
-            row = spark.range(1).select(*first_values(space, i, seed)).first()
+            last = min(START_TRIALS, trials) if together and i < START_TRIALS else i + 1
+            rows = [spark.range(1).select(*first_values(space, k, seed)).first() for k in range(i, last)]
         else:
-            row = propose(table, space, result=result, seed=seed).select(*names).first()
-        values = {n: float(row[n]) for n in names}
-        got = objective(values)
+            rows = [propose(table, space, result=result, seed=seed).select(*names).first()]
+        values = [{n: float(row[n]) for n in names} for row in rows]
+        got = together(values) if together else [objective(v) for v in values]
         order = [c.split()[0] for c in columns.split(", ")]
-        spark.createDataFrame([tuple({"trial": i, **values, **got}[c] for c in order)], columns).coalesce(1).write.mode("append").parquet(path)
+        done = [{"trial": i + k, **v, **g} for k, (v, g) in enumerate(zip(values, got, strict=True))]
+        spark.createDataFrame([tuple(t[c] for c in order) for t in done], columns).coalesce(1).write.mode("append").parquet(path)
+        i += len(done)
     return spark.read.schema(columns).parquet(path)
