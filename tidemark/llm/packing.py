@@ -81,10 +81,16 @@ class _Ids(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         super().__init__()
         self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
+        #: The same merges for a-z, which the file's normaliser and pattern leave as they are.
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = WhitespaceSplit()
+        #: Tokens that are found in the text as it is written, before its letters become small.
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         self.ends = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -93,12 +99,12 @@ class _Ids(dict):
     def encode(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def encode_parts(self, parts: list[str]) -> list[bytes]:
+    def encode_parts(self, parts: list[str], tokenizer=None) -> list[bytes]:
         """Ids of letter runs and marks, many in one call: each of them ends with an end-of-word token."""
         out: list[bytes] = []
         for at in range(0, len(parts), 1000):
             some = parts[at : at + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array((tokenizer or self.tokenizer).encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             to = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(to) == len(some):
                 packed = ids.tobytes()
@@ -107,24 +113,25 @@ class _Ids(dict):
                 out += self.encode(some)
         return out
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         """Add the ids of new words; a word of plain letters and its end mark are learned apart, letters that are known as a word are not."""
+        small = [w for w in words if w.isalpha() and w.islower()]  # a-z alone
+        self.update(zip(small, self.encode_parts([w.decode() for w in small], self.letters), strict=True))
         cores: dict[bytes, tuple[bytes, bytes]] = {}
-        for w in words:
-            core = w if w.isalpha() else w.rstrip(MARKS)
-            if core.isalpha():  # ASCII letters
-                cores[w] = (core.lower(), w[len(core) :])
+        whole = []
+        for w in set(words).difference(small):
+            core = w.rstrip(MARKS)
+            text = core.decode("utf-8", "replace")
+            # letters of the Latin blocks that lower-case alike everywhere; the pattern splits the mark off
+            if not core or text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
+                cores[w] = (text.lower().encode(), w[len(core) :])
             else:
-                text = core.decode("utf-8", "replace")
-                # letters of the Latin blocks that lower-case alike everywhere; the pattern splits the mark off
-                if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
-                    cores[w] = (text.lower().encode(), w[len(core) :])
+                whole.append(w)
         needed = set().union(*cores.values())
-        ids = {p: self[p] for p in needed.intersection(self)}
+        ids = {p: self[p] for p in needed if p in self}
         ids[b""] = b""
         new = sorted(needed.difference(ids))
         ids.update(zip(new, self.encode_parts([p.decode() for p in new]), strict=True))
-        whole = sorted(words.difference(cores))
         self.update(zip(whole, self.encode([w.decode("utf-8", "replace") for w in whole]), strict=True))
         self.update({w: ids[a] + ids[b] for w, (a, b) in cores.items()})
 
@@ -132,11 +139,22 @@ class _Ids(dict):
 _REMEMBER: dict[str, _Ids] = {}
 
 
-def _words(text: str | None) -> list[bytes]:
-    """The text's words, A-Z in lower case and with the marks after a letter apart: words that have the same ids are one."""
+def _marked(text: str | None, added: list[bytes]) -> bytes:
+    """The text with A-Z in lower case and the marks after a letter apart, so that words that have the same ids are one."""
     raw = (text or "").encode("utf-8", "replace")
-    # a combining mark may compose with a small letter only
-    return raw.split() if b"\xcc" in raw or b"\xcd" in raw else _MARK.sub(rb" \g<0>", raw.lower()).split()
+    # a combining mark may compose with a small letter only; added tokens are found as they are written
+    if b"\xcc" in raw or b"\xcd" in raw or any(a in raw for a in added):
+        return raw
+    return _MARK.sub(rb" \g<0>", raw.lower())
+
+
+def _names(words: pa.LargeStringArray) -> list[bytes]:
+    if not len(words):
+        return []
+    _, place, data = words.buffers()
+    at = np.frombuffer(place, "i8", len(words) + 1, 8 * words.offset).tolist()
+    data = data.to_pybytes() if data else b""
+    return [data[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
 def token_bytes(texts: list[str | None], tokenizer: str) -> list[bytes]:
@@ -144,16 +162,35 @@ def token_bytes(texts: list[str | None], tokenizer: str) -> list[bytes]:
     if tokenizer not in _REMEMBER:
         _REMEMBER[tokenizer] = _Ids(tokenizer)
     known = _REMEMBER[tokenizer]
-    split = list(map(_words, texts))
-    new = set().union(*split).difference(known)
-    again = new.intersection(known.older)
-    known.update({w: known.older[w] for w in again})
-    known.learn(new - again)
-    out = [b"".join(map(known.__getitem__, words)) for words in split]
+    marked = pa.array([_marked(text, known.added) for text in texts], pa.large_binary()).cast(pa.large_string())
+    lists = pc.ascii_split_whitespace(marked)
+    coded = lists.flatten().dictionary_encode()
+    # each word of the texts is looked up once
+    names = _names(coded.dictionary)
+    found = list(map(known.get, names))
+    missing = [i for i, ids in enumerate(found) if ids is None and names[i]]
+    new = []
+    for i in missing:
+        ids = known.older.get(names[i])
+        if ids is None:
+            new.append(names[i])
+        else:
+            known[names[i]] = ids
+    known.learn(new)
+    for i in missing:
+        found[i] = known[names[i]]
+    # the empty word before or after a text's white space has no ids
+    ids = pa.array([b or b"" for b in found], pa.large_binary()).take(coded.indices)
     if len(known) > REMEMBERED:
         known.older = dict(known)
         known.clear()
-    return out
+    if not len(ids):
+        return [b""] * len(texts)
+    _, place, data = ids.buffers()
+    place = np.frombuffer(place, "i8", len(ids) + 1, 8 * ids.offset)
+    at = place[np.cumsum([0, *pc.list_value_length(lists).to_pylist()])].tolist()
+    data = memoryview(data) if data else b""
+    return [bytes(data[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
 def _piecer(tokenizer: str | None, capacity: int):
