@@ -7,7 +7,7 @@ so no entity is on both sides of a fold.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,13 +22,15 @@ STRUCTURED = ("code", "n_prior", "n_answers", "children", "flag")
 
 
 def risk_features(
-    exams: DataFrame, confirmations: DataFrame, vectors: DataFrame, answers: DataFrame, *,
+    exams: DataFrame, confirmations: DataFrame, vectors: DataFrame | Callable[[DataFrame], DataFrame], answers: DataFrame, *,
     months: int = 36, target_months: int = 24, folds: int = 3, answered: Sequence[str] = ("children", "flag"),
 ) -> DataFrame:
     """One row per index exam before the entity's event: ids, label, split, fold, history vector and structured features.
 
     ``exams``: entity_id, exam_id, ts, code; ``confirmations``: entity_id, ts, result;
-    ``vectors``: entity_id, ts, vector; ``answers``: entity_id, ts and the ``answered`` columns.
+    ``vectors``: entity_id, ts, vector, or a function that gives them for exams (entity_id, exam_id, ts);
+    it is asked for the exams that some index exam looks back on, so that no other vector is moved.
+    ``answers``: entity_id, ts and the ``answered`` columns.
     The label is 1 if the event falls within ``target_months`` after the exam. ``fold`` is -1
     for entities of the test split. A history without vectors gives a null vector.
     """
@@ -38,6 +40,8 @@ def risk_features(
     within = F.col("event_date") <= F.add_months("ts", target_months)
     rows = rows.withColumn("label", F.coalesce(within, F.lit(False)).cast("int")).drop("event_date")
     known = H.point_in_time_features(rows, answers, "entity_id", "ts", "ts", list(answered))
+    if callable(vectors):
+        vectors = vectors(looked_back_on(exams, rows, months))
     past = history_vectors(rows, vectors, "entity_id", "ts", "vector", how="mean", months=months).select(
         "entity_id", "ts", F.col("vector").alias("history")
     )
@@ -49,6 +53,13 @@ def risk_features(
     return out.select(*known.columns, "history", "split", "fold")
 
 
+def looked_back_on(exams: DataFrame, index: DataFrame, months: int) -> DataFrame:
+    """entity_id, exam_id and ts of the exams from the look-back of an entity's first index exam to its last one."""
+    day = F.col("ts").cast("date")
+    reach = index.groupBy("entity_id").agg(F.add_months(F.min(day), -months).alias("_first"), F.max(day).alias("_last"))
+    return exams.join(reach, "entity_id").where(day.between(F.col("_first"), F.col("_last"))).select("entity_id", "exam_id", "ts")
+
+
 def model_rows(table: DataFrame, dims: int, structured: Sequence[str] = STRUCTURED) -> DataFrame:
     """exam_id, entity_id, split, fold, label and the feature vector; unknown values are -1, an absent history is 0."""
     from pyspark.ml.functions import array_to_vector
